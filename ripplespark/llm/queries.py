@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate, quality, secret_scan
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,27 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and hashes of the ids and of the decoded text, for every document."""
     return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts for every document."""
+    return quality.measured(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_quality_cascade"] = quality.SQL
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; a document is a repository, its source the owner."""
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items."""
+    return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+ORACLES["op10_decontamination"] = decontaminate.SQL
