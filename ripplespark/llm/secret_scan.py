@@ -158,6 +158,8 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     masked = once.where(base).select("id", "start", "end").unionByName(once.where(~base).join(live, "hash", "left_semi").select("id", "start", "end"))
     spans = masked.groupBy(F.col("id").alias("_digest")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
 
+    own = df.columns
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = batch.schema.names
         columns = {n: batch.column(k) for k, n in enumerate(names)}
@@ -173,6 +175,6 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
             columns[text_col] = pa.array(texts, columns[text_col].type)
             if sizes:
                 columns[size_col] = pa.array(sizes, columns[size_col].type)
-        return pa.RecordBatch.from_arrays([columns[n] for n in df.columns], df.columns)
+        return pa.RecordBatch.from_arrays([columns[n] for n in own], own)
 
-    return tables.over_batches(src.join(spans, "_digest", "left").select(*df.columns, "_spans"), run, df.schema)
+    return tables.over_batches(src.join(spans, "_digest", "left").select(*own, "_spans"), run, df.schema)
