@@ -47,8 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again, which cuts its lineage."""
+    """Writes ``df`` to the shared folder and reads it again, which cuts its lineage.
+
+    Nothing reads the shuffle files of a plan that has been written, so they are dropped.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid4().hex}"
-    df.write.parquet(path)
+    drop = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(drop)
+    spark.conf.set(drop, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(drop, before)
     return spark.read.schema(df.schema).parquet(path)
