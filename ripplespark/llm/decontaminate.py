@@ -122,7 +122,7 @@ def find(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col:
                 n, ranges, found = scan(raw, machine)
                 hits = []
                 if ranges:
-                    place = [m.span() for m in _WORD.finditer(raw.decode())]
+                    place = [m.span() for m in _WORD.finditer(raw.lower().decode())]  # bytes.lower() changes A to Z only
                     hits = [{"first": a, "last": b, "start": place[a][0], "end": place[b - 1][1]} for a, b in ranges]
                 rows.append({"n_words": n, "hits": merged((old["hits"] if old else []) + hits), "items": sorted(found | set(old["items"] if old else ()))})
             return batch.set_column(at, batch.schema.field(at).name, pa.array(rows, arrow))
