@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dedup, quality, secret_scan
+from . import bpe, decontaminate, language, near_dedup, quality, secret_scan, token_counts, warc
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,27 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return language.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from normalised archives."""
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op6_warc_round_trip"] = warc.SQL
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document, counted in flat token files."""
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts for every document."""
