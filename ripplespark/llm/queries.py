@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, near_dedup, quality, secret_scan, token_counts, toxicity, warc
+from . import bpe, decontaminate, html_text, language, near_dedup, quality, secret_scan, token_counts, toxicity, warc
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.main_text(table(spark, sf_dir, "pages"), "page_id", "html", "url")
+
+
 @query
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it comes back from normalised archives."""
