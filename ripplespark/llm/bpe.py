@@ -215,11 +215,11 @@ def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col:
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trips(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trips(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per text: its id, the number of tokens, and hashes of the ids and of the decoded text.
 
     Encoding and decoding happen in one task, so that neither ids nor decoded texts are
-    shuffled or stored.
+    shuffled. ``with_ids`` returns the ids too.
     """
 
     def run(batches):
@@ -234,7 +234,9 @@ def round_trips(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 for end, n in zip(ends.tolist(), count.tolist(), strict=True):
                     of_ids.append(hashlib.sha256(little[end - n : end]).hexdigest())
                     of_text.append(hashlib.sha256(bpe.decode(ids[end - n : end]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), *lists], ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     src = tables.texts(df, id_col, text_col)
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    schema = f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return src.mapInArrow(run, schema + ", ids array<int>" * with_ids).withColumnRenamed("id", id_col)
