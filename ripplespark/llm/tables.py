@@ -30,6 +30,11 @@ def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def tasks(n: int, most: int = 20_000) -> int:
+    """How many tasks share n pieces of work whose rows are small; given as a number, it isn't cut by adaptive execution."""
+    return max(1, min(int(n), most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster's machines share, as ``spark.checkpoint.dir`` names it.
 

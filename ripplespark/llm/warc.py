@@ -136,7 +136,8 @@ def revisits(written: DataFrame, id_type: str = "bigint", least_bytes: int = REV
 def normalise(written: DataFrame, revisit: DataFrame) -> DataFrame:
     """Rows (path, n, offset, length): every record of the normalised files, which are the index beside each file too."""
     named = revisit.groupBy("path").agg(F.collect_list(F.struct("n", "refers_to")).alias("revisits"))  # as many as a file's records at most
-    each = written.groupBy("path").agg(F.lit(1).alias("one")).join(named, "path", "left").select("path", "revisits").repartition("path")
+    paths = written.select("path").distinct()
+    each = paths.join(named, "path", "left").select("path", "revisits").repartition(tables.tasks(paths.count()), "path")
 
     def one(path: str, refers: dict[int, str]) -> Iterator[tuple[str, int, int, int]]:
         out, name = files.beside(path.removesuffix(".warc.gz"), ".records.warc.gz")
@@ -196,7 +197,8 @@ def read(index: DataFrame, id_type: str = "bigint") -> DataFrame:
                 rows.append({"page": headers.get("X-Page-ID"), "url": headers.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": headers.get("X-Refers-To-Page-ID")})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    rows = index.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(run, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    tasks = tables.tasks(index.select("path").distinct().count())
+    rows = index.repartition(tasks, "path").sortWithinPartitions("path", "offset").mapInArrow(run, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return rows.withColumn("page", F.col("page").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
