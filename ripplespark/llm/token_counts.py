@@ -62,7 +62,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
 def count(paths: DataFrame, end: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Rows (path, n, start, tokens): place and length of the n-th document of every file (path, tokens)."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block_tokens).cast("long"))
-    cut = paths.where("tokens > 0").select("path", F.col("tokens").alias("size"), F.explode(starts).alias("at")).repartition("path", "at")
+    n = paths.agg(F.sum(F.ceil(F.col("tokens") / block_tokens))).first()[0] or 0
+    cut = paths.where("tokens > 0").select("path", F.col("tokens").alias("size"), F.explode(starts).alias("at")).repartition(tables.tasks(n // 16), "path", "at")
     schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("ends", pa.list_(pa.int64()))])
 
     def run(batches):
