@@ -46,7 +46,7 @@ def top_selectors(files: DataFrame, k: int = 30) -> DataFrame:
 
 
 def routes(files: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
-    """(pattern, component): for each route pattern the file that renders it; the last definition wins.
+    """(pattern, component, ordinal): for each route pattern the file that renders it; the last definition wins.
 
     A route names a component. Its file is the import of the declaring file with that base
     name (or an index file in a folder of that name), else the source file of that name,
@@ -60,17 +60,11 @@ def routes(files: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     named = sources(files).select(bare("path").alias("name"), F.col("path").alias("p")).groupBy("name").agg(F.max("p").alias("by_name"))
     found = declared.join(by_import, ["path", "pos"], "left").join(named, "name", "left")
     found = found.select("pattern", F.coalesce("given", "by_import", "by_name", "path").alias("component"), F.struct("path", "pos").alias("ordinal"))
-    base = found.groupBy("pattern").agg(F.max_by("component", "ordinal").alias("component"), F.max("ordinal").alias("ordinal"))
+    base = found.groupBy("pattern").agg(F.max_by("component", "ordinal").alias("component"), F.min("ordinal").alias("ordinal"))
     if extracted is None:
-        return base.select("pattern", "component", F.dense_rank().over(_by("ordinal")).alias("ordinal"))
+        return base
     both = base.join(extracted.select("pattern", F.col("component").alias("better")), "pattern", "full_outer")
-    return both.select("pattern", F.coalesce("better", "component").alias("component"), F.dense_rank().over(_by("ordinal", "pattern")).alias("ordinal"))
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)  # route patterns are few: one for each page of an application
+    return both.select("pattern", F.coalesce("better", "component").alias("component"), F.coalesce("ordinal", F.struct(F.col("better").alias("path"), F.lit(0).alias("pos"))).alias("ordinal"))
 
 
 def visits(files: DataFrame) -> DataFrame:
@@ -80,7 +74,7 @@ def visits(files: DataFrame) -> DataFrame:
 
 def texts(files: DataFrame) -> DataFrame:
     """(text, path) of shown texts of more than three characters, trimmed and in lower case."""
-    each = sources(files).select(F.lower(F.trim(F.explode("jsx_text"))).alias("text"), "path")
+    each = sources(files).select(F.explode(F.transform("jsx_text", lambda t: F.lower(F.trim(t)))).alias("text"), "path")
     return each.where(F.length("text") > 3).distinct()
 
 
