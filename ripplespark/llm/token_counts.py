@@ -77,7 +77,7 @@ def count(paths: DataFrame, end: int, block_tokens: int = BLOCK_TOKENS) -> DataF
                 rows.append({"path": row["path"], "at": row["at"], "head": head, "tail": tail, "ends": found + row["at"]})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    blocks = cut.mapInArrow(run, "path string, at long, head long, tail long, ends array<long>")
+    blocks = tables.saved(cut.mapInArrow(run, "path string, at long, head long, tail long, ends array<long>"), "blocks")
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # of one file, whose size is bounded
     last = F.coalesce(F.max(F.when(F.size("ends") > 0, F.element_at("ends", -1))).over(before), F.lit(-1))
     scanned = blocks.select("path", "ends", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("seen"), last.alias("last"), (F.col("at") + F.col("tail")).alias("stop"), "at", "head")
