@@ -321,13 +321,20 @@ def colocation(reg: Registry, changed: DataFrame) -> DataFrame:
     All of them share a leading part of at most two folders less than either has, so
     folders meet on these parts.
     """
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
+    def prefixes(df: DataFrame, name: str, other: tuple[str, str]) -> DataFrame:
         parts = F.filter(F.split(T.dirname("path"), "/"), lambda s: s != "")
         each = df.select(F.col("path").alias(name), parts.alias(f"{name}_parts"))
         n = F.size(f"{name}_parts")
-        return each.withColumn("shared", F.explode(F.sequence(F.greatest(n - 2, F.lit(0)), n))).withColumn("prefix", F.array_join(F.slice(f"{name}_parts", 1, F.col("shared")), "/"))
-
-    near = prefixes(changed.select("path"), "changed").join(prefixes(I.tests(reg.files).select("path"), "test"), ["shared", "prefix"])
+        key = lambda kind, size: F.struct(F.lit(kind).alias("kind"), size.alias("shared"))
+        whole = F.array(key("same", n), key(other[0], n))
+        above = F.when(n > 1, F.array(key(other[1], n - 1))).otherwise(F.array().cast(whole_type))
+        near = F.when(n >= 3, F.transform(F.sequence(F.greatest(n - 2, F.lit(3)), n), lambda k: key("near", k))).otherwise(F.array().cast(whole_type))
+        keyed = each.withColumn("k", F.explode(F.concat(whole.cast(whole_type), above, near.cast(whole_type))))
+        return keyed.select(name, f"{name}_parts", "k.kind", "k.shared").withColumn("prefix", F.array_join(F.slice(f"{name}_parts", 1, F.col("shared")), "/"))
+
+    # a folder meets equal ones, those just below or above it, and such as share three folders or more
+    whole_type = "array<struct<kind:string,shared:int>>"
+    near = prefixes(changed.select("path"), "changed", ("below", "above")).join(prefixes(I.tests(reg.files).select("path"), "test", ("above", "below")), ["kind", "shared", "prefix"])
     pair = near.groupBy("changed", "test").agg(F.max("shared").alias("shared"), F.any_value("changed_parts").alias("c"), F.any_value("test_parts").alias("t"))
     n_c, n_t = F.size("c"), F.size("t")
     factor = (
