@@ -134,12 +134,12 @@ def transitive_dependency(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT n_regionkey AS r, count(*) + count(DISTINCT n_nationkey) AS cone FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
-SELECT 'r' || r AS changed, 'o' || o_orderkey AS test, round(0.55 * 0.85 * greatest(0.3, 1 - cone / 1e9), 6) AS weight FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN c ON r = n_regionkey""")
+SELECT 'r' || r AS changed, 'o' || o_orderkey AS test, round(0.55 * 0.85 * greatest(0.3, 1 - cone / 1e9), 5) AS weight FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN c ON r = n_regionkey""")
 def usage_site(spark, sf_dir):
     """Regions and the orders of customers who live there, two steps away; cones of any size."""
     reg = customer_registry(spark, sf_dir, {"scoring": {"max_cone": 10**9}})
     changed = table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("path"))
-    return S.usage_site(reg, changed).select("changed", "test", F.round("weight", 6).alias("weight"))
+    return S.usage_site(reg, changed).select("changed", "test", F.round("weight", 5).alias("weight"))
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +183,7 @@ def url_normalise_pages(spark, sf_dir):
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS t FROM part)
-SELECT a.p_name AS source_name, b.p_name AS test_name, CASE WHEN a.p_name = b.p_name THEN 0.95 ELSE 0.41 END AS weight, a.p_name = b.p_name AS anchor FROM n a, n b WHERE list_has_any(a.t, b.t)""")
+SELECT a.p_name AS source_name, b.p_name AS test_name, CASE WHEN a.p_name = b.p_name THEN 0.95::DOUBLE ELSE 0.41::DOUBLE END AS weight, a.p_name = b.p_name AS anchor FROM n a, n b WHERE list_has_any(a.t, b.t)""")
 def filename_overlap(spark, sf_dir):
     """Part names as file names: equal ones, and such as share a word, which is too common to anchor."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
@@ -204,7 +204,7 @@ def doc_share(spark, sf_dir):
     return I.token_shares(names).withColumn("share", F.round("share", 9))
 
 
-@query("""SELECT 'n' || a.n_nationkey AS source, 'n' || b.n_nationkey AS test, CASE WHEN a.n_nationkey = b.n_nationkey THEN 0.6375 ELSE 0.3 END AS weight
+@query("""SELECT 'n' || a.n_nationkey AS source, 'n' || b.n_nationkey AS test, CASE WHEN a.n_nationkey = b.n_nationkey THEN 0.6375::DOUBLE ELSE 0.3::DOUBLE END AS weight
 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey""")
 def colocation_paths(spark, sf_dir):
     """Nations in folders of their region, with tests in folders of their own."""
@@ -219,12 +219,12 @@ def colocation_paths(spark, sf_dir):
 
 @query(r"""WITH u AS (SELECT DISTINCT 'src/api' || regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', ''), '/$', '') AS f FROM pages),
 a(method, url, seg) AS (VALUES ('GET', '/api/en/*', 'en'), ('POST', '/api/de/1', 'de/1'), ('GET', '/api/fr/2/x', 'fr/2/x')),
-e AS (SELECT method, url, seg AS s FROM a UNION SELECT 'POST', '/api/de/1', 'de' UNION SELECT 'GET', '/api/fr/2/x', 'fr' UNION SELECT 'GET', '/api/fr/2/x', 'fr/2')
+e AS (SELECT method, url, seg AS s FROM a UNION SELECT 'PUT', '/api/*', '' UNION SELECT 'POST', '/api/de/1', 'de' UNION SELECT 'GET', '/api/fr/2/x', 'fr' UNION SELECT 'GET', '/api/fr/2/x', 'fr/2')
 SELECT DISTINCT f || '.ts' AS changed, url AS test FROM u, e WHERE ends_with(regexp_replace(f, '\.[jt]sx?$', ''), s)""")
 def api_suffix_match(spark, sf_dir):
     """Pages as API files that calls to patterns, or to their leading parts, mean."""
     paths = table(spark, sf_dir, "pages").select(F.concat(F.lit("src/api"), F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "^https?://[^/]+", ""), "[?#].*$", ""), "/$", ""), F.lit(".ts")).alias("path")).distinct()
-    calls = spark.createDataFrame([("GET", "/api/en/*"), ("POST", "/api/de/1"), ("GET", "/api/fr/2/x")], "method string, url_pattern string")
+    calls = spark.createDataFrame([("GET", "/api/en/*"), ("POST", "/api/de/1"), ("GET", "/api/fr/2/x"), ("PUT", "/api/*")], "method string, url_pattern string")
     tests = impact.shaped(calls.select(F.col("url_pattern").alias("path"), F.lit("test").alias("type"), F.struct(F.lit(None).cast("array<string>").alias("visited_routes"), F.lit(None).cast("array<struct<type:string,value:string,raw:string>>").alias("selectors"), F.lit(None).cast("array<string>").alias("contains_text"), F.array(F.struct("method", "url_pattern")).alias("intercepts"),
                           F.lit(None).cast("array<struct<operator:string,expected:string>>").alias("url_assertions"), *(F.lit(None).cast("array<string>").alias(n) for n in ("custom_commands", "describes", "its"))).alias("cypress")), spark)
     return S.api_intercept(S.Registry(tests, load()), paths).select("changed", "test")

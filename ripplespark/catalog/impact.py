@@ -61,13 +61,14 @@ base AS (SELECT * FROM di UNION ALL SELECT * FROM sm),
 c AS (SELECT 'src/parts/p' || l_partkey || '.ts' AS path, epoch(l_shipdate)::BIGINT AS ts FROM lineitem UNION SELECT 'e2e/orders/o' || l_orderkey || '.cy.ts', epoch(l_shipdate)::BIGINT FROM lineitem),
 h AS (SELECT path, min(ts) AS made, max(ts) AS last, list(DISTINCT floor(ts / 1209600)) AS b FROM c GROUP BY 1),
 pr AS (SELECT DISTINCT changed, test FROM base),
+us AS (SELECT changed, test, 0.55 * 0.4 * greatest(0.3, 1 - k / 80.0) AS w, 'usage-site' AS type FROM di JOIN (SELECT changed, count(*) AS k FROM di GROUP BY 1) USING (changed) WHERE k < 80),
 t0 AS (SELECT changed, test, (t.made - s.made) / 86400 AS gap, len(s.b) AS nc, len(t.b) AS nt, len(list_intersect(s.b, t.b)) AS co,
   greatest(1, floor((greatest(s.last, t.last) - least(s.made, t.made)) / 1209600) + 1) AS win FROM pr JOIN h s ON s.path = changed JOIN h t ON t.path = test),
 t1 AS (SELECT *, CASE WHEN gap >= 0 THEN 14.0 ELSE 7.0 END AS soft, CASE WHEN gap >= 0 THEN 28.0 ELSE 14.0 END AS hard FROM t0),
 t2 AS (SELECT changed, test, CASE WHEN abs(gap) <= soft THEN 0.45 WHEN abs(gap) >= hard THEN 0 ELSE 0.45 * (hard - abs(gap)) / (hard - soft) END AS cw,
   CASE WHEN co >= 2 AND co / (nc * nt / win) > 1 THEN 0.45 * (1 - 1 / (co / (nc * nt / win))) ELSE 0 END AS uw FROM t1),
 tc AS (SELECT changed, test, least(0.45, 1 - (1 - cw) * (1 - uw)) AS w, 'temporal-coherence' AS type FROM t2 WHERE least(0.45, 1 - (1 - cw) * (1 - uw)) > 0),
-s AS (SELECT * FROM base UNION ALL SELECT * FROM tc),
+s AS (SELECT * FROM base UNION ALL SELECT * FROM us UNION ALL SELECT * FROM tc),
 u AS (SELECT 'src/parts/p' || l_partkey || '.ts' AS changed, count(*) / (SELECT count(*) FROM part) AS ubiquity FROM l GROUP BY 1),
 d AS (SELECT changed, test, w * CASE WHEN coalesce(ubiquity, 0) > 0.7 THEN 0.3 ELSE 1 END AS w FROM s LEFT JOIN u USING (changed)),
 f AS (SELECT changed, test, 1 - product(1 - least(w, 1)) AS score, count(*) AS n_signals FROM d GROUP BY 1, 2),
@@ -79,6 +80,7 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
     return Registry(files(spark, sf_dir), load(), history=history(spark, sf_dir))
 
 
+
 @query(FLAGSHIP)
 def flagship_impact(spark, sf_dir):
     """All parts have changed: the ten orders that each matters to most."""

@@ -72,12 +72,12 @@ def ubiquity_damping(spark, sf_dir):
     return damped.groupBy("changed", "test").agg(F.round(fusion.noisy_or("weight"), 6).alias("score"), F.bool_or(F.col("original_weight").isNotNull()).alias("damped"))
 
 
-_SCORED = """WITH r AS (SELECT 'c' || o_custkey AS changed, 'o' || o_orderkey AS test, round(o_totalprice / 600000, 6) AS score FROM orders),
+_SCORED = """WITH r AS (SELECT 'c' || o_custkey AS changed, 'o' || o_orderkey AS test, round(o_totalprice / 600000 + 1e-9, 6) AS score FROM orders),
 b AS (SELECT *, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM r)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("changed"), F.concat(F.lit("o"), "o_orderkey").alias("test"), F.round(F.col("o_totalprice") / 600000, 6).alias("score"))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("changed"), F.concat(F.lit("o"), "o_orderkey").alias("test"), F.round(F.col("o_totalprice") / 600000 + 1e-9, 6).alias("score"))
     return rows.withColumn("confidence", fusion.band("score"))
 
 

@@ -57,25 +57,25 @@ def drop_rule(spark, sf_dir):
     return out.groupBy("failed", "kept").agg(F.count("*").alias("pairs"))
 
 
-@query("SELECT o_orderkey, round(least(1, 0.4 * (o_totalprice / 600000) + 0.6 * (o_orderkey % 6) / 5), 6) AS score FROM orders")
+@query("SELECT o_orderkey, round(least(1, 0.4 * (o_totalprice / 600000) + 0.6 * (o_orderkey % 6) / 5) + 1e-9, 6) AS score FROM orders")
 def late_fusion(spark, sf_dir):
     """Scores with a verdict from 0 to 5."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(R.late_score(F.col("o_totalprice") / 600000, F.col("o_orderkey") % 6), 6).alias("score"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(R.late_score(F.col("o_totalprice") / 600000, F.col("o_orderkey") % 6) + 1e-9, 6).alias("score"))
 
 
-@query("""SELECT o_orderkey, round(least(1, CASE WHEN o_orderkey % 7 = 6 THEN o_totalprice / 600000 + 0.15 ELSE o_totalprice / 600000 * [0, 0.5, 0.85, 1.0, 1.15, 1.3][(o_orderkey % 7) + 1] END), 6) AS score FROM orders""")
+@query("""SELECT o_orderkey, round(least(1, CASE WHEN o_orderkey % 7 = 6 THEN o_totalprice / 600000 + 0.15 ELSE o_totalprice / 600000 * [0, 0.5, 0.85, 1.0, 1.15, 1.3][(o_orderkey % 7) + 1] END) + 1e-9, 6) AS score FROM orders""")
 def bucket_fusion(spark, sf_dir):
     """Scores with a verdict's factor, or without a verdict."""
     bucket = F.when(F.col("o_orderkey") % 7 != 6, F.col("o_orderkey") % 7)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(R.bucket_score(F.col("o_totalprice") / 600000, bucket), 6).alias("score"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(R.bucket_score(F.col("o_totalprice") / 600000, bucket) + 1e-9, 6).alias("score"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.array(F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "colocation").otherwise("redux-chain").alias("type")))
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("changed"), F.col("o_orderkey").alias("test"), F.round(F.col("o_totalprice") / 500000, 6).alias("score"), flags.alias("signals"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("changed"), F.col("o_orderkey").alias("test"), F.round(F.col("o_totalprice") / 500000 + 1e-9, 6).alias("score"), flags.alias("signals"))
 
 
-@query("""WITH p AS (SELECT o_custkey AS changed, o_orderkey AS test, round(o_totalprice / 500000, 6) AS score, o_orderpriority = '1-URGENT' AS own FROM orders),
+@query("""WITH p AS (SELECT o_custkey AS changed, o_orderkey AS test, round(o_totalprice / 500000 + 1e-9, 6) AS score, o_orderpriority = '1-URGENT' AS own FROM orders),
 f AS (SELECT *, CASE WHEN score >= 0.9 THEN 'auto-kept' WHEN score < 0.4 THEN 'below-band' WHEN own THEN 'protected' ELSE 'judge' END AS fate FROM p)
 SELECT changed, test, CASE WHEN fate = 'judge' AND row_number() OVER (PARTITION BY changed, fate ORDER BY score DESC, test) > 3 THEN 'over-cap' ELSE fate END AS fate FROM f""")
 def band_split(spark, sf_dir):
@@ -83,14 +83,14 @@ def band_split(spark, sf_dir):
     return R.banded(pairs(spark, sf_dir), Rerank(band_max=0.9, max_candidates=3)).select("changed", "test", "fate")
 
 
-@query("""WITH w AS (SELECT o_custkey AS changed, o_orderkey AS test, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 500000, 6) DESC, o_orderkey) - 1 AS n FROM orders)
+@query("""WITH w AS (SELECT o_custkey AS changed, o_orderkey AS test, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 500000 + 1e-9, 6) DESC, o_orderkey) - 1 AS n FROM orders)
 SELECT changed, test, (n // 4)::BIGINT AS call, (n % 4 + 1)::INT AS i FROM w""")
 def listwise_windows(spark, sf_dir):
     """Candidates in calls of four."""
     return R.windows(pairs(spark, sf_dir), 4).select("changed", "test", "call", F.col("i").cast("int").alias("i"))
 
 
-@query("""SELECT d.doc_id, CASE WHEN quality = 1 THEN least(1, 0.9 + 0.2) ELSE 0.9 END AS score, CASE WHEN quality = 1 THEN 'confirmed' ELSE 'unknown' END AS state
+@query("""SELECT d.doc_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS score, CASE WHEN quality = 1 THEN 'confirmed' ELSE 'unknown' END AS state
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE quality IS DISTINCT FROM 0""")
 def lock_partition(spark, sf_dir):
     """Documents by earlier decisions on them: good ones gain, bad ones go."""

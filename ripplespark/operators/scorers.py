@@ -8,14 +8,16 @@ Pairs without evidence have no row.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplespark.config import Config
 from ripplespark.functions import text as T
+from ripplespark.sources import files as sources
 
 from . import graph as G
 from . import index as I
@@ -28,6 +30,17 @@ WEIGHTS = {
 }
 
 
+#: What files may have that a scorer can't do without; it is left out of plans over a registry in which no file has it.
+FACTS = {
+    "visits": "size(cypress.visited_routes) > 0", "ids": "exists(cypress.selectors, s -> s.type = 'id')", "titles": "size(cypress.describes) > 0 OR size(cypress.its) > 0",
+    "intercepts": "size(cypress.intercepts) > 0", "actions": "size(action_types) > 0", "source_imports": "type = 'source' AND size(imports) > 0",
+}
+NEEDS = {
+    "route-match": "visits", "redux-consumer": "visits", "selector-id-match": "ids", "describe-block": "titles", "api-intercept": "intercepts", "action-type": "actions",
+    "transitive-import": "source_imports", "dependent-selector": "source_imports",
+}
+
+
 @dataclass
 class Registry:
     """The tables that scorers join: files, and what some kinds of evidence need besides."""
@@ -38,6 +51,23 @@ class Registry:
     i18n: DataFrame | None = None  # (key, text, static_text, is_dynamic)
     history: DataFrame | None = None  # (repo, path, created_at, updated_at, commits)
     extracted_routes: DataFrame | None = None  # (pattern, component)
+    facts: frozenset[str] | None = None  # what any file has, of ``FACTS``; None: not looked for
+
+    def stored(self) -> Registry:
+        """The same with its tables and import graph written to the shared folder and read again.
+
+        Every scorer reads these tables, some several times: plans over stored tables are
+        short, and nothing is parsed or grouped twice.
+        """
+        tables = {"files": self.files, "graph": self.graph} | ({} if self.history is None else {"history": self.history})
+        spark = self.files.sparkSession
+        folder = f"{sources.shared_folder(spark)}/registry-{uuid4().hex}"
+        sources.write_registry(tables, folder)
+        read = sources.read_registry(spark, folder, tables)
+        found = read["files"].agg(*(F.coalesce(F.bool_or(F.expr(has)), F.lit(False)).alias(name) for name, has in FACTS.items())).first().asDict()
+        out = replace(self, files=read["files"], history=read.get("history"), facts=frozenset(k for k, v in found.items() if v))
+        out.__dict__["graph"] = read["graph"]
+        return out
 
     @cached_property
     def graph(self) -> DataFrame:
@@ -122,18 +152,29 @@ def route_match(reg: Registry, changed: DataFrame) -> DataFrame:
     return signals(first, "route-match", F.col("weight"), F.concat_ws(" ", F.lit("Test visits"), "raw", F.lit("rendered by"), "component", F.lit("at depth"), F.col("depth").cast("string")))
 
 
+def _prefix_pairs(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
+    """(tv, value) of two vocabularies (columns ``tv`` and ``value``) where one is a proper prefix of the other.
+
+    Each text's own prefixes are looked up as whole texts of the other side, so that texts
+    that merely begin alike never meet.
+    """
+    def meet(long: str, short: str, many: DataFrame, few: DataFrame) -> DataFrame:
+        heads = F.transform(F.sequence(F.lit(least), F.length(long) - 1), lambda k: F.substr(F.col(long), F.lit(1), k))
+        return many.where(F.length(long) > least).select(long, F.explode(heads).alias(short)).join(few, short).select("tv", "value")
+
+    return meet("tv", "value", left, right).unionByName(meet("value", "tv", right, left))
+
+
 def _selector_hits(reg: Registry, origin: DataFrame) -> DataFrame:
     """(changed, test, value, depth, exact): what test selectors hit in origin (changed, value, depth), one for each.
 
     An equal value wins; else the first value of which one is a prefix of the other, both
-    of three characters or more. Values meet on their first three characters.
+    of three characters or more.
     """
     tests = I.test_selectors(reg.files).select("test", "pos", "value")
     equal = tests.join(origin, "value").select("changed", "test", "pos", "value", "depth", F.lit(True).alias("exact"))
-    head = lambda c: F.substring(c, 1, 3)
-    left = tests.where(F.length("value") >= 3).select("test", "pos", F.col("value").alias("tv"), head("value").alias("head"))
-    right = origin.where(F.length("value") >= 3).select("changed", "value", "depth", head("value").alias("head"))
-    near = left.join(right, "head").where((F.col("tv") != F.col("value")) & (F.col("tv").startswith(F.col("value")) | F.col("value").startswith(F.col("tv"))))
+    pairs = _prefix_pairs(tests.select(F.col("value").alias("tv")).distinct(), origin.select("value").distinct())
+    near = pairs.join(origin, "value").join(tests.select("test", "pos", F.col("value").alias("tv")), "tv")
     one = near.groupBy("changed", "test", "pos").agg(F.min_by(F.struct("value", "depth"), F.struct("depth", "value")).alias("h")).select("changed", "test", "pos", "h.*", F.lit(False).alias("exact"))
     return equal.unionByName(one.join(equal.select("changed", "test", "pos"), ["changed", "test", "pos"], "left_anti")).drop("pos")
 
@@ -434,6 +475,11 @@ SCORERS: dict[str, Callable[[Registry, DataFrame], DataFrame]] = {
 }
 
 
+def usable(reg: Registry) -> dict[str, Callable[[Registry, DataFrame], DataFrame]]:
+    """The scorers that can find anything in the registry."""
+    return {k: f for k, f in SCORERS.items() if reg.facts is None or NEEDS.get(k) is None or NEEDS[k] in reg.facts}
+
+
 def register(name: str, scorer: Callable[[Registry, DataFrame], DataFrame]) -> None:
     """Adds a scorer, or puts it in another's place."""
     SCORERS[name] = scorer

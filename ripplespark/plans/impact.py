@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplespark.operators import fusion, graph
-from ripplespark.operators.scorers import SCORERS, Registry, temporal_coherence
+from ripplespark.operators.scorers import Registry, temporal_coherence, usable
+from ripplespark.sources.files import saved
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -22,7 +23,7 @@ def known(reg: Registry, changed: DataFrame) -> DataFrame:
 
 def all_signals(reg: Registry, changed: DataFrame) -> DataFrame:
     """Every scorer's signals, and the temporal ones of the pairs that any other has."""
-    found = _union([scorer(reg, changed) for scorer in SCORERS.values()])
+    found = _union([scorer(reg, changed) for scorer in usable(reg).values()])
     return found if reg.history is None else found.unionByName(temporal_coherence(reg, changed, found))
 
 
@@ -32,10 +33,11 @@ def anchored_signals(reg: Registry, changed: DataFrame) -> DataFrame:
     Right where the anchor gate is on, as other pairs would score 0. A hub's wide anchors don't count.
     """
     kinds = (*fusion.NARROW_ANCHORS, *fusion.MEDIUM_ANCHORS)
-    first = _union([SCORERS[k](reg, changed) for k in kinds if k in SCORERS])
+    scorers = usable(reg)
+    first = saved(_union([scorers[k](reg, changed) for k in kinds if k in scorers]), "anchors")
     hubs = graph.hubs(reg.files, reg.config.scoring).select(F.col("path").alias("changed"), F.lit(True).alias("hub"))
     pairs = first.join(hubs, "changed", "left").where(fusion.is_anchor(F.coalesce("hub", F.lit(False)))).select("changed", "test").distinct()
-    support = [scorer(reg, changed) for k, scorer in SCORERS.items() if k not in kinds]
+    support = [scorer(reg, changed) for k, scorer in scorers.items() if k not in kinds]
     if reg.history is not None:
         support.append(temporal_coherence(reg, changed, pairs))
     return _union([first, *support]).join(pairs, ["changed", "test"], "left_semi")
@@ -52,6 +54,7 @@ def gated(reg: Registry, signals: DataFrame) -> DataFrame:
 
 def analyse(reg: Registry, changed: DataFrame, all_results: bool = False, anchor_first: bool = True) -> DataFrame:
     """(changed, test, score, confidence, n_signals, signals, explanation, rank) for the changed files (path)."""
+    reg = reg.stored() if reg.facts is None else reg
     cfg, changed = reg.config.scoring, known(reg, changed)
     first = anchor_first and cfg.require_anchor and cfg.min_confidence > 0
     signals = anchored_signals(reg, changed) if first else all_signals(reg, changed)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import subprocess
+import tempfile
 from collections.abc import Iterable
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -199,6 +201,24 @@ def bundler_aliases(files: DataFrame) -> DataFrame:
 # stored tables -------------------------------------------------------------------------
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as ``spark.checkpoint.dir`` names it; on one machine without it, a new one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="ripplespark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, which cuts its lineage and lets several plans use it."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_registry(tables: dict[str, DataFrame], folder: str) -> None:
     """Every table as Parquet in a folder of its own."""
     for name, df in tables.items():
