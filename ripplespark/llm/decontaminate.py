@@ -102,20 +102,21 @@ def find(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col:
 
     hits: ranges (first word, word after the last; code point start and end), merged;
     items: the ids found, as sorted strings. ``carry`` keeps the document's own columns
-    instead of its id alone, with the three columns added in a struct ``found``.
+    instead of its id alone, with the three columns added in a struct as the last column.
     """
     items = ((r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).toLocalIterator())
     context = documents.sparkSession.sparkContext
     kind = "struct<n_words:bigint,hits:array<struct<first:int,last:int,start:bigint,end:bigint>>,items:array<string>>"
     base = documents if carry else tables.texts(documents, id_col, text_col)
     column = text_col if carry else "text"
-    out = base.withColumn("found", F.lit(None).cast(kind))
+    name = tables.unused(base, "found")
+    out = base.withColumn(name, F.lit(None).cast(kind))
     arrow = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
     def one_pass(df: DataFrame, shared) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             machine = automaton(shared) if shared else None
-            at = batch.schema.get_field_index("found")
+            at = batch.schema.get_field_index(name)
             rows = []
             for raw, old in zip(batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist(), batch.column(at).to_pylist(), strict=True):
                 raw = raw or b""
@@ -160,7 +161,8 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns; nothing is shuffled."""
-    return find(documents, benchmark, text_col=text_col, carry=True, **options).where(F.size("found.hits") == 0).drop("found")
+    out = find(documents, benchmark, text_col=text_col, carry=True, **options)
+    return out.where(F.size(F.col(out.columns[-1])["hits"]) == 0).drop(out.columns[-1])
 
 
 SQL = r"""

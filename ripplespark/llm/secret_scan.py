@@ -150,20 +150,21 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     Base kinds are masked wherever they stand, further kinds where they look live. Spans
     are found once for each distinct text and joined to the rows by the text's digest.
     """
-    src = df.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    found = tables.saved(candidates(src, "_digest", text_col, owner_col, repo_col), "secrets")
+    digest, place = tables.unused(df, "_digest"), tables.unused(df, "_spans")
+    src = df.withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    found = tables.saved(candidates(src, digest, text_col, owner_col, repo_col), "secrets")
     base = F.col("kind").isin(*BASE_KINDS)
     once = found.where(F.size("found") > 0).groupBy("id").agg(F.first("found").alias("found")).select("id", F.explode("found").alias("c")).select("id", "c.*")
     live = spread(found).where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("hash")
     masked = once.where(base).select("id", "start", "end").unionByName(once.where(~base).join(live, "hash", "left_semi").select("id", "start", "end"))
-    spans = masked.groupBy(F.col("id").alias("_digest")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = masked.groupBy(F.col("id").alias(digest)).agg(F.collect_list(F.struct("start", "end")).alias(place))
 
     own = df.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = batch.schema.names
         columns = {n: batch.column(k) for k, n in enumerate(names)}
-        spans = columns["_spans"].to_pylist()
+        spans = columns[place].to_pylist()
         hit = [k for k, s in enumerate(spans) if s]
         if hit:
             texts = columns[text_col].to_pylist()
@@ -177,4 +178,4 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
                 columns[size_col] = pa.array(sizes, columns[size_col].type)
         return pa.RecordBatch.from_arrays([columns[n] for n in own], own)
 
-    return tables.over_batches(src.join(spans, "_digest", "left").select(*own, "_spans"), run, df.schema)
+    return tables.over_batches(src.join(spans, digest, "left").select(*own, place), run, df.schema)

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores, joined by noisy-or, learned from document labels.
 
-A sentence's probability is the logistic of a bias and the weights of its distinct words; a
-document is toxic unless every sentence is harmless and the label isn't noise:
+A sentence's probability is the logistic of a bias and the weights of its distinct telling
+words, and 0 without any; a document is toxic unless every sentence is harmless and the label isn't noise:
 1 - (1 - leak) * product(1 - p).  Only documents are labelled; the gradient of the
 noisy-or gives credit to the sentences that explain a label.
 
@@ -170,7 +170,8 @@ def sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tupl
     s, w = _pairs(sentence[told], cell[told])
     logit += np.bincount(s, model.weight[w], n)
     first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-    return doc[first], 1 / (1 + np.exp(-np.clip(logit, -30, 30))), words.start[first], words.end[np.r_[first[1:], len(doc)] - 1]
+    logit[np.bincount(s, minlength=n) == 0] = -np.inf  # as in learning, which leaves such sentences out
+    return doc[first], np.where(np.isneginf(logit), 0.0, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))), words.start[first], words.end[np.r_[first[1:], len(doc)] - 1]
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
