@@ -252,7 +252,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if labels is not None:
         one = one.join(labels, "key", "left")
     one = tables.saved(one.select("key", "least", "rows", F.coalesce("label", "key").alias("label") if labels is not None else F.col("key").alias("label")), "texts")
-    whole = one.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.min_by("key", "least").alias("class_key"))
+    whole = one.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.min_by("key", F.struct(F.col("least").isNull(), "least", "key")).alias("class_key"))
     of = one.select("key", "label").join(whole, "label").select("key", "class_id", "class_size", "class_key")
     return drawn.select("id", "key").join(of, "key")
 

@@ -83,6 +83,13 @@ def test_one_row_of_each_class_stays(spark, copies):
     assert near_dedup.keep_first(df.where("false")).count() == 0 and near_dedup.near_classes(df.where("false")).count() == 0
 
 
+def test_classes_whose_ids_are_all_null_keep_a_row(spark):
+    alike = words(20, 120)
+    texts = [(None, " ".join(words(21, 120))), (None, " ".join(words(22, 120))), (None, " ".join(alike)), (None, " ".join([*alike, "end"])), (None, "..."), (1, "one two")]
+    kept = [r["text"] for r in near_dedup.keep_first(table(spark, texts)).collect()]
+    assert len(kept) == 5 and {texts[k][1] for k in (0, 1, 4, 5)} <= set(kept)
+
+
 def test_chains_and_large_groups(spark):
     """Copies of copies hold together, though the ends are far apart; the driver sees none of them."""
     chain, now = [], words(5, 200)
