@@ -259,9 +259,9 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _labels(drawn: DataFrame) -> DataFrame | None:
     """Component labels of all texts that are near another."""
-    spread = drawn.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
+    spread = drawn.where("bands IS NOT NULL").select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
     size = spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size")
-    members = tables.saved(spread.join(size, "band").distinct(), "members")
+    members = tables.saved(spread.join(size, "band"), "members")
     met = members.groupBy("key").agg(F.sum("size").alias("met"))
     vectors = tables.saved(drawn.where("shingles IS NOT NULL").select("key", "shingles").join(met.select("key"), "key", "left_semi").dropDuplicates(["key"]), "vectors")
     left = tables.saved(members.join(met, "key"), "left")

@@ -101,6 +101,30 @@ def test_chains_and_large_groups(spark):
     assert {got[k] for k in range(12)} == {0} and {got[500 + k] for k in range(300)} == {500}
 
 
+def drawn_rows(spark, vectors, copies=1):
+    """Texts as they are drawn, all in one band; vectors: weights of shingles by key."""
+    made = []
+    for key, weights in vectors.items():
+        hashes = np.array(sorted(weights), np.uint64)
+        packed = near_dedup.packed(hashes << np.uint64(32), np.array([weights[h] for h in hashes.tolist()], np.float32))
+        made += [(1, bytearray(key.encode()), [7], bytearray(packed), float(sum(weights.values())))] * copies
+    return spark.createDataFrame(made, "id long, key binary, bands array<bigint>, shingles binary, mass double")
+
+
+def label_sets(labels):
+    groups = {}
+    for r in labels.collect() if labels is not None else []:
+        groups.setdefault(bytes(r["label"]), set()).add(bytes(r["key"]).decode())
+    return sorted(map(sorted, groups.values()))
+
+
+def test_copies_do_not_change_which_texts_are_compared(spark):
+    """The two least keys are near each other; pivots are the greatest ones, which are near none."""
+    vectors = {k: {100 * n + j: 1.0 for j in range(20)} for n, k in enumerate("cdefghi")}
+    vectors |= {"a": {j + 5000: 1.0 for j in range(20)}, "b": {j + 5001: 1.0 for j in range(20)}}
+    assert label_sets(near_dedup._labels(drawn_rows(spark, vectors, copies=10))) == [["a", "b"]]
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     a, b = words(1, 400), words(1, 400)
     b[300:] = words(2, 100)
