@@ -11,8 +11,11 @@ Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of a text,
 texts with the probability of their weighted Jaccard similarity.  Texts that share a band
 are compared with the band's pivot, the member that meets most others, so that a group of
 n copies costs n comparisons and not n squared.  Members that don't match their pivot meet
-further pivots, and in bands of up to ``SMALL`` texts all that are not linked by then are
-compared.  Every link is verified by the exact weighted Jaccard similarity.
+further pivots.  Then every pair of a band that is in different components and was not
+compared is compared, also of members that joined a pivot, unless bounds prove it apart:
+similarity is at most the ratio of the texts' total weights, and distance (1 - similarity)
+is a metric, so two texts are at least as far apart as their distances to the band's first
+pivot differ.  Every link is verified by the exact weighted Jaccard similarity.
 
 Null texts count as empty.  Equal texts are one class, also wordless ones; a wordless text
 is near no other.  Repeated rows and rows with a null id are ordinary members of a class.
@@ -37,8 +40,10 @@ FREQUENT = 0.1
 #: Shingles that fewer rows of a chunk hold are not reported from it; the slack of the first pass.
 LOCAL = 0.01
 CHUNK_ROWS = 2000
-#: Rounds of pivots; up to so many texts in a band, all are compared that remain apart.
-ROUNDS, SMALL = 3, 50
+#: Rounds of pivots before all that remain apart are compared; what rounding may add to a bound.
+ROUNDS, SLACK = 3, 1e-3
+#: Bands of up to so many texts give pairs; larger ones are compared by pairs of blocks of so many bytes.
+SMALL, COMPARED_BYTES = 50, 8 << 20
 _CELLS = 1 << 16
 _rng = np.random.default_rng(20240229)
 _gamma_r, _gamma_c, _beta = _rng.gamma(2, 1, _CELLS), _rng.gamma(2, 1, _CELLS), _rng.random(_CELLS)
@@ -174,7 +179,7 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def _drawn(texts: DataFrame, common: dict[int, int], n: int) -> DataFrame:
-    """Rows (id, key, bands, shingles): key is the text's digest; a task gives the rest once for each text."""
+    """Rows (id, key, bands, shingles, mass): key is the text's digest, mass its total weight; a task gives the rest once for each text."""
     order = sorted(common, key=lambda h: h & (2**64 - 1))
     shared = texts.sparkSession.sparkContext.broadcast((np.array(order, np.int64).view(np.uint64), np.log1p(n / np.array([max(common[h], FREQUENT * n) for h in order], float))))
 
@@ -191,23 +196,24 @@ def _drawn(texts: DataFrame, common: dict[int, int], n: int) -> DataFrame:
             with_shingles, bands = band_keys(doc, hashes, weight)
             edges = np.searchsorted(doc, np.arange(len(keys) + 1))
             vectors = [packed(hashes[a:b], weight[a:b]) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            mass = np.bincount(doc, weight, len(keys))
             lists: list = [None] * len(keys)
             for k, row in zip(with_shingles.tolist(), bands.view(np.int64), strict=True):
                 lists[k] = row
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], ["id", "key", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(vectors, pa.binary()), pa.array(mass)], ["id", "key", "bands", "shingles", "mass"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, key binary, bands array<bigint>, shingles binary")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, key binary, bands array<bigint>, shingles binary, mass double")
 
 
-def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is ``THRESHOLD`` or more."""
+def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their weighted Jaccard similarity ``near``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [similarity(x, y) >= THRESHOLD for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        return batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        near = [similarity(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64())], ["a", "b", "near"])
 
     both = pairs.join(vectors.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(vectors.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    return tables.saved(tables.over_batches(both.select("a", "b", "x", "y"), run, "a binary, b binary"), "links")
+    return tables.saved(tables.over_batches(both.select("a", "b", "x", "y"), run, "a binary, b binary, near double"), "compared")
 
 
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -263,30 +269,106 @@ def _labels(drawn: DataFrame) -> DataFrame | None:
     size = spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size")
     members = tables.saved(spread.join(size, "band"), "members")
     met = members.groupBy("key").agg(F.sum("size").alias("met"))
-    vectors = tables.saved(drawn.where("shingles IS NOT NULL").select("key", "shingles").join(met.select("key"), "key", "left_semi").dropDuplicates(["key"]), "vectors")
+    vectors = tables.saved(drawn.where("shingles IS NOT NULL").select("key", "shingles", "mass").join(met.select("key"), "key", "left_semi").dropDuplicates(["key"]), "vectors")
     left = tables.saved(members.join(met, "key"), "left")
-    labels, tested = None, None
+    labels, tested, first, far = None, None, None, F.col("near") < THRESHOLD
     for _ in range(ROUNDS):
-        pivots = left.groupBy("band").agg(F.max(F.struct("met", "key"))["key"].alias("pivot"))
-        pairs = tables.saved(left.join(pivots, "band").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
-        tested, new = pairs if tested is None else tested.unionByName(pairs), pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        links = _verified(new, vectors)
+        pivots = tables.saved(left.groupBy("band").agg(F.max(F.struct("met", "key"))["key"].alias("pivot")), "pivots")
+        pairs = left.join(pivots, "band").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        compared = _compared(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), vectors)
+        if tested is None:
+            tested, first = compared, pivots
+        else:
+            tested = tested.unionByName(compared)
+        links = compared.where(~far).select("a", "b")
         if not links.isEmpty():
             labels = components(links, labels)
         named = _named(left, labels)
         of_pivot = _named(pivots.select("band", F.col("pivot").alias("key")), labels).select("band", F.col("label").alias("pivot_label"))
         left = tables.saved(named.join(of_pivot, "band").where("label <> pivot_label").select("key", "band", "size", "met"), "left")
         if left.isEmpty():
-            return labels
-    small = _named(members.where(F.col("size") <= SMALL), labels)
-    apart = small.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    small = tables.saved(small.join(apart, "band"), "small")
-    other = small.select("band", F.col("key").alias("b"), F.col("label").alias("b_label"))
-    rest = small.join(other, "band").where("key < b AND label <> b_label").select(F.col("key").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-    links = _verified(rest, vectors)
+            break
+    apart = _apart(_named(members, labels), first, tested, vectors)
+    few = _compared(_few(apart.where(F.col("size") <= SMALL), tested), vectors).where(~far).select("a", "b")
+    links = tables.saved(few.unionByName(_many(apart.where(F.col("size") > SMALL), vectors)).distinct(), "links")
     return labels if links.isEmpty() else components(links, labels)
 
 
+def _apart(named: DataFrame, first: DataFrame, tested: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The members of bands with several components, with what bounds their similarity.
+
+    Of each band all members meet those ``outside`` its largest component, so that a large
+    component with a few other texts costs its size times their number.
+    """
+    held = named.groupBy("band", "label").agg(F.count("*").alias("held"))
+    apart = held.groupBy("band").agg(F.max(F.struct("held", "label"))["label"].alias("largest"), F.count("*").alias("labels")).where("labels > 1").select("band", "largest")
+    met = named.join(apart, "band").join(first, "band").withColumns({"a": F.least("key", "pivot"), "b": F.greatest("key", "pivot")})
+    met = met.join(tested, ["a", "b"], "left").join(vectors.select("key", "mass", F.length("shingles").alias("bytes")), "key")
+    near = F.when(F.col("key") == F.col("pivot"), 1.0).otherwise(F.col("near"))
+    return tables.saved(met.select("band", "size", "key", "label", (F.col("label") != F.col("largest")).alias("outside"), "mass", "bytes", near.alias("near")), "apart")
+
+
+def _few(apart: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of a band in different components, neither compared nor proved apart by bounds."""
+    outside = apart.where("outside").select("band", *(F.col(c).alias(f"other_{c}") for c in ("key", "label", "mass", "near")))
+    pairs = apart.join(outside, "band").where(
+        (F.col("label") != F.col("other_label")) & (F.least("mass", "other_mass") >= (THRESHOLD - SLACK) * F.greatest("mass", "other_mass"))
+        & (F.abs(F.col("near") - F.col("other_near")) <= 1 - THRESHOLD + SLACK)
+    )
+    return pairs.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def near_pairs(block: pa.Table) -> pa.Table:
+    """Pairs (a, b) of near texts in different components, one of them from rows with ``other``, the other from the rest."""
+    other = block.column("other").to_numpy()
+    one, two = (block.filter(pa.array(k)) for k in (~other, other))
+    made: tuple[list, list] = ([], [])
+    if one.num_rows and two.num_rows:
+        vectors = one.column("shingles").to_pylist()
+        n = np.array([len(v) // 8 for v in vectors])
+        hashes = np.concatenate([np.frombuffer(v, np.uint32, k) for v, k in zip(vectors, n.tolist(), strict=True)])
+        weight = np.concatenate([np.frombuffer(v, np.float32, k, 4 * k) for v, k in zip(vectors, n.tolist(), strict=True)])
+        text = np.repeat(np.arange(len(n)), n)
+        known, code = np.unique(hashes, return_inverse=True)
+        dense = np.zeros(len(known), np.float32)
+        ids = {label: k for k, label in enumerate(set(one.column("label").to_pylist()) | set(two.column("label").to_pylist()))}
+        labels, others = (np.array([ids[x] for x in t.column("label").to_pylist()]) for t in (one, two))
+        (mass, near), (masses, nears) = ((t.column("mass").to_numpy(), t.column("near").to_numpy()) for t in (one, two))
+        keys = one.column("key").to_pylist()
+        for k, (key, v) in enumerate(zip(two.column("key").to_pylist(), two.column("shingles").to_pylist(), strict=True)):
+            may = (labels != others[k]) & (np.minimum(mass, masses[k]) >= (THRESHOLD - SLACK) * np.maximum(mass, masses[k])) & (np.abs(near - nears[k]) <= 1 - THRESHOLD + SLACK)
+            if not may.any():
+                continue
+            h, w = np.frombuffer(v, np.uint32, len(v) // 8), np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            dense[at[hit]] = w[hit]
+            inside = np.flatnonzero(may[text] & (dense[code] > 0))
+            shared = np.bincount(text[inside], np.minimum(weight[inside], dense[code[inside]]), len(n))
+            dense[at[hit]] = 0
+            for j in np.flatnonzero(may & (shared >= (THRESHOLD - SLACK) * (mass + masses[k] - shared))).tolist():
+                if similarity(vectors[j], v) >= THRESHOLD:
+                    made[0].append(min(keys[j], key))
+                    made[1].append(max(keys[j], key))
+    return pa.table({"a": pa.array(made[0], pa.binary()), "b": pa.array(made[1], pa.binary())})
+
+
+def _many(apart: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Near pairs of large bands: every block of a band's members meets every block of those outside.
+
+    A text's vector goes to a task once for each block it meets and not once for each pair.
+    """
+    blocks = lambda size: F.greatest(F.ceil(F.sum(size) / COMPARED_BYTES), F.lit(1)).cast("int")
+    numbers = apart.groupBy("band").agg(blocks("bytes").alias("ones"), blocks(F.when(F.col("outside"), F.col("bytes"))).alias("twos"))
+    dealt = apart.join(numbers, "band").join(vectors.select("key", "shingles"), "key")
+    of = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["band", "key", "label", "mass", "near", "shingles"]
+    one = dealt.select(*columns, F.lit(False).alias("other"), of("ones").alias("i"), all_of("twos").alias("j"))
+    two = dealt.where("outside").select(*columns, F.lit(True).alias("other"), all_of("ones").alias("i"), of("twos").alias("j"))
+    return one.unionByName(two).groupBy("band", "i", "j").applyInArrow(near_pairs, "a binary, b binary")
+
+
 def _named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The members with their component's label, which is their own key as long as they have none."""
     if labels is None:

@@ -125,6 +125,14 @@ def test_copies_do_not_change_which_texts_are_compared(spark):
     assert label_sets(near_dedup._labels(drawn_rows(spark, vectors, copies=10))) == [["a", "b"]]
 
 
+def test_every_pair_of_a_large_band_is_linked_or_compared(spark):
+    """Far texts have the greatest keys and become pivots; x joins a pivot, and y is near x but not near the pivot."""
+    run = lambda a, n=20: {j: 1.0 for j in range(a, a + n)}
+    vectors = {f"t{n:02}": run(1000 * (n + 10)) for n in range(60)}
+    vectors |= {"a": run(100), "b": run(101), "c": run(300), "d": run(301), "z": run(500), "x": run(502), "y": run(504)}
+    assert label_sets(near_dedup._labels(drawn_rows(spark, vectors))) == [["a", "b"], ["c", "d"], ["x", "y", "z"]]
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     a, b = words(1, 400), words(1, 400)
     b[300:] = words(2, 100)
