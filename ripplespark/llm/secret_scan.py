@@ -3,8 +3,8 @@
 One pass finds candidates in every whole text.  The three base kinds always count.  For
 the other kinds, and as a verdict on the base ones, the hash of each candidate's value is
 counted by distinct repositories and distinct owners over the whole corpus: a value that
-many owners or many repositories hold was copied from documentation, one that few hold
-looks live.  Only hashes, places and owners are shuffled, never texts or values.
+many owners hold was copied from documentation, one that few hold looks live, in however
+many of their repositories it stands.  Only hashes, places and owners are shuffled, never texts or values.
 
 Null texts count as empty.  A null owner or repository counts as one of its own.
 Repeated rows are each scanned; their values are counted once for each repository.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import tables
 
-#: A value with more owners, or in more repositories, than this is a copied example.
-MAX_OWNERS, MAX_REPOS = 3, 50
+#: A value with more owners than this is a copied example.
+MAX_OWNERS = 3
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _HINTS = ("passw", "secret", "token", "api")
@@ -107,7 +107,7 @@ def spread(found: DataFrame) -> DataFrame:
     return owners.join(repos, "hash")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
     """Rows (id, spans): every row's secrets in order of place.
 
     spans: kind, start, end (code points), owners, repos, base and live.  Base kinds are
@@ -116,7 +116,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
     found = tables.saved(candidates(df, id_col, text_col, owner_col, repo_col), "secrets")
     some = found.where(F.size("found") > 0).select("row", F.posexplode("found").alias("n", "c"))
     judged = some.select("row", "n", "c.*").join(spread(found), "hash")
-    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    live = F.col("owners") <= max_owners
     base = F.col("kind").isin(*BASE_KINDS)
     spans = judged.withColumn("base", base).withColumn("live", live).where("base OR live").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("n", "kind", "start", "end", "owners", "repos", "base", "live"))).alias("spans"))
@@ -144,7 +144,7 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The rows with their columns, secrets in the text masked and its length put right.
 
     Base kinds are masked wherever they stand, further kinds where they look live. Spans
@@ -155,7 +155,7 @@ def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
     found = tables.saved(candidates(src, digest, text_col, owner_col, repo_col), "secrets")
     base = F.col("kind").isin(*BASE_KINDS)
     once = found.where(F.size("found") > 0).groupBy("id").agg(F.first("found").alias("found")).select("id", F.explode("found").alias("c")).select("id", "c.*")
-    live = spread(found).where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("hash")
+    live = spread(found).where(F.col("owners") <= max_owners).select("hash")
     masked = once.where(base).select("id", "start", "end").unionByName(once.where(~base).join(live, "hash", "left_semi").select("id", "start", "end"))
     spans = masked.groupBy(F.col("id").alias(digest)).agg(F.collect_list(F.struct("start", "end")).alias(place))
 

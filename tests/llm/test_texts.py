@@ -186,6 +186,13 @@ def test_widely_copied_examples_are_not_live(spark):
     assert spans[99] == "github:5:45" and not any(spans[k] for k in range(10))
 
 
+def test_copies_of_one_owner_stay_live(spark):
+    own = "ghp_" + "z9Q8" * 9
+    df = spark.createDataFrame([(k, f"mine {own}", "s0") for k in range(60)], "doc_id long, text string, source string")
+    assert {r["spans"] for r in secret_scan.report(secret_scan.scan(df)).collect()} == {"github:5:45"}
+    assert {r["text"] for r in secret_scan.redacted(df).collect()} == {"mine [SECRET]"}
+
+
 def test_redaction(spark):
     out = {r["doc_id"]: r for r in secret_scan.redacted(docs(spark, SECRETS)).collect()}
     assert set(out) == {*range(len(SECRETS)), None} and list(out[0].asDict()) == docs(spark).columns
