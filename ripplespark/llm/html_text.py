@@ -35,13 +35,17 @@ STEPS = 150
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select|object|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<node>noscript|svg|select|object)\b[^>]*>(?:(?!<(?P=node)\b).)*?</(?P=node)\s*>"
+    r"|<head\b[^>]*>(?:(?!<(?:head|body)\b).)*?</head\s*>"
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*+"|'[^']*+'|[^'">])*+)>"""
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile("[a-z]+")
+#: Never text; where the end tag is missing, the head ends at the first element or text of the body, the others at a block.
+_NEVER = frozenset("head noscript svg select object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img br".split())
 _TAGS = (
@@ -62,6 +66,9 @@ _SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "option": ()}
 
 
+_BLOCKS = _CLOSES_P | frozenset("body li dt dd thead tbody tr td th caption".split())
+
+
 class Page(NamedTuple):
     """Nodes of a page in page order, and its texts as (node, block number, text)."""
 
@@ -76,16 +83,21 @@ def parse(page: str) -> Page:
     """The page's tree; texts of one block number belong together."""
     parent, tag, names, inline, texts = [-1], [_TAG["html"]], [0], [False], []
     stack: list[tuple[str, int]] = [("html", 0)]
-    block, at = 0, 0
+    block, at, never = 0, 0, 0  # never: place in the stack of an open element that is never text
 
     def text(piece: str) -> None:
+        if never and (stack[-1][0] != "head" or piece.isspace()):
+            return
+        if never:
+            close_to(never)
         if piece and not piece.isspace():
             texts.append((stack[-1][1], block, html.unescape(piece)))
         elif piece and texts and texts[-1][1] == block:
             texts.append((stack[-1][1], block, " "))
 
     def close_to(depth: int) -> None:
-        nonlocal block
+        nonlocal block, never
+        never = never if never < depth else 0
         if any(t not in _INLINE for t, _ in stack[depth:]):
             block += 1
         del stack[depth:]
@@ -105,6 +117,18 @@ def parse(page: str) -> Page:
             elif name in ("p", "br"):
                 block += name == "p"
             continue
+        if never:
+            if name in _BLOCKS or stack[never][0] == "head" and (name in _INLINE or name in _TAG) and name != "html":
+                close_to(never)
+            else:
+                if name == "title":
+                    stack.append((name, stack[-1][1]))
+                continue
+        elif name in _NEVER:
+            if not m["attrs"].endswith("/"):
+                never = len(stack)
+                stack.append((name, stack[-1][1]))
+            continue
         if name in ("html", "body") and len(stack) > 1 and any(t == name for t, _ in stack):
             continue
         if name == "html":

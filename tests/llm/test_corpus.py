@@ -219,6 +219,13 @@ def test_main_text(spark):
     assert np.mean((p >= 0.5) == np.concatenate(labels)) > 0.95
 
 
+@pytest.mark.parametrize("before", ["<head><title>T</title>", "<head><title>T", "<head><meta charset=utf-8><script>'<body>'</script><title>T</title><body>", "<body><select><option>no", "<object><param name=a>no", "<noscript>no", "<svg><path d=''/>no"])
+def test_unclosed_elements_do_not_swallow_the_page(before):
+    got = html_text.parse(f"{before}<div><p>First words.</p></div><select><option>x</select><p>Last words.</p>").texts
+    assert [t for _, _, t in got] == ["First words.", "Last words."]
+    assert [t for _, _, t in html_text.parse("<head><title>T</title>Plain text").texts] == ["Plain text"]
+
+
 # files ---------------------------------------------------------------------------------
 
 
