@@ -5,7 +5,10 @@ cut at the special strings, each piece is brought into NFC and lower case and sp
 words; every distinct word of a batch becomes a run of symbols in one flat array.  In each
 round the ranks of all adjacent pairs are found by binary search over the sorted pair
 keys, every word merges its leftmost pair of lowest rank, and words without a pair to
-merge leave.  Encoded words are kept in a cache of bounded size.
+merge leave.  Words of more than ``LONG_WORD`` bytes take rounds by rank instead: a round
+merges every place of the lowest pair left and ranks only the pairs beside those places,
+so that an unbroken text of megabytes takes time in proportion to its length.  Encoded
+words are kept in a cache of bounded size.
 
 Null texts count as empty, which give no ids.  Texts are encoded whole, however long.
 """
@@ -13,6 +16,7 @@ Null texts count as empty, which give no ids.  Texts are encoded whole, however
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -23,7 +27,10 @@ from pyspark.sql import DataFrame
 
 from . import flat, tables
 
-CACHE_WORDS = 400_000
+#: What the cache holds at most before it is emptied between two blocks.
+CACHE_WORDS, CACHE_IDS = 400_000, 1 << 23
+#: Longer words, in bytes, are merged by rank.
+LONG_WORD = 64
 _END = "</w>"
 #: Characters that Python's str.split() takes for blanks and the vocabulary's pattern doesn't.
 _CONTROL = regex.compile("[\x1c-\x1f]")
@@ -57,7 +64,12 @@ class WordBPE:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs])
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
+        self.parts = np.array([(vocab[a], vocab[b]) for a, b in pairs])
         self.merged = np.array([vocab[a + b] for a, b in pairs])
+        # a symbol's pairs nearly always rank behind the merge that makes it; where one doesn't, places merge one by one
+        soonest = np.full(self.size, len(pairs))
+        np.minimum.at(soonest, self.parts.ravel(), np.repeat(np.arange(len(pairs)), 2))
+        self.together = soonest[self.merged] > np.arange(len(pairs))
         self.token = [b""] * self.size
         for text, k in [*vocab.items(), *((x["content"], x["id"]) for x in spec["added_tokens"])]:
             self.token[k] = text.encode()
@@ -79,6 +91,11 @@ class WordBPE:
         symbol[last[size > 0]] = self.final[data[last[size > 0]]]
         word = np.repeat(np.arange(len(words)), size)
         done_symbol, done_word = [], []
+        long = (size > LONG_WORD)[word]
+        if long.any():
+            for part, done in zip(self._by_rank(symbol[long], word[long]), (done_symbol, done_word), strict=True):
+                done.append(part)
+            symbol, word = symbol[~long], word[~long]
         while len(symbol):
             # the last symbol of the array has no right neighbour; nor has the last of any word
             key = symbol[:-1] * self.size + symbol[1:]
@@ -110,6 +127,66 @@ class WordBPE:
         order = np.argsort(word, kind="stable")  # the symbols of a word left together, in order
         return symbol[order].astype(np.int32), np.bincount(word, minlength=len(words))
 
+    def _ranked(self, symbol: np.ndarray, place: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the places whose symbol makes a pair of the vocabulary with the one after it, by rank, and the ranks."""
+        key = symbol[place] * self.size + symbol[after]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        place, rank = place[hit], self.ranks[at[hit]]
+        order = np.argsort(rank, kind="stable")
+        return place[order], rank[order]
+
+    def _by_rank(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges symbols of words, every round all places of the lowest pair; a merged place keeps its left symbol's number."""
+        n = len(symbol)
+        symbol = symbol.copy()
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        border = np.flatnonzero(word[:-1] != word[1:])
+        right[border], left[border + 1], right[-1] = -1, -1, -1
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(place: np.ndarray) -> None:
+            place = place[right[place] >= 0]
+            place, rank = self._ranked(symbol, place, right[place])
+            edges = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1], True]) if len(rank) else np.zeros(1, np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                r = int(rank[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(place[a:b])
+
+        wait(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            place = np.sort(np.concatenate(waiting.pop(r)))
+            first, second = self.parts[r]
+            after = right[place]
+            place = place[(symbol[place] == first) & (after >= 0) & (symbol[after] == second) & np.r_[True, place[1:] != place[:-1]]]
+            after = right[place]
+            if first == second and len(place):  # of places in a chain every second
+                k = np.arange(len(place))
+                chained = np.r_[False, place[1:] == after[:-1]]
+                free = (k - np.maximum.accumulate(np.where(chained, 0, k))) % 2 == 0
+                place, after = place[free], after[free]
+            if not len(place):
+                continue
+            if not self.together[r]:  # the leftmost of each word, as what it makes may come before the others
+                leftmost = np.r_[True, word[place[1:]] != word[place[:-1]]]
+                if not leftmost.all():
+                    waiting[r] = [place[~leftmost]]
+                    heapq.heappush(queue, r)
+                place, after = place[leftmost], after[leftmost]
+            beyond = right[after]
+            symbol[place], symbol[after] = self.merged[r], -1
+            right[place] = beyond
+            left[beyond[beyond >= 0]] = place[beyond >= 0]
+            before = left[place]
+            near = np.sort(np.concatenate([before[before >= 0], place]))
+            wait(near[np.r_[True, near[1:] != near[:-1]]])
+        return symbol[symbol >= 0], word[symbol >= 0]
+
     def words_of(self, chunk: str) -> list[str]:
         """The chunk's words. Code points below 65,536 that Unicode has not assigned count as signs, not letters."""
         unknown = () if chunk.isascii() else [c for c in set(chunk) if c < "\U00010000" and unicodedata.category(c) == "Cn"]
@@ -143,7 +220,7 @@ class WordBPE:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        if len(self.known) > self.cache_words:
+        if len(self.known) > self.cache_words or len(self.ids) > CACHE_IDS:
             self._forget()
         pieces: list[list[str]] = []
         for text in texts:

@@ -1,7 +1,10 @@
 """Quality, decontamination, secrets and BPE against plain Python, and on empty, odd and repeated rows."""
 
 import hashlib
+import json
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -66,6 +69,33 @@ def test_bpe_forgets_and_learns_again():
         assert small.encode([text])[0].tolist() == told.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "x", "ab", "\u4e00\u4e8c\u4e09"])
+def test_bpe_of_a_megabyte_without_a_blank(alphabet):
+    r, told = random.Random(1), Tokenizer.from_file(PATH)
+    told.no_truncation()
+    text = "".join(r.choices(alphabet, k=1_000_000))
+    began = time.perf_counter()
+    got = bpe.WordBPE(PATH).encode([text, text[:200]])[0].tolist()
+    assert time.perf_counter() - began < 60
+    assert got == told.encode(text, add_special_tokens=False).ids + told.encode(text[:200], add_special_tokens=False).ids
+
+
+def test_bpe_words_of_all_lengths_and_merges_that_come_before_their_parts(tmp_path):
+    r, told = random.Random(2), Tokenizer.from_file(PATH)
+    words = ["".join(r.choices(r.choice(["abc", "etaoin", "aab", "shtr"]), k=r.randrange(1, 300))) for _ in range(200)]
+    assert bpe.WordBPE(PATH).encode([" ".join(words)])[0].tolist() == told.encode(" ".join(words), add_special_tokens=False).ids
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    spec["model"]["merges"] = [["ab", "a"], ["a", "b"], ["b", "b"], ["aba", "b"]]
+    spec["model"]["vocab"] |= {x: 60_000 + k for k, x in enumerate(["ab", "aba", "bb", "abab"]) if x not in spec["model"]["vocab"]}
+    (tmp_path / "small.json").write_text(json.dumps(spec))
+    told, own = Tokenizer.from_file(str(tmp_path / "small.json")), bpe.WordBPE(str(tmp_path / "small.json"))
+    assert not own.together.all()
+    for _ in range(30):
+        word = "".join(r.choices("aab", k=r.randrange(70, 150)))
+        assert own.encode([word])[0].tolist() == told.encode(word, add_special_tokens=False).ids
+
+
 # quality -------------------------------------------------------------------------------
 
 
