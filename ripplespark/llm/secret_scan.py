@@ -12,6 +12,7 @@ Repeated rows are each scanned; their values are counted once for each repositor
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -35,7 +36,7 @@ BASE_KINDS = ("assign", "access", "hex")
 MORE_KINDS = {
     "github": ("gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     "google": ("AIza", re.compile(r"AIza[0-9A-Za-z_-]{35}")),
-    "jwt": ("eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
+    "jwt": ("eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")),
     "private_key": ("PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----")),
     "slack": ("xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     "stripe": ("_live_", re.compile(r"[rs]k_live_[A-Za-z0-9]{16,}")),
@@ -65,18 +66,43 @@ def base_candidates(text: str) -> list[tuple[str, int, int, str]]:
     return found
 
 
+class Taken:
+    """Places that spans of a text cover, as ranges in order that don't touch the same character."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.add(spans)
+
+    def add(self, spans: list[tuple[int, int]]) -> None:
+        ends: list[int] = []
+        starts: list[int] = []
+        for a, b in sorted([*zip(getattr(self, "starts", ()), getattr(self, "ends", ()), strict=True), *spans]):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        self.starts, self.ends = starts, ends
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.ends, a)
+        return k == len(self.starts) or self.starts[k] >= b
+
+
 def more_candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """Candidates of further kinds that overlap no base one and none before them."""
-    taken, found = [(a, b) for _, a, b, _ in base], []
+    taken, found = Taken([(a, b) for _, a, b, _ in base]), []
     patterns = [(kind, p) for kind, (hint, p) in MORE_KINDS.items() if hint in text]
     for kind, pattern in [*patterns, ("random", _RUN)]:
+        new = []  # of one pattern, so without overlaps
         for m in pattern.finditer(text):
             value = m[0]
             if kind == "random" and (value.isalpha() or value.isdigit() or bits(value) < RUN_BITS or not any(c.isdigit() for c in value)):
                 continue
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
-                taken.append(m.span())
-                found.append((kind, *m.span(), value))
+            if taken.free(*m.span()):
+                new.append((kind, *m.span(), value))
+        if new:
+            taken.add([(a, b) for _, a, b, _ in new])
+            found += new
     return found
 
 
@@ -92,7 +118,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
             found = base_candidates(text)
             found += more_candidates(text, found)
             found.sort(key=lambda c: (c[1], order[c[0]]))
-            out.append([{"kind": k, "start": a, "end": b, "hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).digest()[:16]} for k, a, b, v in found])
+            out.append([{"kind": k, "start": a, "end": b, "hash": _hash(v)} for k, a, b, v in found])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, arrow)], ["id", "owner", "repo", "found"])
 
     src = tables.texts(df, id_col, text_col, F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"))
@@ -144,38 +170,69 @@ def mask(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def _hash(value: str) -> bytes:
+    return hashlib.sha256(value.encode("utf-8", "surrogatepass")).digest()[:16]
+
+
+def redacted(df: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The rows with their columns, secrets in the text masked and its length put right.
 
-    Base kinds are masked wherever they stand, further kinds where they look live. Spans
-    are found once for each distinct text and joined to the rows by the text's digest.
+    Base kinds are masked wherever they stand, further kinds where they look live. Texts
+    without a candidate of a further kind are masked straight from their scan; only the
+    others wait for what owners hold, and of these only hashes and places are shuffled but
+    for the rows of few texts that get their spans.
     """
-    digest, place = tables.unused(df, "_digest"), tables.unused(df, "_spans")
-    src = df.withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    found = tables.saved(candidates(src, digest, text_col, owner_col, repo_col), "secrets")
-    base = F.col("kind").isin(*BASE_KINDS)
-    once = found.where(F.size("found") > 0).groupBy("id").agg(F.first("found").alias("found")).select("id", F.explode("found").alias("c")).select("id", "c.*")
-    live = spread(found).where(F.col("owners") <= max_owners).select("hash")
-    masked = once.where(base).select("id", "start", "end").unionByName(once.where(~base).join(live, "hash", "left_semi").select("id", "start", "end"))
-    spans = masked.groupBy(F.col("id").alias(digest)).agg(F.collect_list(F.struct("start", "end")).alias(place))
-
     own = df.columns
+    extra = {c: tables.unused(df, f"_{c}") for c in ("row", "owner", "spans", "more")}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = batch.schema.names
-        columns = {n: batch.column(k) for k, n in enumerate(names)}
-        spans = columns[place].to_pylist()
+    def masked(columns: dict[str, pa.Array], spans: list[list[tuple[int, int]]]) -> list[pa.Array]:
         hit = [k for k, s in enumerate(spans) if s]
         if hit:
             texts = columns[text_col].to_pylist()
-            sizes = columns[size_col].to_pylist() if size_col in names else None
             for k in hit:
-                texts[k] = mask(texts[k], [(s["start"], s["end"]) for s in spans[k]])
-                if sizes:
-                    sizes[k] = len(texts[k])
+                texts[k] = mask(texts[k], spans[k])
             columns[text_col] = pa.array(texts, columns[text_col].type)
-            if sizes:
+            if size_col in own:
+                sizes = columns[size_col].to_pylist()
+                for k in hit:
+                    sizes[k] = len(texts[k])
                 columns[size_col] = pa.array(sizes, columns[size_col].type)
-        return pa.RecordBatch.from_arrays([columns[n] for n in own], own)
-
-    return tables.over_batches(src.join(spans, digest, "left").select(*own, place), run, df.schema)
+        return [columns[n] for n in own]
+
+    def found(batch: pa.RecordBatch):
+        for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
+            base = base_candidates(text or "")
+            yield base, more_candidates(text or "", base)
+
+    def settled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = list(found(batch))
+        batch = batch.filter(pa.array([not more for _, more in spans]))
+        return pa.RecordBatch.from_arrays(masked({n: batch.column(k) for k, n in enumerate(own)}, [[c[1:3] for c in base] for base, more in spans if not more]), own)
+
+    place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    named = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("hash", pa.binary())])
+
+    def open_ones(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = list(found(batch))
+        batch = batch.filter(pa.array([bool(more) for _, more in spans]))
+        spans = [s for s in spans if s[1]]
+        base = pa.array([[{"start": c[1], "end": c[2]} for c in b] for b, _ in spans], pa.list_(place))
+        more = pa.array([[{"start": c[1], "end": c[2], "hash": _hash(c[3])} for c in m] for _, m in spans], pa.list_(named))
+        return pa.RecordBatch.from_arrays([*batch.columns, base, more], [*own, extra["spans"], extra["more"]])
+
+    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema] + [(extra["spans"], "array<struct<start:bigint,end:bigint>>"), (extra["more"], "array<struct<start:bigint,end:bigint,hash:binary>>")]
+    waiting = tables.over_batches(df, open_ones, ", ".join(f"`{n}` {k}" for n, k in kinds)).withColumn(extra["row"], F.monotonically_increasing_id())
+    waiting = tables.saved(waiting, "candidates")
+    each = waiting.select(F.col(extra["row"]).alias("row"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.explode(extra["more"]).alias("c")).select("row", "owner", "c.*")
+    live = each.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("owners")).where(F.col("owners") <= max_owners)
+    spans = tables.saved(each.join(live.select("hash"), "hash", "left_semi").groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("live")), "spans")
+    name = tables.unused(waiting, "live")
+    both = waiting.join(spans.select(F.col("row").alias(extra["row"]), F.col("live").alias(name)), extra["row"], "left")
+    both = both.withColumn(extra["spans"], F.concat(extra["spans"], F.coalesce(name, F.array().cast("array<struct<start:bigint,end:bigint>>")))).select(*own, extra["spans"])
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+        spans = [[(s["start"], s["end"]) for s in row] for row in columns.pop(extra["spans"]).to_pylist()]
+        return pa.RecordBatch.from_arrays(masked(columns, spans), own)
+
+    return tables.over_batches(df, settled, df.schema).unionByName(tables.over_batches(both, judged, df.schema))

@@ -223,6 +223,18 @@ def test_copies_of_one_owner_stay_live(spark):
     assert {r["text"] for r in secret_scan.redacted(df).collect()} == {"mine [SECRET]"}
 
 
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token={k:032x} ghp_{'a1B2' * 9} qW8eR7tY6uI5oP4aS3dF2gH{k} " for k in range(20_000)) + "eyJ" * 400_000
+    began = time.perf_counter()
+    base = secret_scan.base_candidates(text)
+    more = secret_scan.more_candidates(text, base)
+    assert time.perf_counter() - began < 60 and len(base) == 40_000 and len(more) == 40_000
+    spans = sorted(s[1:3] for s in more)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    taken = secret_scan.Taken([(5, 9), (1, 3), (8, 12), (3, 4)])
+    assert [(a, b) for a in range(14) for b in range(a + 1, 15) if taken.free(a, b)] == [(0, 1), (4, 5), *((a, b) for a in (12, 13) for b in range(a + 1, 15))]
+
+
 def test_redaction(spark):
     out = {r["doc_id"]: r for r in secret_scan.redacted(docs(spark, SECRETS)).collect()}
     assert set(out) == {*range(len(SECRETS)), None} and list(out[0].asDict()) == docs(spark).columns
