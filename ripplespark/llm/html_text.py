@@ -5,7 +5,8 @@ tag, the words in its class, id and role, its text and its links; every edge fro
 to child has a potential for each pair of labels, one table for inline and one for block
 children.  As the graph is a tree, sum-product messages passed once upward and once
 downward give exact marginals; nodes of many pages pass their messages together, level by
-level.  Text counts where its element's marginal is a half or more.
+level.  Text counts where its element's marginal is a half or more; of pages without such
+text the likeliest counts, unless it stands aside (menus, footers and the like).
 
 The potentials maximise the likelihood of labelled pages.  No corpus of labels is at hand,
 so ``labelled_pages`` writes pages from a set of layouts and knows the label of each node;
@@ -14,6 +15,7 @@ so ``labelled_pages`` writes pages from a set of layouts and knows the label of
 Scripts, styles, templates, comments and the head are never text.  A block's white space
 becomes single spaces; blocks are joined by line breaks.  Null, empty or wordless pages
 give an empty text.  Unclosed and cut-off tags are put up with; nothing is cut short.
+Repeated rows give repeated results; other columns of the pages play no part.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 
 from . import flat, tables
 
-TRAIN_PAGES = 500
-STEPS = 150
+TRAIN_PAGES = 600
+STEPS = 200
+#: Elements nested deeper are no nodes; their text is that of the deepest node around it, as in browsers.
+DEPTH = 512
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -44,6 +48,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile("[a-z]+")
+#: A tag that closes itself; the slash behind a value without quotes is part of the value.
+_CLOSED = re.compile(r"""(?<![^\s"'/])/\Z|(?:\A|[\s"'/])[^\s"'/=]+/\Z""")
 #: Never text; where the end tag is missing, the head ends at the first element or text of the body, the others at a block.
 _NEVER = frozenset("head noscript svg select object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -125,7 +131,7 @@ def parse(page: str) -> Page:
                     stack.append((name, stack[-1][1]))
                 continue
         elif name in _NEVER:
-            if not m["attrs"].endswith("/"):
+            if name != "svg" or not _CLOSED.search(m["attrs"]):  # only foreign elements close themselves
                 never = len(stack)
                 stack.append((name, stack[-1][1]))
             continue
@@ -167,14 +173,16 @@ def parse(page: str) -> Page:
                             bits |= 1 << _NAME[part]
             if " hidden" in m["attrs"].lower():
                 bits |= 1 << len(_NAMES)
+        if len(stack) > DEPTH:
+            block += name not in _INLINE
+            continue
         parent.append(stack[-1][1])
         tag.append(_TAG.get(name, _TAG["other"]))
         names.append(bits)
         inline.append(name in _INLINE)
         if name not in _INLINE:
             block += 1
-        if not m["attrs"].endswith("/"):
-            stack.append((name, len(parent) - 1))
+        stack.append((name, len(parent) - 1))
     if at < len(page):
         text(page[at:])
     return Page(parent, tag, names, inline, texts)
@@ -187,10 +195,14 @@ class Forest(NamedTuple):
     depth: np.ndarray
     inline: np.ndarray
     features: np.ndarray
+    aside: np.ndarray = np.zeros(0, bool)  # whether a tag or name of its own or above says that it is no article
 
 
 _SIZES = np.array([1, 25, 80, 200, 600])
-_N_FEATURES = 1 + len(_TAGS) + len(_NAMES) + 1 + (len(_SIZES) + 1) + 4 + 4 + 3
+_N_FEATURES = 1 + len(_TAGS) + len(_NAMES) + 1 + (len(_SIZES) + 1) + 4 + 4 + 3 + 6
+#: Tags and groups of names whose text is left out when a node's share of the page's likely text is worked out.
+_ASIDE_TAGS = [_TAG[t] for t in "nav header footer aside form button".split()]
+_ASIDE_NAMES = sum(1 << k for k in (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 13, len(_NAMES)))
 
 
 def forest(pages: list[Page]) -> Forest:
@@ -205,14 +217,16 @@ def forest(pages: list[Page]) -> Forest:
             own[a + node] += size
             ends[a + node] += text.count(".") + text.count("!") + text.count("?") + text.count(",") if size else 0
     depth = np.zeros(n, np.int64)
+    aside = np.isin(tag, _ASIDE_TAGS) | (bits & _ASIDE_NAMES > 0)
     for k in range(n):  # parents come first
         if parent[k] >= 0:
             depth[k] = depth[parent[k]] + 1
-    all_text, stops, links = own.copy(), ends.copy(), np.where(tag == _TAG["a"], own, 0.0)
+            aside[k] |= aside[parent[k]]
+    all_text, stops, links, likely = own.copy(), ends.copy(), np.where(tag == _TAG["a"], own, 0.0), np.where(aside, 0.0, own)
     kids = np.bincount(parent[parent >= 0], minlength=n)
     for d in range(int(depth.max()), 0, -1):
         at = np.flatnonzero(depth == d)
-        for sums in (all_text, stops, links):
+        for sums in (all_text, stops, links, likely):
             np.add.at(sums, parent[at], np.where(tag[at] == _TAG["a"], all_text[at], sums[at]) if sums is links else sums[at])
     root = np.repeat(first[:-1], np.diff(first))
     share = all_text / np.maximum(1, all_text[root])
@@ -231,8 +245,11 @@ def forest(pages: list[Page]) -> Forest:
     c += 4
     x[np.arange(n), c + np.searchsorted([0.02, 0.2, 0.6], share, "right")] = 1
     c += 4
+    x[:, c + 3] = aside
+    likely /= np.maximum(1, likely[root])
+    x[np.arange(n), c + 4 + np.searchsorted([1e-9, 0.05, 0.3, 0.7], likely, "right")] = 1
     x[:, c], x[:, c + 1], x[:, c + 2] = (prose > 0.005) & (all_text > 25), kids > 3, all_text == 0
-    return Forest(parent, depth, inline, x)
+    return Forest(parent, depth, inline, x, aside)
 
 
 class Model(NamedTuple):
@@ -286,15 +303,25 @@ def train(pages: list[Page], labels: list[np.ndarray], steps: int = STEPS, decay
 
 
 def extract(pages: list[Page], model: Model) -> list[str]:
-    """The main text of each page."""
+    """The main text of each page.
+
+    A page none of whose texts reaches a half, such as a bare paragraph, gives the texts of
+    at least half the page's greatest marginal, without those that a tag or name sets aside.
+    """
     if not pages:
         return []
-    content = marginals(forest(pages), model)[0] >= 0.5
+    trees = forest(pages)
+    p = marginals(trees, model)[0]
     out, a = [], 0
     for page in pages:
+        held = np.unique(np.fromiter((a + node for node, _, text in page.texts if text != " "), np.int64))
+        least = 0.5
+        if len(held) and p[held].max() < least:
+            held = held[~trees.aside[held]]
+            least = p[held].max() / 2 if len(held) else 2.0
         blocks: dict[int, list[str]] = {}
         for node, block, text in page.texts:
-            if content[a + node]:
+            if p[a + node] >= least and (least == 0.5 or not trees.aside[a + node]):
                 blocks.setdefault(block, []).append(text)
         lines = (" ".join("".join(parts).split()) for parts in blocks.values())
         out.append("\n".join(x for x in lines if x))
@@ -332,7 +359,7 @@ class _Layout:
 
     def paragraph(self, label: bool) -> str:
         r = self.r
-        text = self.inline(_words(r, 1, r.choice([4, 15, 60, 150])), label)
+        text = self.inline(_words(r, 1, r.choice([4, 15, 60, 150] if r.random() < 0.97 else [1500])), label)
         kind = r.random()
         if kind < 0.25:
             return self.tag("p", self.tag("b", text, label, close=False) + "<br>", label, close=False)
@@ -381,8 +408,9 @@ class _Layout:
         r = self.r
         some = lambda p, kind: self.clutter(kind) if r.random() < p else ""
         parts = [self.tag("h1", _words(r, 2, 9), True)] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 12)):
-            parts.append(self.article_part())
+        bare = r.random() < 0.15  # a short text, with little around it
+        for _ in range(r.randint(1, 2) if bare else r.randint(1, 12)):
+            parts.append(self.paragraph(True) if bare else self.article_part())
             if r.random() < 0.06:
                 parts.append(self.clutter(r.choice(["ad", "notice", "share", "form", "side"])))
         inner = "".join(parts)
@@ -393,17 +421,23 @@ class _Layout:
             body = self.tag("main", inner, True)
         elif shape < 0.72:
             body = self.tag("main", self.tag("article", inner, True), True)
-        elif shape < 0.94:
+        elif shape < 0.9:
             body = self.tag(r.choice(["div", "section"]), inner, True, f'{r.choice(["class", "id"])}="{r.choice(["content", "post", "entry-content", "article-body", "story", "main-content", "post-text"])}"')
-        else:
-            body = self.tag("div", inner, True)
+        elif shape < 0.95:
+            body = self.tag(r.choice(["div", "div", "section", "td"]), inner, True)
+        else:  # straight in the body
+            body = inner
+        own = shape > 0.98  # text of the body's own
+        if own:
+            body = self.inline(_words(r, 2, r.choice([15, 150])), True) + r.choice(["", "<br>", "<hr>"]) + body * (r.random() < 0.5)
+        some = (lambda p, kind: self.clutter(kind) if r.random() < p / 4 else "") if bare else some
         body += some(0.35, "comments") + some(0.1, "share") + some(0.15, "side")
-        if r.random() < 0.3:
+        if r.random() < 0.3 and not own:
             body = self.tag("div", some(0.3, "side") + body + some(0.4, "side"), False, r.choice(["", 'class="wrapper"', 'id="page"']))
         before = [some(0.4, "header"), some(0.7, "nav"), some(0.45, "ad"), some(0.25, "notice"), some(0.15, "form")]
         after = [some(0.2, "ad"), some(0.2, "form"), some(0.15, "notice"), some(0.8, "footer")]
         r.shuffle(before)
-        text = "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(before) + body + "".join(after) + "</body></html>"
+        text = "<!DOCTYPE html><html><head><title>x</title></head>" + self.tag("body", "".join(before) + body + "".join(after), own) + "</html>"
         return text[: r.randint(len(text) // 2, len(text))] if r.random() < 0.1 else text
 
 
@@ -414,10 +448,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 5) -> tuple[list[Page], lis
         marked = _Layout(1000 * seed + k).page()
         y = [int(x) for x in re.findall(r"<[a-z0-9]+[^<>]*? data-y=([01])>", marked)]
         page = parse(re.sub(r" data-y=[01]>", ">", marked))
-        wrong = len(page.parent) - len(y) - 1 - ("<body>" in marked)
-        if wrong == 0:  # the root and the body have no mark; void elements are no nodes
+        if len(page.parent) == len(y) + 1:  # the root has no mark; void elements are no nodes
             pages.append(page)
-            labels.append(np.array([0, 0, *y]))
+            labels.append(np.array([0, *y]))
     return pages, labels
 
 
@@ -425,7 +458,7 @@ _trained: dict[int, Model] = {}
 
 
 def trained(n: int = TRAIN_PAGES) -> Model:
-    """The model of so many labelled pages; fitted once in a driver."""
+    """The model of so many labelled pages; fitted once in a driver, in some seconds."""
     if n not in _trained:
         _trained[n] = train(*labelled_pages(n))
     return _trained[n]

@@ -226,6 +226,46 @@ def test_unclosed_elements_do_not_swallow_the_page(before):
     assert [t for _, _, t in html_text.parse("<head><title>T</title>Plain text").texts] == ["Plain text"]
 
 
+LINES = "<p>One line of an article, which goes on for a while.</p>"
+WHOLE = "One line of an article, which goes on for a while."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>x</title><body><article>{LINES}</article>", WHOLE),
+        (f"<body><article><svg class=i />{LINES}<svg/>{LINES}</article><svg></svg>", f"{WHOLE}\n{WHOLE}"),
+        (f"<body><article>{LINES}<svg a=b/>no</svg>{LINES}</article>", f"{WHOLE}\n{WHOLE}"),
+        (f"<body><object>{LINES}", WHOLE),
+        (f"<body><select><option>no{LINES}", WHOLE),
+        (f"<body><article><div/>{LINES}<a href=/x/>more of it</a> and the end</article><footer>foot</footer>", f"{WHOLE}\nmore of it and the end"),
+        ("<article><p>Short one.</p></article>", "Short one."),
+        ("<html><body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>Short one.</p></article><footer>c</footer></body></html>", "T\nShort one."),
+        ("<p>Hello world.</p>", "Hello world."),
+        ("Just plain text", "Just plain text"),
+        ("<div id=content><p>Two words.</p></div>", "Two words."),
+        ("<body><nav><a href=/>Home</a> <a href=/x>News</a></nav><footer>Nobody</footer>", ""),
+        ("<body><div class=content><p>" + "Some words. " * 100_000 + "</p></div>", "Some words. " * 99_999 + "Some words."),
+        ("<div>" * 50_000 + "<b>" * 50_000 + "deep text" + "</i>" * 50_000, "deep text"),
+        ("<article>" + LINES * 3000 + "</article>", "\n".join([WHOLE] * 3000)),
+    ],
+)
+def test_pages_keep_their_text(page, text):
+    assert html_text.extract([html_text.parse(page)], html_text.trained()) == [text]
+
+
+def test_text_of_held_out_layouts():
+    pages, labels = html_text.labelled_pages(200, seed=77)
+    same = 0
+    for page, y, got in zip(pages, labels, html_text.extract(pages, html_text.trained()), strict=True):
+        blocks = {}
+        for node, block, text in page.texts:
+            if y[node]:
+                blocks.setdefault(block, []).append(text)
+        same += got == "\n".join(filter(None, (" ".join("".join(b).split()) for b in blocks.values())))
+    assert same >= 0.95 * len(pages)
+
+
 # files ---------------------------------------------------------------------------------
 
 
