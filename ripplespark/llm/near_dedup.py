@@ -2,10 +2,14 @@
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; shingles are five
 words in a row (a text of fewer words is one shingle).  A shingle weighs its count in the
-text times ln(1 + N / max(df, N / 10)): boilerplate that more than a tenth of all N rows
-hold counts less, while a group of near copies does not lower its own weight.  Such
-frequent shingles are found exactly in two passes, and there are at most ten times as many
-of them as a text has shingles on average, which bounds what is broadcast.
+text times its inverse document frequency ln(1 + K / max(k, K * FREQUENT)), where K is how
+many kinds of texts there are and k how many of them hold the shingle.  Texts whose least
+shingle hash is the same are of one kind: copies mostly are, so that a group of copies
+does not lower its own weight as it would if rows were counted, while a passage in texts
+that are otherwise different does.  Shingles in at least ``FREQUENT`` of the rows are found
+exactly, by two passes; there are at most 1 / FREQUENT times as many of them as a text has
+shingles on average, which bounds what is broadcast.  All others are held by fewer kinds
+than K * FREQUENT or by a few copies, and weigh the most.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of a text, equal in two
 texts with the probability of their weighted Jaccard similarity.  Texts that share a band
@@ -25,10 +29,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import flat, tables
@@ -36,10 +41,10 @@ from . import flat, tables
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Shingles in at least this share of the rows are frequent.
-FREQUENT = 0.1
-#: Shingles that fewer rows of a chunk hold are not reported from it; the slack of the first pass.
-LOCAL = 0.01
-CHUNK_ROWS = 2000
+FREQUENT = 0.05
+#: A chunk reports shingles that more than this share of its rows hold; chunks end at so many rows or shingles.
+LOCAL = 0.02
+CHUNK_ROWS, CHUNK_SHINGLES = 2000, 1 << 22
 #: Rounds of pivots before all that remain apart are compared; what rounding may add to a bound.
 ROUNDS, SLACK = 3, 1e-3
 #: Bands of up to so many texts give pairs; larger ones are compared by pairs of blocks of so many bytes.
@@ -47,8 +52,8 @@ SMALL, COMPARED_BYTES = 50, 8 << 20
 _CELLS = 1 << 16
 _rng = np.random.default_rng(20240229)
 _gamma_r, _gamma_c, _beta = _rng.gamma(2, 1, _CELLS), _rng.gamma(2, 1, _CELLS), _rng.random(_CELLS)
-#: Per cell 1 / r, beta, ln c - r + r * beta and r: a sample of weight S is at floor(ln S / r + beta).
-_INVERSE, _BETA, _BASE, _R = (x.astype(np.float32) for x in (1 / _gamma_r, _beta, np.log(_gamma_c) - _gamma_r + _gamma_r * _beta, _gamma_r))
+#: r, 1 / r, ln c - r and beta by cell: a sample of weight S is at t = floor(ln S / r + beta), its value ln c - r * (t - beta) - r.
+_R, _INVERSE, _LOG_C, _BETA = (x.astype(np.float32) for x in (_gamma_r, 1 / _gamma_r, np.log(_gamma_c), _beta))
 _ODD = _rng.integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -88,12 +93,20 @@ def _sums(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes[new], np.add.reduceat(counts, new) if len(new) else counts
 
 
-def frequent_shingles(texts: DataFrame, n: int) -> dict[int, int]:
-    """Hash and document frequency of every shingle in at least ``FREQUENT`` of the n rows; exact.
+class Frequencies(NamedTuple):
+    """Hashes of frequent shingles in order, how many kinds of texts hold each, and how many kinds there are."""
 
-    A chunk reports shingles in ``LOCAL`` of its rows or more; what it leaves out adds up to
-    less than ``LOCAL`` of all rows. So a frequent shingle is reported for at least
-    FREQUENT - LOCAL of all rows, which few can be; these are then counted exactly.
+    hashes: np.ndarray
+    kinds: np.ndarray
+    all_kinds: int
+
+
+def shingle_kinds(texts: DataFrame, n: int) -> Frequencies:
+    """The kinds that hold every shingle of at least ``FREQUENT`` of the n rows; exact.
+
+    A chunk leaves out shingles of at most ``LOCAL`` of its rows, and says how many rows
+    that is. What all chunks leave out of a shingle is known so; a frequent one is reported
+    for the rest of FREQUENT * n rows at least, which few shingles are. These are counted.
     """
 
     def report(batches):
@@ -101,47 +114,65 @@ def frequent_shingles(texts: DataFrame, n: int) -> dict[int, int]:
 
         def out():
             hashes, counts = _sums(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
-            keep = counts >= LOCAL * rows
-            return pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(counts[keep])], ["hash", "rows"])
+            left_out = int(LOCAL * rows)
+            keep = counts > left_out
+            n = int(keep.sum())  # and a row without a hash for what is left out
+            return pa.RecordBatch.from_arrays([pa.array([*hashes[keep].view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[counts[keep], 0]), pa.array(np.r_[np.zeros(n, np.int64), left_out])], ["hash", "rows", "left_out"])
 
         for batch, data, offsets in _blocks(batches):
             held.append(shingles(data, offsets)[1])
             rows += batch.num_rows
-            if rows >= CHUNK_ROWS:
+            if rows >= CHUNK_ROWS or sum(map(len, held)) >= CHUNK_SHINGLES:
                 yield out()
                 held, rows = [], 0
         if rows:
             yield out()
 
-    likely = texts.mapInArrow(report, "hash long, rows long").groupBy("hash").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= (FREQUENT - LOCAL) * n)
-    found = np.sort(np.array([r[0] for r in likely.select("hash").collect()], np.int64).view(np.uint64))
-    if not len(found):
-        return {}
+    reported = tables.saved(texts.mapInArrow(report, "hash long, rows long, left_out long").groupBy("hash").agg(F.sum("rows").alias("rows"), F.sum("left_out").alias("left_out")), "reported")
+    least = FREQUENT * n - (reported.agg(F.sum("left_out")).first()[0] or 0)
+    found = np.sort(np.array(reported.where((F.col("rows") >= least) & F.col("hash").isNotNull()).select("hash").toArrow().column(0), np.int64).view(np.uint64))
     shared = texts.sparkSession.sparkContext.broadcast(found)
 
-    def count(batches):
+    def hold(batches):
         for _, data, offsets in _blocks(batches):
-            made = shingles(data, offsets)[1]
-            at = np.minimum(np.searchsorted(shared.value, made), len(shared.value) - 1)
-            hashes, counts = _sums(made[shared.value[at] == made], np.ones(int((shared.value[at] == made).sum()), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "rows"])
-
-    exact = texts.mapInArrow(count, "hash long, rows long").groupBy("hash").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= FREQUENT * n)
-    return {r[0]: r[1] for r in exact.collect()}
-
-
-def weights(hashes: np.ndarray, counts: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Count times inverse document frequency; common: sorted hashes of frequent shingles, and their idf."""
+            doc, made, _ = shingles(data, offsets)
+            if not len(made):
+                continue
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])  # in order of hashes, so that the first is the least
+            kind = np.repeat(made[first], np.diff(np.r_[first, len(doc)]))
+            at = np.minimum(np.searchsorted(shared.value, made), max(0, len(shared.value) - 1))
+            hit = shared.value[at] == made if len(shared.value) else np.zeros(len(made), bool)
+            # None stands for the text itself
+            pairs = [np.r_[made[hit], np.zeros(len(first), np.uint64)], np.r_[kind[hit], made[first]], np.r_[np.ones(int(hit.sum()), bool), np.zeros(len(first), bool)]]
+            order = np.lexsort(pairs)
+            new = np.r_[True, np.any([p[order][1:] != p[order][:-1] for p in pairs], 0)]
+            runs = np.diff(np.r_[np.flatnonzero(new), len(order)])
+            hashes, kind, shingle = (p[order][new] for p in pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64), mask=~shingle), pa.array(kind.view(np.int64)), pa.array(runs)], ["hash", "kind", "rows"])
+
+    held = texts.mapInArrow(hold, "hash long, kind long, rows long").groupBy("hash", "kind").agg(F.sum("rows").alias("rows"))
+    counted = held.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("rows").alias("rows")).where((F.col("rows") >= FREQUENT * n) | F.col("hash").isNull()).toArrow()
+    got = [(h, k) for h, k in zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True)]
+    some = sorted((h & (1 << 64) - 1, k) for h, k in got if h is not None)
+    return Frequencies(np.array([h for h, _ in some], np.uint64), np.array([k for _, k in some], np.int64), next((k for h, k in got if h is None), 0))
+
+
+def weights(hashes: np.ndarray, counts: np.ndarray, common: Frequencies) -> np.ndarray:
+    """Count times inverse document frequency."""
     idf = np.full(len(hashes), np.log1p(1 / FREQUENT))
-    if len(common[0]) and len(hashes):
-        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        hit = common[0][at] == hashes
-        idf[hit] = common[1][at[hit]]
+    if len(common.hashes) and len(hashes):
+        at = np.minimum(np.searchsorted(common.hashes, hashes), len(common.hashes) - 1)
+        hit = common.hashes[at] == hashes
+        idf[hit] = np.log1p(common.all_kinds / np.maximum(common.kinds[at[hit]], FREQUENT * common.all_kinds))
     return (counts * idf).astype(np.float32)
 
 
 def band_keys(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that have shingles, and for each its band keys, a row of ``BANDS`` numbers."""
+    """The texts that have shingles, and for each its band keys, a row of ``BANDS`` numbers.
+
+    Three parts of a hash of shingle and sample choose r, c and beta each for itself, from
+    tables of 65,536 draws: two shingles share all three with a chance of 2 ** -48.
+    """
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     if not len(first):
         return doc, np.zeros((0, BANDS), np.uint64)
@@ -151,9 +182,11 @@ def band_keys(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> tuple[
     for band in range(BANDS):
         key = np.full(len(first), band, np.uint64)
         for row in range(ROWS):
-            cell = ((hashes * _ODD[band * ROWS + row]) >> np.uint64(48)).astype(np.intp)
-            step = np.floor(log * _INVERSE[cell] + _BETA[cell])
-            a = _BASE[cell] - _R[cell] * step
+            made = hashes * _ODD[band * ROWS + row]
+            at_r, at_c, at_beta = ((made >> np.uint64(k) & np.uint64(_CELLS - 1)).astype(np.intp) for k in (48, 32, 16))
+            r, beta = _R[at_r], _BETA[at_beta]
+            step = np.floor(log * _INVERSE[at_r] + beta)
+            a = _LOG_C[at_c] - r * (step - beta + np.float32(1))
             least = np.flatnonzero(a == np.minimum.reduceat(a, first)[run])
             pick = least[np.flatnonzero(np.r_[True, run[least[1:]] != run[least[:-1]]])]  # of equal ones that of the smallest hash
             key = flat.mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + flat.mix(hashes[pick] + step[pick].astype(np.int64).view(np.uint64)))
@@ -178,10 +211,9 @@ def similarity(a: bytes, b: bytes) -> float:
     return least / (float(w.sum(dtype=np.float64)) + float(v.sum(dtype=np.float64)) - least)
 
 
-def _drawn(texts: DataFrame, common: dict[int, int], n: int) -> DataFrame:
+def _drawn(texts: DataFrame, common: Frequencies) -> DataFrame:
     """Rows (id, key, bands, shingles, mass): key is the text's digest, mass its total weight; a task gives the rest once for each text."""
-    order = sorted(common, key=lambda h: h & (2**64 - 1))
-    shared = texts.sparkSession.sparkContext.broadcast((np.array(order, np.int64).view(np.uint64), np.log1p(n / np.array([max(common[h], FREQUENT * n) for h in order], float))))
+    shared = texts.sparkSession.sparkContext.broadcast(tuple(common))
 
     def run(batches):
         seen: set[bytes] = set()
@@ -192,7 +224,7 @@ def _drawn(texts: DataFrame, common: dict[int, int], n: int) -> DataFrame:
             doc, hashes, counts = shingles(data, offsets)
             keep = np.array(new, bool)[doc]
             doc, hashes = doc[keep], hashes[keep]
-            weight = weights(hashes, counts[keep], shared.value)
+            weight = weights(hashes, counts[keep], Frequencies(*shared.value))
             with_shingles, bands = band_keys(doc, hashes, weight)
             edges = np.searchsorted(doc, np.arange(len(keys) + 1))
             vectors = [packed(hashes[a:b], weight[a:b]) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
@@ -252,7 +284,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = tables.texts(df, id_col, text_col)
     n = texts.count()
-    drawn = tables.saved(_drawn(texts, frequent_shingles(texts, n), n), "drawn")
+    drawn = tables.saved(_drawn(texts, shingle_kinds(texts, n)), "drawn")
     labels = _labels(drawn)
     one = drawn.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
     if labels is not None:
@@ -266,7 +298,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _labels(drawn: DataFrame) -> DataFrame | None:
     """Component labels of all texts that are near another."""
     spread = drawn.where("bands IS NOT NULL").select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
-    size = spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size")
+    # saved, so that no grouping by band stands in the stages of joins by band, whose large bands Spark can then split
+    size = tables.saved(spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size"), "sizes")
     members = tables.saved(spread.join(size, "band"), "members")
     met = members.groupBy("key").agg(F.sum("size").alias("met"))
     vectors = tables.saved(drawn.where("shingles IS NOT NULL").select("key", "shingles", "mass").join(met.select("key"), "key", "left_semi").dropDuplicates(["key"]), "vectors")
@@ -301,7 +334,7 @@ def _apart(named: DataFrame, first: DataFrame, tested: DataFrame, vectors: DataF
     component with a few other texts costs its size times their number.
     """
     held = named.groupBy("band", "label").agg(F.count("*").alias("held"))
-    apart = held.groupBy("band").agg(F.max(F.struct("held", "label"))["label"].alias("largest"), F.count("*").alias("labels")).where("labels > 1").select("band", "largest")
+    apart = tables.saved(held.groupBy("band").agg(F.max(F.struct("held", "label"))["label"].alias("largest"), F.count("*").alias("labels")).where("labels > 1").select("band", "largest"), "bands")
     met = named.join(apart, "band").join(first, "band").withColumns({"a": F.least("key", "pivot"), "b": F.greatest("key", "pivot")})
     met = met.join(tested, ["a", "b"], "left").join(vectors.select("key", "mass", F.length("shingles").alias("bytes")), "key")
     near = F.when(F.col("key") == F.col("pivot"), 1.0).otherwise(F.col("near"))
@@ -359,7 +392,7 @@ def _many(apart: DataFrame, vectors: DataFrame) -> DataFrame:
     A text's vector goes to a task once for each block it meets and not once for each pair.
     """
     blocks = lambda size: F.greatest(F.ceil(F.sum(size) / COMPARED_BYTES), F.lit(1)).cast("int")
-    numbers = apart.groupBy("band").agg(blocks("bytes").alias("ones"), blocks(F.when(F.col("outside"), F.col("bytes"))).alias("twos"))
+    numbers = tables.saved(apart.groupBy("band").agg(blocks("bytes").alias("ones"), blocks(F.when(F.col("outside"), F.col("bytes"))).alias("twos")), "numbers")
     dealt = apart.join(numbers, "band").join(vectors.select("key", "shingles"), "key")
     of = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -376,11 +409,20 @@ def _named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
+def _row_key(key: Column, row_id: Column) -> Column:
+    return F.concat(key, F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("")).cast("binary"))
+
+
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class with all its columns: that of the smallest id, and of its repetitions any one."""
+    """One row of each class with all its columns: that of the smallest id.
+
+    Of rows with that id and text, the one whose columns have the smallest hash stays. Whole
+    rows are shuffled once, by text and id together, so that copies are spread over tasks.
+    """
     keep = _classes(df, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
-    text_key, row_id = tables.unused(df, "_key"), tables.unused(df, "_id")
-    keep = keep.select(F.col("key").alias(text_key), F.col("id").alias(row_id)).distinct()
-    keyed = df.withColumn(text_key, F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))))
-    kept = keyed.join(keep, (keyed[text_key] == keep[text_key]) & keyed[id_col].eqNullSafe(keep[row_id])).select(keyed["*"])
-    return kept.dropDuplicates([text_key]).drop(text_key)
+    name = tables.unused(df, "_row")
+    keep = keep.select(_row_key(F.col("key"), F.col("id")).alias(name)).distinct()
+    text_key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    own = [f"`{c}`" for c in df.columns]
+    kept = df.withColumn(name, _row_key(text_key, F.col(id_col))).join(keep, name)
+    return kept.groupBy(name).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("of")).select("of.*")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -37,9 +38,19 @@ def plain_classes(texts):
         found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         return Counter(tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))) if found else Counter()
 
+    def hashes(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        return near_dedup.shingles(raw, np.array([0, len(raw)]))[1].tolist()
+
     bags, n = [bag(t) for _, t in texts], len(texts)
-    df = Counter(s for b in bags for s in b)
-    idf = lambda s: math.log(1 + n / max(df[s], 0.1 * n))
+    kind = [min(hashes(t), default=None) for _, t in texts]
+    kinds, rows = len(set(kind) - {None}), Counter(s for b in bags for s in b)
+    of = {}
+    for b, k in zip(bags, kind):
+        for s in b:
+            of.setdefault(s, set()).add(k)
+    share = near_dedup.FREQUENT
+    idf = lambda s: math.log(1 + (kinds / max(len(of[s]), share * kinds) if rows[s] >= share * n else 1 / share))
     parent = list(range(n))
 
     def root(k):
@@ -133,17 +144,63 @@ def test_every_pair_of_a_large_band_is_linked_or_compared(spark):
     assert label_sets(near_dedup._labels(drawn_rows(spark, vectors))) == [["a", "b"], ["c", "d"], ["x", "y", "z"]]
 
 
-def test_samples_agree_as_often_as_texts_are_similar():
-    a, b = words(1, 400), words(1, 400)
-    b[300:] = words(2, 100)
-    keys = []
-    for w in (a, b):
-        data = np.frombuffer(" ".join(w).encode(), np.uint8)
-        doc, hashes, counts = near_dedup.shingles(data, np.array([0, len(data)]))
-        keys.append((hashes, counts.astype(np.float32)))
-    packed = [near_dedup.packed(*k) for k in keys]
-    want = 296 / 496
-    assert near_dedup.similarity(*packed) == pytest.approx(want, abs=0.01)
+def drawn_texts(texts, frequent=None):
+    """Shingle hashes and weights of each text, and its band keys, as the operator makes them."""
+    data, offsets = flat.views(pa.array(texts))
+    doc, hashes, counts = near_dedup.shingles(data, offsets)
+    weight = near_dedup.weights(hashes, counts, frequent or near_dedup.Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0))
+    return [(hashes[doc == k], weight[doc == k]) for k in range(len(texts))], near_dedup.band_keys(doc, hashes, weight)
+
+
+@pytest.mark.parametrize(("n", "other"), [(400, 60), (400, 20), (3000, 300), (60, 4)])
+def test_samples_agree_as_often_as_texts_are_similar(n, other):
+    texts, want = [], []
+    for k in range(40):
+        a = words(100 * n + k, n)
+        texts += [" ".join(a), " ".join(a[: n - other] + words(7 * k + 1, other))]
+    bags, (at, keys) = drawn_texts(texts)
+    assert at.tolist() == list(range(80))
+    for k in range(0, 80, 2):
+        want.append(near_dedup.similarity(*(near_dedup.packed(*b) for b in bags[k : k + 2])))
+    plain = (n - other - 4) / (n - 4 + other)
+    assert np.allclose(want, plain, atol=0.01)
+    agree = (keys[0::2] == keys[1::2]).mean()  # over 640 bands
+    assert abs(agree - np.mean(np.array(want) ** near_dedup.ROWS)) < 0.08
+
+
+def test_recall_against_all_pairs(spark):
+    """Recall over all pairs of texts of a similarity of 0.8 or more, by weights as the operator finds them."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = [(10**6 + 100 * i + k, " ".join(w[:j] + [f"new{k}"] + w[j + 1 :])) for i, w in enumerate([words(31, 150), words(32, 60)]) for k in range(90) for j in [k % 50]]
+    df = df.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    texts = sorted({t or "" for _, t in rows})
+    src = df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    bags, _ = drawn_texts(texts, near_dedup.shingle_kinds(src, len(rows)))
+    holders, total = {}, [float(w.sum()) for _, w in bags]
+    for k, (h, w) in enumerate(bags):
+        for s, x in zip(h.tolist(), w.tolist(), strict=True):
+            holders.setdefault(s, []).append((k, x))
+    shared = Counter()
+    for held in holders.values():
+        for i, (a, x) in enumerate(held):
+            for b, y in held[:i]:
+                shared[a, b] += min(x, y)
+    near = [p for p, x in shared.items() if x >= 0.8 * (total[p[0]] + total[p[1]] - x)]
+    found = near_dedup.near_classes(df).collect()
+    text_of = dict(rows)
+    group = {text_of[r["doc_id"]] or "": r["class_id"] for r in found}
+    assert len(near) > 1000 and np.mean([group[texts[a]] == group[texts[b]] for a, b in near]) > 0.99
+    parent = {t: t for t in texts}  # and no class holds what no chain of near pairs links
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for a, b in near:
+        parent[root(texts[a])] = root(texts[b])
+    assert all(len({root(t) for t in texts if group[t] == g}) == 1 for g in set(group.values()))
 
 
 # models --------------------------------------------------------------------------------
