@@ -2,8 +2,9 @@
 
 Texts are lower-cased, whatever is no letter becomes a space, and every run of one to
 three characters is hashed to one of ``CELLS`` cells.  Training counts cells by language
-over a sample of about ``TRAIN_TEXTS`` texts of each language, chosen by a hash of the text,
-in the executors.  The matrix of log probabilities, cells by languages, is broadcast; its
+over a sample of about ``TRAIN_TEXTS`` texts of each language, chosen by a hash of text and
+id, in the executors.  The ``LANGUAGES`` values with the most rows are learned, which
+bounds the model where labels are dirty.  The matrix of log probabilities, cells by languages, is broadcast; its
 size doesn't depend on the corpus.  Scoring counts the cells of a few texts at a time and
 multiplies the counts that aren't zero with the matrix.
 
@@ -22,6 +23,7 @@ from . import flat, tables
 
 CELLS = 1 << 15
 TRAIN_TEXTS = 2000
+LANGUAGES = 500
 _GRAMS = (1, 2, 3)
 _AT_ONCE = 64
 _letters: list[np.ndarray] = []
@@ -67,15 +69,17 @@ def _lower_texts(column: pa.Array):
             yield texts[k : k + _AT_ONCE]
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", train_texts: int = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", train_texts: int = TRAIN_TEXTS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """The languages in order, and the log probabilities of cells, with the log priors as a last row."""
-    rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    tables._bounded_batches(df.sparkSession)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text, F.col(id_col).cast("string"), F.lit(7)).alias("hash"))
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(n)
     if not langs:
         return [], np.zeros((CELLS + 1, 0), np.float32)
     share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, train_texts / n[k])))))
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    sample = rows.where(F.pmod("hash", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
 
     def run(batches):
         place = {k: i for i, k in enumerate(langs)}
@@ -134,5 +138,5 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
 def held_out_predictions(df: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows (id, held_out, lang_pred, score); every ``folds``-th id by its crc32 is not learned from, nor are null ids."""
     folded = df.withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(True)))
-    model = train(folded.where("NOT held_out"), lang_col, text_col)
+    model = train(folded.where("NOT held_out"), lang_col, text_col, id_col=id_col)
     return predict(folded, model, id_col, text_col, "held_out").select(id_col, "held_out", "lang_pred", "score")

@@ -5,8 +5,9 @@ words, and 0 without any; a document is toxic unless every sentence is harmless
 1 - (1 - leak) * product(1 - p).  Only documents are labelled; the gradient of the
 noisy-or gives credit to the sentences that explain a label.
 
-Learning uses about ``TRAIN_TEXTS`` labelled texts, chosen by a hash of the text.  The
-executors count in how many toxic and other texts each hashed word occurs; the ``WORDS``
+Learning uses about ``TRAIN_TEXTS`` labelled texts, and of either label about
+``TRAIN_LEAST`` at least, chosen by a hash of text and id; rows that repeat both count once,
+so that no group of copies fills or empties the sample.  The executors count in how many toxic and other texts each hashed word occurs; the ``WORDS``
 words that tell most are kept, texts shrink to the sentences with such words, and the
 driver fits the weights.  Model and training data don't grow with the corpus.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import flat, tables
 
-TRAIN_TEXTS, WORDS, SUPPORT = 12_000, 2048, 5
+TRAIN_TEXTS, TRAIN_LEAST, WORDS, SUPPORT = 12_000, 1000, 2048, 5
 CELLS = 1 << 18
 STEPS, PENALTY = 400, 1e-6
 #: Words, and their first bytes, that differ between labels by less than so many standard errors are left out.
@@ -99,13 +100,36 @@ def fit(bags: list[list[np.ndarray]], toxic: np.ndarray, size: int, start: np.nd
     return theta[:size], float(theta[size]), float(1 / (1 + np.exp(-theta[size + 1])))
 
 
-def train(df: DataFrame, label_col: str = "toxic", text_col: str = "text", train_texts: int = TRAIN_TEXTS) -> Model | None:
-    """The model of labelled texts, or None if there are none."""
-    rows = df.where(F.col(label_col).isNotNull()).select((F.col(label_col) > 0).alias("toxic"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
+def labelled_sample(df: DataFrame, given: DataFrame, id_col: str, text_col: str, train_texts: int = TRAIN_TEXTS) -> DataFrame | None:
+    """Rows (toxic, text): a sample of the texts of ``df`` whose id has a label in ``given`` (id, toxic).
+
+    Ids and hashes meet the labels; only the chosen ids, of bounded number, go back to the texts.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text, F.col(id_col).cast("string"), F.lit(3)).alias("hash")).join(given, "id").distinct()
+    rows = tables.saved(rows, "labelled")
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n:
         return None
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < min(1.0, train_texts / n) * (1 << 20))
+    place = F.pmod(F.col("hash"), F.lit(1 << 20)) / (1 << 20)
+    share = {k: min(1.0, max(train_texts / sum(n.values()), TRAIN_LEAST / v)) for k, v in n.items()}
+    chosen = rows.where(place < F.when(F.col("toxic"), share.get(True, 1.0)).otherwise(share.get(False, 1.0)))
+    name = F.xxhash64(text, F.col(id_col).cast("string"), F.lit(3))
+    sample = df.select(name.alias("hash"), text.alias("text")).join(F.broadcast(chosen.select("hash", "toxic").distinct()), "hash")
+    return tables.saved(sample.dropDuplicates(["hash"]).select("toxic", "text"), "sample")
+
+
+def train(df: DataFrame, label_col: str = "toxic", text_col: str = "text", train_texts: int = TRAIN_TEXTS, id_col: str = "doc_id") -> Model | None:
+    """The model of texts with a label in a column of their own, or None if there are none."""
+    tables._bounded_batches(df.sparkSession)
+    given = df.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("toxic"))
+    return train_on(labelled_sample(df, given, id_col, text_col, train_texts))
+
+
+def train_on(sample: DataFrame | None) -> Model | None:
+    """The model of a bounded sample (toxic, text)."""
+    if sample is None:
+        return None
 
     def count(batches):
         for batch in batches:
@@ -221,6 +245,7 @@ def _folded(df: DataFrame, folds: int, held: int, id_col: str) -> DataFrame:
 def held_out_scores(documents: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Rows (id, held_out, score, predicted); labels of ids whose crc32 leaves ``held``, and of null ids, are not learned."""
     folded = _folded(documents, folds, held, id_col)
-    given = labels.groupBy(id_col).agg(F.max(label_col).alias("label")).where("label IS NOT NULL")
-    model = train(folded.where("NOT held_out").select(id_col, text_col).join(given, id_col), "label", text_col)
+    given = labels.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("toxic")).where("toxic IS NOT NULL")
+    tables._bounded_batches(documents.sparkSession)
+    model = train_on(labelled_sample(folded.where("NOT held_out"), given, id_col, text_col))
     return score(folded, model, id_col, text_col, "held_out").select(id_col, "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
