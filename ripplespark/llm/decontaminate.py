@@ -7,7 +7,8 @@ is one window), with the items that have it, and each document is scanned once.
 of hits are mapped back to words and to code points of the original text.
 
 The automaton is broadcast in blocks of at most ``BLOCK_CHARS`` characters of windows, so
-its size is bounded whatever the benchmark's; each block costs one pass over the texts.
+its size is bounded whatever the benchmark's; each block costs one pass over the texts,
+and what passes before the last find is written, so that a worker holds one automaton.
 
 Null or wordless items have no windows; null documents have no words.  Items without an
 id are reported under the empty id; rows that share an id count as one item.
@@ -130,11 +131,13 @@ def find(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col:
 
         return tables.over_batches(df, run, df.schema)
 
-    passes = 0
+    shared = None
     for block in window_blocks(items, width, block_chars):
-        out, passes = one_pass(out, context.broadcast((uuid4().hex, block))), passes + 1
-    if not passes:
-        out = one_pass(out, None)
+        if shared:
+            out = tables.saved(one_pass(out, shared), "passed")
+            shared.destroy()
+        shared = context.broadcast((uuid4().hex, block))
+    out = one_pass(out, shared)
     return out if carry else out.select(F.col("id").alias(id_col), "found.*")
 
 
