@@ -4,8 +4,9 @@ A flat token file is nothing but little-endian 16-bit ids, every document follow
 end-of-document id; nothing tells where documents begin.  ``count`` cuts the files into
 blocks of fixed size, finds the separators of a block with one comparison, and reports
 each document that ends in it.  What stands before a block's first separator belongs to a
-document begun earlier: running sums over the file's blocks give how much of it those
-hold, and how many documents end before the block.
+document begun earlier: a prefix scan over the file's blocks gives where that is, and how
+many documents end before the block.  The scan has two levels, over the blocks of a run of
+``RUN_BLOCKS`` and over the runs of a file, so that a huge file isn't one task's work.
 
 A document may span any number of blocks.  Tokens after a file's last separator are a last
 document.  Empty files have none.  Null texts count as empty and give documents of no tokens.
@@ -22,6 +23,7 @@ from . import bpe, files, flat, tables
 
 BLOCK_TOKENS = 1 << 18
 FILE_TOKENS = 1 << 23
+RUN_BLOCKS = 1 << 12
 
 
 def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> tuple[DataFrame, DataFrame]:
@@ -29,6 +31,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
 
     Special strings in texts are encoded as plain text, so that the separator stands at ends only.
     """
+    if bpe.loaded(tokenizer).size > 1 << 16:
+        raise ValueError("a flat token file holds ids of 16 bits; the vocabulary has more")
     end = np.uint16(bpe.loaded(tokenizer).special["<|endoftext|>"])
 
     def run(batches):
@@ -59,7 +63,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
     return written.groupBy("path").agg(F.max("tokens").alias("tokens")), written.select("path", "n", "id")
 
 
-def count(paths: DataFrame, end: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def count(paths: DataFrame, end: int, block_tokens: int = BLOCK_TOKENS, run_blocks: int = RUN_BLOCKS) -> DataFrame:
     """Rows (path, n, start, tokens): place and length of the n-th document of every file (path, tokens)."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(block_tokens).cast("long"))
     n = paths.agg(F.sum(F.ceil(F.col("tokens") / block_tokens))).first()[0] or 0
@@ -78,9 +82,16 @@ def count(paths: DataFrame, end: int, block_tokens: int = BLOCK_TOKENS) -> DataF
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     blocks = tables.saved(cut.mapInArrow(run, "path string, at long, head long, tail long, ends array<long>"), "blocks")
-    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # of one file, whose size is bounded
-    last = F.coalesce(F.max(F.when(F.size("ends") > 0, F.element_at("ends", -1))).over(before), F.lit(-1))
-    scanned = blocks.select("path", "ends", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("seen"), last.alias("last"), (F.col("at") + F.col("tail")).alias("stop"), "at", "head")
+    last_end = F.max(F.when(F.size("ends") > 0, F.element_at("ends", -1)))
+    run_of = F.floor(F.col("at") / (block_tokens * run_blocks)).alias("run")
+    runs = blocks.groupBy("path", run_of).agg(F.sum(F.size("ends")).alias("in_run"), last_end.alias("last_of_run"))
+    so_far = Window.partitionBy("path").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("path", "run", F.coalesce(F.sum("in_run").over(so_far), F.lit(0)).alias("seen_before"), F.max("last_of_run").over(so_far).alias("last_before"))
+    before = Window.partitionBy("path", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = blocks.select("path", run_of, "at", "ends").join(runs, ["path", "run"]).select(
+        "path", "ends", (F.col("seen_before") + F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))).alias("seen"),
+        F.coalesce(last_end.over(before), "last_before", F.lit(-1)).alias("last"),
+    )
     each = scanned.select("path", "seen", "last", F.posexplode("ends").alias("k", "end"), "ends")
     start = F.when(F.col("k") == 0, F.col("last")).otherwise(F.get("ends", F.col("k") - 1)) + 1
     whole = each.select("path", (F.col("seen") + F.col("k")).alias("n"), start.alias("start"), (F.col("end") - start).alias("tokens"))
