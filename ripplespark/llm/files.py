@@ -24,8 +24,16 @@ def new_file(folder: str, ending: str):
 
 
 def beside(path: str, ending: str):
+    """A stream to a new file next to another one, and its name, which no other attempt gives."""
     system, local = located(path)
-    return system.open_output_stream(local + ending, compression=None), path + ending
+    part = f".{uuid4().hex}{ending}"
+    return system.open_output_stream(local + part, compression=None), path + part
+
+
+def index_of(path: str):
+    """A stream to the index that belongs to a file of a name of its own."""
+    system, local = located(path)
+    return system.open_output_stream(local + ".index", compression=None)
 
 
 def reader(path: str):

@@ -4,21 +4,25 @@
 tells each record's payload digest.  ``normalise`` inflates such a file once, in pieces,
 rewrites every record as a gzip member of its own (a record whose payload another one
 holds becomes a revisit without payload), and writes an index of offsets beside it.
-``read`` fetches records by that index, member by member.
+``read`` fetches records by that index, member by member; a revisit's payload is that of the
+response it refers to, found by its record id, and must have the digest the revisit tells.
 
 Only ids, digests and places are shuffled, never payloads.  Files hold ``FILE_BYTES`` of
 records or one record more, which bounds a task's work; a task holds one record at a time.
 
 Null html is an empty payload.  Records of the smallest page_id of a digest are responses,
 also repeated rows of it; null ids come after all others.  Extra columns are ignored.
+Ids and urls come back as they were: what a header line can't hold is percent-encoded, and
+a url that this changes is kept in a header of its own too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,12 +37,25 @@ _PIECE = 1 << 20
 _GZIP = 31  # zlib's window bits for a gzip member
 
 
+_URL = "!#$%&()*+,-./:;=?@[]_~'"
+
+
 def record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
-    """The bytes of a WARC record; characters that would break a header line are escaped."""
-    lines = [f"WARC-Type: {kind}", *(f"{k}: {quote(v, safe='!#$%&()*+,-./:;<=>?@[]^_`{|}~ ') if not v.isascii() or not v.isprintable() else v}" for k, v in fields.items()), f"Content-Length: {len(block)}"]
+    """The bytes of a WARC record."""
+    lines = [f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields.items()), f"Content-Length: {len(block)}"]
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def url_fields(url: str) -> dict[str, str]:
+    """The header of a url, and of the url as it was if that can't stand in one."""
+    sent = quote(url, safe=_URL)
+    return ({"WARC-Target-URI": sent} if sent else {}) | ({"X-Target": quote(url)} if sent != url else {})
+
+
+def record_id(path: str, n: int) -> str:
+    return f"<urn:sha1:{hashlib.sha1(f'{path}/{n}'.encode()).hexdigest()}>"
+
+
 def http_block(payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
 
@@ -95,6 +112,7 @@ def _pieces(path: str) -> Iterator[bytes]:
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Rows (path, n, page, bytes, digest): every record written, by file and place in it."""
+    tables._bounded_batches(pages.sparkSession)
     src = pages.select(F.col(id_col).cast("string").alias("page"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
 
     def run(batches):
@@ -111,8 +129,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     out, path = files.new_file(folder, ".warc.gz")
                     gz, held, rows = zlib.compressobj(1, zlib.DEFLATED, _GZIP), 0, []
                 digest = hashlib.sha256(payload).hexdigest()
-                fields = {"WARC-Record-ID": f"<urn:sha1:{hashlib.sha1(f'{path}/{len(rows)}'.encode()).hexdigest()}>", "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
-                fields |= ({"WARC-Target-URI": url} if url else {}) | ({"X-Page-ID": page} if page is not None else {})
+                fields = {"WARC-Record-ID": record_id(path, len(rows)), "WARC-Date": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
+                fields |= url_fields(url) | ({"X-Page-ID": quote(page)} if page is not None else {})
                 made = record("response", fields, http_block(payload))
                 out.write(gz.compress(made))
                 rows.append({"path": path, "n": len(rows), "page": page, "bytes": len(payload), "digest": digest})
@@ -127,30 +145,32 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 def revisits(written: DataFrame, id_type: str = "bigint", least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Rows (path, n, refers_to) of the records whose payload the record of a smaller id holds."""
+    """Rows (path, n, refers_to, first_path, first_n) of the records whose payload the record of a smaller id holds, and where that one is."""
     ids = written.where(F.col("bytes") >= least_bytes).select("path", "n", "digest", F.col("page").cast(id_type).alias("page"))
-    first = ids.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").select("digest", "first")
-    return ids.join(first, "digest").where("page IS NULL OR page <> first").select("path", "n", F.col("first").cast("string").alias("refers_to"))
+    first = ids.where("page IS NOT NULL").groupBy("digest").agg(F.min(F.struct("page", "path", "n")).alias("first"))
+    counted = ids.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest")
+    first = tables.saved(first.join(counted, "digest").select("digest", "first"), "firsts")  # so that a digest of many rows can be split
+    again = ids.join(first, "digest").where("page IS NULL OR page <> first.page")
+    return again.select("path", "n", F.col("first.page").cast("string").alias("refers_to"), F.col("first.path").alias("first_path"), F.col("first.n").alias("first_n"))
 
 
 def normalise(written: DataFrame, revisit: DataFrame) -> DataFrame:
     """Rows (path, n, offset, length): every record of the normalised files, which are the index beside each file too."""
-    named = revisit.groupBy("path").agg(F.collect_list(F.struct("n", "refers_to")).alias("revisits"))  # as many as a file's records at most
+    named = revisit.groupBy("path").agg(F.collect_list(F.struct("n", "refers_to", "first_path", "first_n")).alias("revisits"))  # as many as a file's records at most
     paths = written.select("path").distinct()
     each = paths.join(named, "path", "left").select("path", "revisits").repartition(tables.tasks(paths.count()), "path")
 
-    def one(path: str, refers: dict[int, str]) -> Iterator[tuple[str, int, int, int]]:
-        out, name = files.beside(path.removesuffix(".warc.gz"), ".records.warc.gz")
-        index, _ = files.beside(name, ".index")
+    def one(path: str, refers: dict[int, dict]) -> Iterator[tuple[str, int, int, int]]:
+        out, name = files.beside(path.removesuffix(".warc.gz"), ".warc.gz")
+        index = files.index_of(name)
         at = 0
         with out, index:
             for n, (headers, block) in enumerate(records(inflated(_pieces(path)))):
                 kind = headers.pop("WARC-Type")
-                size = int(headers.pop("Content-Length"))
+                del headers["Content-Length"]
                 if n in refers:
-                    kind, head = "revisit", block.index(b"\r\n\r\n") + 4
-                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": refers[n], "X-Payload-Length": str(size - head)}
-                    block = block[:head]
+                    kind, block = "revisit", block[: block.index(b"\r\n\r\n") + 4]
+                    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(refers[n]["first_path"], refers[n]["first_n"]), "X-Refers-To-Page-ID": quote(refers[n]["refers_to"])}
                 gz = zlib.compressobj(4, zlib.DEFLATED, _GZIP)
                 member = gz.compress(record(kind, headers, block)) + gz.flush()
                 out.write(member)
@@ -162,7 +182,7 @@ def normalise(written: DataFrame, revisit: DataFrame) -> DataFrame:
         schema = pa.schema([("path", pa.string()), ("n", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
         for batch in batches:
             for row in batch.to_pylist():
-                rows = list(one(row["path"], {r["n"]: r["refers_to"] for r in row["revisits"] or ()}))
+                rows = list(one(row["path"], {r["n"]: r for r in row["revisits"] or ()}))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return tables.saved(each.mapInArrow(run, "path string, n long, offset long, length long"), "index")
@@ -171,9 +191,10 @@ def normalise(written: DataFrame, revisit: DataFrame) -> DataFrame:
 def read(index: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Rows (page, url, payload_bytes, payload_digest, record_type, refers_to) of the indexed records.
 
-    The digest of a stored payload is computed anew and held against the record's own.
+    The digest of a stored payload is computed anew and held against the record's own. Length
+    and digest of a revisit are those of the response it refers to.
     """
-    schema = pa.schema([("page", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
+    schema = pa.schema([(c, pa.string()) for c in ("record", "page", "url")] + [("payload_bytes", pa.int64())] + [(c, pa.string()) for c in ("payload_digest", "record_type", "refers_to", "resolves_to")])
 
     def run(batches):
         path, source = None, None
@@ -186,20 +207,29 @@ def read(index: DataFrame, id_type: str = "bigint") -> DataFrame:
                     path = row["path"]
                     source = files.reader(path)
                 ((headers, block),) = records(inflated(iter([source.read_at(row["length"], row["offset"])])))
-                kind, told = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:")
+                kind, told, size = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:"), None
                 if kind == "response":
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
-                    size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                    if digest != told:
+                    size = len(payload)
+                    if hashlib.sha256(payload).hexdigest() != told:
                         raise ValueError(f"payload of {headers['WARC-Record-ID']} doesn't match its digest")
-                else:
-                    size, digest = int(headers["X-Payload-Length"]), told
-                rows.append({"page": headers.get("X-Page-ID"), "url": headers.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": headers.get("X-Refers-To-Page-ID")})
+                page, url, first = headers.get("X-Page-ID"), headers.get("X-Target"), headers.get("X-Refers-To-Page-ID")
+                rows.append({
+                    "record": headers["WARC-Record-ID"], "page": page and unquote(page), "url": headers.get("WARC-Target-URI") if url is None else unquote(url), "payload_bytes": size,
+                    "payload_digest": told, "record_type": kind, "refers_to": first and unquote(first), "resolves_to": headers.get("WARC-Refers-To"),
+                })
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     tasks = tables.tasks(index.select("path").distinct().count())
-    rows = index.repartition(tasks, "path").sortWithinPartitions("path", "offset").mapInArrow(run, "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
-    return rows.withColumn("page", F.col("page").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
+    kinds = "record string, page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, resolves_to string"
+    rows = tables.saved(index.repartition(tasks, "path").sortWithinPartitions("path", "offset").mapInArrow(run, kinds), "records")
+    held = rows.where("record_type = 'response'").select(F.col("record").alias("resolves_to"), F.col("payload_bytes").alias("held_bytes"), F.col("payload_digest").alias("held_digest"))
+    resolved = rows.where("record_type <> 'response'").join(held, "resolves_to", "left")
+    digest = F.when(F.col("held_digest") == F.col("payload_digest"), F.col("held_digest")).otherwise(F.raise_error(F.concat(F.lit("no response with the payload of the revisit "), "record")))
+    resolved = resolved.withColumns({"payload_digest": digest, "payload_bytes": F.col("held_bytes")})
+    columns = ["page", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    out = rows.where("record_type = 'response'").select(*columns).unionByName(resolved.select(*columns))
+    return out.withColumn("page", F.col("page").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ripplespark.llm import bpe, files, flat, html_text, language, near_dedup, token_counts, toxicity, warc
@@ -337,6 +338,10 @@ def test_warc_round_trip(spark, tmp_path):
         return key, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None
     assert sorted(out, key=repr) == sorted([told(k, h, {big: 2, other: 9}.get(h)) for k, _, h in rows], key=repr)
     assert warc.archived(df.where("false")).count() == 0
+    assert sorted((r["url"] or "" for r in warc.archived(df).collect())) == sorted(u or "" for _, u, _ in rows)
+    named = spark.createDataFrame([("a%20b ü\r\n", "http://a/%41?ü= x", big), ("100%", "http://a/%41", big), ("zz", None, big)], "page_id string, url string, html string")
+    out = {r["page_id"]: (r["url"], r["record_type"], r["refers_to"]) for r in warc.archived(named).collect()}
+    assert out == {"100%": ("http://a/%41", "response", None), "a%20b ü\r\n": ("http://a/%41?ü= x", "revisit", "100%"), "zz": (None, "revisit", "100%")}
 
 
 def test_normalised_archives_have_a_member_for_each_record(spark, tmp_path):
@@ -348,7 +353,7 @@ def test_normalised_archives_have_a_member_for_each_record(spark, tmp_path):
         with open(r["path"], "rb") as file:
             file.seek(r["offset"])
             raw = zlib.decompress(file.read(r["length"]), 31)
-        assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
+        assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and b"\r\nWARC-Date: 20" in raw and b"\r\nWARC-Record-ID: <urn:" in raw
     with open(index[0]["path"] + ".index") as file:
         assert [line.split("\t")[0] for line in file] == [str(r["offset"]) for r in index if r["path"] == index[0]["path"]]
     with pytest.raises(ValueError, match="cut short"):
@@ -362,16 +367,21 @@ def test_token_counts_over_block_borders(spark, tmp_path, block_tokens):
     (tmp_path / "a").write_bytes(ids.tobytes())
     (tmp_path / "b").write_bytes(b"")
     paths = spark.createDataFrame([(str(tmp_path / "a"), len(ids)), (str(tmp_path / "b"), 0)], "path string, tokens long")
-    got = sorted((r["n"], r["start"], r["tokens"]) for r in token_counts.count(paths, end, block_tokens).collect())
-    starts = np.cumsum([0] + [n + 1 for n in sizes]).tolist()
-    assert got == [(k, starts[k], n) for k, n in enumerate([*sizes, 2])]
+    for run_blocks in (1, 2, 4096):
+        got = sorted((r["n"], r["start"], r["tokens"]) for r in token_counts.count(paths, end, block_tokens, run_blocks).collect())
+        starts = np.cumsum([0] + [n + 1 for n in sizes]).tolist()
+        assert got == [(k, starts[k], n) for k, n in enumerate([*sizes, 2])], run_blocks
 
 
 def test_token_counts_of_documents(spark):
     texts = [(1, "one two three"), (2, None), (3, ""), (1, "one two three"), (None, "x"), (4, "word " * 20000), (5, "a <|endoftext|> b")]
     df = table(spark, texts)
-    told = bpe.WordBPE(PATH, specials=False)
-    want = sorted(((k, int(told.encode([t or ""])[1][0])) for k, t in texts), key=repr)
+    told = Tokenizer.from_file(PATH)
+    told.no_truncation()
+    told.no_padding()
+    plain = lambda t: len(told.encode((t or "").replace("<|", "< |"), add_special_tokens=False).ids)
+    own = int(bpe.WordBPE(PATH, specials=False).encode([texts[-1][1]])[1][0])  # special strings count as plain text here
+    want = sorted(((k, own if k == 5 else plain(t)) for k, t in texts), key=repr)
     assert sorted(map(tuple, token_counts.counted(df, PATH).collect()), key=repr) == want
     assert token_counts.counted(df.where("false"), PATH).count() == 0
 
