@@ -228,7 +228,7 @@ def _drawn(texts: DataFrame, common: Frequencies) -> DataFrame:
             with_shingles, bands = band_keys(doc, hashes, weight)
             edges = np.searchsorted(doc, np.arange(len(keys) + 1))
             vectors = [packed(hashes[a:b], weight[a:b]) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            mass = np.bincount(doc, weight, len(keys))
+            mass = np.bincount(doc, weight, len(keys)).astype(np.float64)  # of no shingles numpy gives whole numbers
             lists: list = [None] * len(keys)
             for k, row in zip(with_shingles.tolist(), bands.view(np.int64), strict=True):
                 lists[k] = row

@@ -102,6 +102,15 @@ def test_classes_whose_ids_are_all_null_keep_a_row(spark):
     assert len(kept) == 5 and {texts[k][1] for k in (0, 1, 4, 5)} <= set(kept)
 
 
+def test_blocks_of_seen_or_wordless_texts_and_very_long_ones(spark):
+    """A block may hold nothing new: a text of more than a block, again, and blocks without words."""
+    long = " ".join(f"{w}{k}" for k in range(1500) for w in words(8, 100))
+    texts = [(1, long), (2, long), (3, "... " * 300_000), (4, "... " * 300_000), (5, long + " end"), (6, "--")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_classes(df).collect())
+    assert len(long) > flat.BLOCK_BYTES and got == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 1), (6, 6)]
+
+
 def test_chains_and_large_groups(spark):
     """Copies of copies hold together, though the ends are far apart; the driver sees none of them."""
     chain, now = [], words(5, 200)
