@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from typing import Any
 
+CONFIG_FILE = ".ripplespark.json"
+
 
 @dataclass(frozen=True)
 class Temporal:
@@ -79,3 +83,13 @@ def load(given: dict[str, Any] | None = None) -> Config:
     if out.scoring.high_confidence < out.scoring.min_confidence:
         raise ValueError("scoring.high_confidence is below scoring.min_confidence")
     return replace(out, source=replace(out.source, ignore_dirs=tuple(dict.fromkeys((*Source().ignore_dirs, *out.source.ignore_dirs)))))
+
+
+def read(folder: str) -> Config:
+    """The settings in a folder's file of settings, or the defaults; the root is the folder unless the file says otherwise."""
+    path = os.path.join(folder, CONFIG_FILE)
+    given: dict[str, Any] = {}
+    if os.path.isfile(path):
+        with open(path, encoding="utf-8") as file:
+            given = json.load(file)
+    return load({"source": {"root": folder}} | given | ({"source": {"root": folder, **given["source"]}} if "source" in given else {}))

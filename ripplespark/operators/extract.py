@@ -77,7 +77,9 @@ def export_table(files: DataFrame) -> DataFrame:
     names = each.where("n <> '*'").select("file", "spec", F.explode(F.split(F.regexp_replace("n", r"[{}]", ""), ",")).alias("n")).select("file", "spec", F.trim("n").alias("n")).where("n <> ''")
     named = names.select("file", F.regexp_replace("n", r"^.*\s+as\s+", "").alias("exported"), F.regexp_replace("n", r"\s+as\s+.*$", "").alias("local"), "spec")
     declared = files.select(F.col("path").alias("file"), F.explode(every(c, r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:const|let|var|function\*?|class|enum|interface|type)\s+(\w+)")).alias("exported"))
-    return stars.unionByName(named).unionByName(declared.select("file", "exported", F.col("exported").alias("local"), F.lit(None).cast("string").alias("spec")))
+    own = lambda df: df.select("file", "exported", F.col("exported").alias("local"), F.lit(None).cast("string").alias("spec"))
+    default = files.where(c.rlike(r"\bexport\s+default\b")).select(F.col("path").alias("file"), F.lit("default").alias("exported"))
+    return stars.unionByName(named).unionByName(own(declared)).unionByName(own(default))
 
 
 def selectors(c: Column) -> Column:
@@ -125,15 +127,20 @@ def redux_usage(c: Column) -> Column:
     )
 
 
-def redux_role(path: Column, c: Column) -> Column:
-    """(slice, role): what part of a slice's state a file is; null where it is none."""
+def redux_roles(path: Column, c: Column) -> Column:
+    """(slice, role) of all parts of a slice's state that a file holds; empty where it holds none."""
     folder = F.regexp_extract(path, r"(?:^|/)(?:store|state|features|redux)/([^/]+)/", 1)
-    defined = F.element_at(F.concat(redux_usage(c)["slices_defined"], F.array(folder)), 1)
-    role = (
-        F.when(c.rlike(r"\bcreateSlice\("), "slice").when(c.rlike(r"\bfunction\s*\*"), "saga").when(c.rlike(r"\bcreateSelector\(|\(\s*\w+\s*:\s*RootState\b"), "selectors")
-        .when(c.rlike(r"\bcreateAction\("), "actions").when(c.rlike(r"\bcreateReducer\(|\(\s*state\b[^)]*,\s*action\b"), "reducer").when(T.basename(path).rlike(r"(?i)types\.[jt]s$"), "types")
-    )
-    return F.when(role.isNotNull(), F.struct(F.nullif(defined, F.lit("")).alias("slice"), role.alias("role")))
+    defined = F.nullif(F.element_at(F.concat(redux_usage(c)["slices_defined"], F.array(folder)), 1), F.lit(""))
+    signs = [
+        ("slice", c.rlike(r"\bcreateSlice\(")), ("saga", c.rlike(r"\bfunction\s*\*")), ("selectors", c.rlike(r"\bcreateSelector\(|\(\s*\w+\s*:\s*RootState\b")), ("actions", c.rlike(r"\bcreateAction\(")),
+        ("reducer", c.rlike(r"\bcreateReducer\(|\(\s*state\b[^)]*,\s*action\b") & ~c.rlike(r"\bcreateSlice\(")), ("types", T.basename(path).rlike(r"(?i)types\.[jt]s$")),
+    ]
+    return F.filter(F.array(*(F.when(found, F.struct(defined.alias("slice"), F.lit(role).alias("role"))) for role, found in signs)), lambda x: x.isNotNull())
+
+
+def redux_role(path: Column, c: Column) -> Column:
+    """(slice, role): the first part of a slice's state that a file holds; null where it holds none."""
+    return F.get(redux_roles(path, c), F.lit(0))
 
 
 def routes(c: Column) -> Column:

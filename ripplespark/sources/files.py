@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import subprocess
 import tempfile
@@ -34,7 +35,7 @@ def glob_regex(pattern: str) -> str:
 
 def contents(spark: SparkSession, root: str) -> DataFrame:
     """(repo_root, path, content) of every file under a folder, one row a file."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
     inside = re.escape(root.rstrip("/").removeprefix("file://"))
     return raw.select(F.lit(root.rstrip("/")).alias("repo_root"), F.regexp_replace(F.expr("url_decode(replace(uri, '+', '%2B'))"), f"^(?:[a-z]+:/*(?=/))?{inside}/", "").alias("path"), "content")
 
@@ -105,6 +106,17 @@ def changed_paths(spark: SparkSession, root: str, base: str | None = None, targe
     return spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "path string")
 
 
+def changed_diffs(spark: SparkSession, root: str, base: str | None = None, target: str | None = None) -> DataFrame:
+    """(path, diff) of changed files with a line of context, by one call of git; none on errors."""
+    ranges = [f"{base}..{target}"] if base and target else ["HEAD", "HEAD~1..HEAD"]
+    for r in ranges:
+        parts = re.split(r"(?m)^(?=diff --git )", _git(root, "diff", "--unified=1", "--no-color", r) or "")
+        found = [(m[1], part) for part in parts if (m := re.search(r"(?m)^(?:\+\+\+ b/|rename to |diff --git a/.* b/)(.+)$", part[part.find("\n+++ ") + 1 :] if "\n+++ b/" in part else part))]
+        if found:
+            return spark.createDataFrame(found, "path string, diff string")
+    return spark.createDataFrame([], "path string, diff string")
+
+
 def diff_texts(changes: DataFrame) -> DataFrame:
     """(path, summary) of (path, diff, content): the diff, else the content, else the path, cut to a length."""
     blank = lambda c: F.when(F.trim(c) != "", F.col(c))
@@ -186,6 +198,41 @@ def tsconfig_aliases(configs: dict[str, dict], start: str) -> tuple[dict[str, st
     return aliases, roots
 
 
+def tsconfig_of(root: str) -> tuple[dict[str, str], list[str]]:
+    """Aliases and base folders, from the root on, of the tsconfig or jsconfig in it and in the folders above; nearer ones win."""
+    root = os.path.abspath(root.removeprefix("file://"))
+    aliases: dict[str, str] = {}
+    bases: list[str] = []
+    folder = root
+    while True:
+        for name in ("tsconfig.json", "tsconfig.base.json", "jsconfig.json"):
+            start = os.path.join(folder, name)
+            if os.path.isfile(start):
+                found, roots = tsconfig_aliases(_ConfigFiles(), start)
+                inside = lambda p: os.path.relpath(p, root).replace(os.sep, "/").removeprefix("./")
+                for prefix, target in found.items():
+                    aliases.setdefault(prefix, inside(target))
+                bases += [b for b in (inside(r) for r in roots) if not b.startswith("..") and b not in bases]
+        above = os.path.dirname(folder)
+        if above == folder:
+            return aliases, ["" if b == "." else b for b in bases]
+        folder = above
+
+
+class _ConfigFiles(dict):
+    """Configs by path, read when asked for; comments and commas before a closing bracket are put up with."""
+
+    def __contains__(self, path: object) -> bool:
+        if path not in self.keys():
+            try:
+                with open(str(path), encoding="utf-8") as file:
+                    text = re.sub(r'("(?:[^"\\\n]|\\.)*")|/\*.*?\*/|//[^\n]*', lambda m: m[1] or "", file.read(), flags=re.S)
+                self[path] = json.loads(re.sub(r",(\s*[}\]])", r"\1", text))
+            except (OSError, ValueError):
+                return False
+        return True
+
+
 def bundler_aliases(files: DataFrame) -> DataFrame:
     """(prefix, target) that bundler configs (path, content) name, in three usual forms."""
     q, key = r"""["']([^"']+)["']""", r"""["']?([@\w~$./-]+)["']?"""

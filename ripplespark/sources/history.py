@@ -7,22 +7,54 @@ path, or for renames and copies the old and the new path.  Records come newest f
 from __future__ import annotations
 
 import subprocess
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import saved, shared_folder
+
+#: What git is asked for.
 LOG = ["-c", "core.quotePath=false", "log", "--no-merges", "-M", "--name-status", "--pretty=format:%x00%ct"]
-RENAMES = 32
+_PIECE = 1 << 20
 
 
 def git_log(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, raw): a repository's log; no row where there is none, or only a part of it."""
+    """(repo, pos, record) of a repository's log; no rows where there is none, or only a part of it.
+
+    The log goes to a file in the shared folder piece by piece, each record with its number,
+    and Spark reads it in splits; neither the driver nor a task holds it whole.
+    """
+    empty = spark.createDataFrame([], "repo string, pos int, record string")
+    git = ["git", "-C", root]
     try:
-        run = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, text=True, check=True, timeout=600).stdout
-        raw = run(*LOG) if run("rev-parse", "--is-shallow-repository").strip() == "false" else ""
+        asked = subprocess.run([*git, "rev-parse", "--is-shallow-repository"], capture_output=True, text=True, check=True, timeout=60)
+        if asked.stdout.strip() != "false":
+            return empty
+        path = f"{shared_folder(spark).removeprefix('file://')}/log-{uuid4().hex}"
+        with subprocess.Popen([*git, *LOG], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+            numbered(spark, path, run.stdout)
+        if run.returncode:
+            return empty
     except (OSError, subprocess.SubprocessError):
-        raw = ""
-    return spark.createDataFrame([(root, raw)] if raw else [], "repo string, raw string")
+        return empty
+    read = spark.read.option("lineSep", "\u0001").text(path).where("value <> ''")
+    return read.select(F.lit(root).alias("repo"), F.substring_index("value", "\u0000", 1).cast("int").alias("pos"), F.expr("substring(value, instr(value, '\u0000') + 1)").alias("record")).where("trim(record) <> ''")
+
+
+def numbered(spark: SparkSession, path: str, log) -> None:
+    """Writes a log's records, which a zero byte begins, with their numbers before them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop)
+    n, rest = 0, b""
+    try:
+        while piece := log.read(_PIECE):
+            *whole, rest = (rest + piece).split(b"\0")
+            out.write(bytearray(b"".join(b"%d\0%s\1" % (n + k, r) for k, r in enumerate(whole))))
+            n += len(whole)
+        out.write(bytearray(b"%d\0%s\1" % (n, rest)))
+    finally:
+        out.close()
 
 
 def records(logs: DataFrame) -> DataFrame:
@@ -52,18 +84,27 @@ def latest_names(touched: DataFrame, renames: DataFrame) -> DataFrame:
     """``touched`` (repo, pos, ts, size, path) with the name that each path has now.
 
     A rename holds for records at or after it in the log, which are older. Each step
-    follows the next rename, until no path has one.
+    follows the next rename of those paths that have one, and what it leaves is written, so
+    that a chain of any length costs what it moves.
     """
-    now = touched.withColumn("until", F.col("pos"))
+    columns = ["repo", "pos", "ts", "size", "path"]
     if renames.isEmpty():
         return touched
-    for _ in range(RENAMES):
+    renames = saved(renames.distinct(), "renames")
+    settled, now = [], touched.withColumn("until", F.col("pos"))
+    while True:
         hit = (F.col("path") == F.col("old")) & (F.col("n.repo") == F.col("r.repo")) & (F.col("at") <= F.col("until"))
         step = now.alias("n").join(renames.alias("r"), hit, "left").groupBy("n.repo", "pos", "ts", "size", "path", "until").agg(F.max_by(F.struct("new", "at"), "at").alias("next"))
-        if step.where("next IS NOT NULL").isEmpty():
+        step = saved(step, "renamed")
+        settled.append(step.where("next IS NULL").select(*columns))
+        moved = step.where("next IS NOT NULL")
+        if moved.isEmpty():
             break
-        now = step.select("repo", "pos", "ts", "size", F.coalesce("next.new", "path").alias("path"), F.coalesce(F.col("next.at") - 1, "until").alias("until"))
-    return now.select("repo", "pos", "ts", "size", "path")
+        now = moved.select("repo", "pos", "ts", "size", F.col("next.new").alias("path"), (F.col("next.at") - 1).alias("until"))
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def buckets(commits: DataFrame, window_s: int, max_files: int = 30) -> DataFrame:

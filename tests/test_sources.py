@@ -43,7 +43,7 @@ def test_changes(spark, tmp_path):
         (tmp_path / "f.ts").write_text(str(k))
         git("add", "."), git("commit", "-qm", "x")
     assert [r["path"] for r in S.changed_paths(spark, str(tmp_path)).collect()] == ["f.ts"]
-    log = H.parse(H.records(H.git_log(spark, str(tmp_path)))).collect()
+    log = H.parse(H.git_log(spark, str(tmp_path))).collect()
     assert len(log) == 1 and log[0]["path"] == "f.ts" and len(log[0]["commits"]) == 2
     assert H.git_log(spark, "/nowhere").isEmpty()
     texts = spark.createDataFrame([("a", " ", "body"), ("b", "d" * 5000, ""), ("c", None, None)], "path string, diff string, content string")
