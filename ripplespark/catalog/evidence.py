@@ -236,10 +236,12 @@ def action_shared_values(spark, sf_dir):
     """Users who did the same, where not more than 25 users did it."""
     events = table(spark, sf_dir, "events").select(key("u", "user_id").alias("path"), F.concat(F.upper("event_type"), F.lit("_K"), F.get_json_object("props", "$.k")).alias("value"))
     files = events.groupBy("path").agg(F.array_sort(F.collect_set("value")).alias("action_types"))
-    own = I.action_types(files)
-    rare = own.groupBy("value").agg(F.count("*").alias("owners")).where("owners <= 25").select("value")
-    used = own.join(rare, "value").select("value", "path")
-    return used.withColumnRenamed("path", "changed").join(used.withColumnRenamed("path", "test"), "value").where("changed <> test").groupBy("changed", "test").agg(F.count("*").alias("shared"))
+    one = lambda kind: impact.shaped(files.withColumn("type", F.lit(kind)).withColumn("path", F.concat(F.lit(f"{kind}:"), "path")), spark)
+    reg = S.Registry(one("source").unionByName(one("test")), load())  # every user is a file of either kind, so that values have twice as many owners
+    found = S.action_type(reg, one("source").select("path"), first=10**9, most_owners=50, shown=10**6)
+    user = lambda c: F.regexp_replace(c, "^[a-z]+:", "")
+    shared = F.size(F.split(F.regexp_replace("reason", "^[^:]*: ", ""), ", ")).cast("long")
+    return found.select(user("changed").alias("changed"), user("test").alias("test"), shared.alias("shared")).where("changed <> test")
 
 
 # time ----------------------------------------------------------------------------------

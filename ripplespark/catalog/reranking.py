@@ -18,18 +18,14 @@ def k() -> F.Column:
 
 
 @query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT a.vec_id AS query, b.vec_id AS hit, round(0.7 * CASE WHEN a.label = b.label THEN 1 ELSE 0 END + 0.3 * list_cosine_similarity(a.e, b.e), 6) AS mixed FROM q a, q b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
-SELECT query, hit, mixed, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mixed DESC, hit) AS rank FROM s) WHERE rank <= 30 AND mixed >= 0.3""")
+s AS (SELECT a.vec_id AS query, b.vec_id AS hit, 0.7 * CASE WHEN a.label = b.label THEN 1 ELSE 0 END + 0.3 * list_cosine_similarity(a.e, b.e) AS mixed FROM q a, q b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query, hit, round(mixed, 6) AS mixed, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mixed DESC, hit) AS rank FROM s) WHERE rank <= 30 AND mixed >= 0.3""")
 def cosine_topk(spark, sf_dir):
     """For every hundredth vector the thirty best of all others, by label and direction."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), "label", F.col("embedding").cast("array<double>").alias("vector"))
-    asked = v.where("path % 100 = 0").select(F.col("path").alias("changed"), F.col("label").alias("mine"), F.col("vector").alias("a"))  # a stated set of queries, against all rows
-    other = v.select(F.col("path").alias("test"), "label", F.col("vector").alias("b"))
-    scored = asked.join(other, F.col("changed") != F.col("test")).select("changed", "test", F.round(0.7 * (F.col("mine") == F.col("label")).cast("int") + 0.3 * R.cosine("a", "b"), 6).alias("mixed"))
-    from pyspark.sql import Window
-
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("changed").orderBy(F.desc("mixed"), "test")))
-    return ranked.where("rank <= 30 AND mixed >= 0.3").select(F.col("changed").alias("query"), F.col("test").alias("hit"), "mixed", "rank")
+    asked = v.where("path % 100 = 0").select(F.col("path").alias("changed"), F.col("label").alias("mine"))  # a stated set of queries, against all rows
+    pairs = asked.join(v.select(F.col("path").alias("test"), "label"), F.col("changed") != F.col("test")).select("changed", "test", (F.col("mine") == F.col("label")).cast("double").alias("prior"))
+    return R.similar_top_k(pairs, v).select(F.col("changed").alias("query"), F.col("test").alias("hit"), F.round("mixed", 6).alias("mixed"), "rank")
 
 
 _REPLIES = f"""r AS (SELECT event_id, {_K} AS k, CASE WHEN {_K} % 7 = 0 THEN 'sorry, none' WHEN {_K} % 5 = 0 THEN '{{"relevant": "yes"}}'
