@@ -9,23 +9,23 @@ from ripplespark.config import Scoring
 
 NARROW_ANCHORS = ("direct-import", "filename-match", "colocation")
 MEDIUM_ANCHORS = ("route-match", "selector-match", "selector-id-match", "transitive-import")
-#: What a result says about its strongest signals.
+#: What a result says about its strongest signals.
 EXPLANATIONS = {
-    "direct-import": "This test directly imports the changed file, so any breakage will surface here",
-    "transitive-import": "This test imports a module that depends on the changed file",
-    "route-match": "This test navigates to a route that renders the changed component",
-    "selector-match": "This test interacts with UI elements defined in the changed file",
-    "selector-id-match": "This test targets elements by ID that appear in the changed file",
-    "filename-match": "This test file is named after the changed component — likely its dedicated spec",
-    "translation-match": "This test asserts on text content that originates from the changed file",
-    "redux-chain": "This test covers a feature that shares Redux state with the changed file",
-    "redux-consumer": "This test exercises UI that reads from Redux state the changed file writes to",
-    "api-intercept": "This test mocks an API endpoint that the changed file calls",
-    "colocation": "This test lives alongside the changed file — likely tests it directly",
-    "describe-block": "This test's describe/it blocks reference the changed component by name",
-    "temporal-coherence": "This test was created/changed alongside the changed file in git history",
+    "direct-import": "Imports the changed file itself",
+    "transitive-import": "Imports a file that imports the changed one",
+    "route-match": "Opens a page on which the changed file is shown",
+    "selector-match": "Uses elements that the changed file marks for tests",
+    "selector-id-match": "Looks up ids that the changed file sets",
+    "filename-match": "Has the changed file's name",
+    "translation-match": "Expects a text whose key the changed file uses",
+    "redux-chain": "Shares a slice of state with the changed file",
+    "redux-consumer": "Opens a page that reads state which the changed file holds",
+    "api-intercept": "Replaces a call that the changed file answers",
+    "colocation": "Stands next to the changed file",
+    "describe-block": "Speaks of the changed file in its titles",
+    "temporal-coherence": "Came about or changed at the same times as the changed file",
 }
-WEAK = "Weak connection — consider running manually if this area was affected."
+WEAK = "Little speaks for this test; look at it if in doubt."
 
 
 def describe_gate(signals: DataFrame) -> DataFrame:

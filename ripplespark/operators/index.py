@@ -113,7 +113,7 @@ def token_shares(files: DataFrame) -> DataFrame:
 def title_idf(files: DataFrame) -> DataFrame:
     """(token, idf) of words in titles of tests: 1 - ln(df) / ln(N + 1), at least 0.1; N counts all tests."""
     n = tests(files).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    each = titles(files).select("test", F.explode("tokens").alias("token")).distinct()
+    each = titles(files).select(F.explode("tokens").alias("token"))  # distinct in a test already
     df = each.groupBy("token").agg(F.count("*").alias("df"))
     return df.join(n).select("token", F.greatest(F.lit(0.1), 1 - F.ln("df") / F.ln(F.col("n") + 1)).alias("idf"))
 

@@ -1,4 +1,4 @@
-"""Which file an import means: candidates by their order, joined to the files that exist."""
+"""Which file an import means: every file says which paths can mean it, and imports are joined to these."""
 
 from __future__ import annotations
 
@@ -11,9 +11,16 @@ from ripplespark.schema import EXTENSIONS
 DEPTH = 5
 
 
-def candidates(base: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
-    """Paths that an extensionless path can mean, best first: itself, with an ending, as a folder's index."""
-    return F.array(base, *(F.concat(base, F.lit(e)) for e in extensions), *(F.concat(base, F.lit(f"/index{e}")) for e in extensions))
+def meant_by(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(target, base, k) of files (path): the paths without ending that can mean each, by rank.
+
+    A path means best the file of just that name, then one with an ending, then a folder's index.
+    """
+    path = F.col("path")
+    whole = F.struct(path.alias("base"), F.lit(0).alias("k"))
+    cut = lambda tail, k: F.when(path.endswith(tail), F.struct(F.substr(path, F.lit(1), F.length(path) - len(tail)).alias("base"), F.lit(k).alias("k")))
+    ways = F.array(whole, *(cut(e, 1 + i) for i, e in enumerate(extensions)), *(cut(f"/index{e}", 1 + len(extensions) + i) for i, e in enumerate(extensions)))
+    return files.select(path.alias("target"), F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("w")).select("target", "w.base", "w.k")
 
 
 def bases(imports: DataFrame, aliases: DataFrame, roots: list[str]) -> DataFrame:
@@ -37,8 +44,7 @@ def bases(imports: DataFrame, aliases: DataFrame, roots: list[str]) -> DataFrame
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame, roots: list[str] | None = None, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, spec, target) of imports (path, spec): the first candidate that exists; others are dropped."""
-    tried = bases(imports.distinct(), aliases, roots or []).select("path", "spec", "way", F.posexplode(candidates(F.col("base"), extensions)).alias("k", "target"))
-    found = tried.join(files.select(F.col("path").alias("target")), "target", "left_semi")
+    found = bases(imports.distinct(), aliases, roots or []).join(meant_by(files.select("path").distinct(), extensions), "base")
     return found.groupBy("path", "spec").agg(F.min_by("target", F.struct("way", "k")).alias("target"))
 
 

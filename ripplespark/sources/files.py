@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ripplespark.config import Config
 from ripplespark.functions import text as T
 
+# Endings of sources and tests.
 SOURCE_FILES = r"(?i)\.(tsx?|jsx?)$"
 TEST_FILES = r"(?i)(\.(cy|spec|test|e2e)\.(tsx?|jsx?)$|(^|/)__tests__/)"
 #: Rules by which tests are never suggested: a part of any folder or file name, or a whole file name.

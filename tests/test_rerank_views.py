@@ -109,9 +109,9 @@ def test_excerpts_and_kinds(spark):
     assert [one(R.test_folder, p) for p in ("cypress/tests/api/a.ts", "cypress/tests/ui/a.ts", "src/a.cy.tsx", "x.ts")] == ["api", "ui", "component", "other"]
     lines = "\n".join(str(k) for k in range(200))
     got = one(R.sampled_lines, lines).split("\n")
-    assert len([g for g in got if not g.startswith("//")]) == 80 and got[0] == "0" and got[-1] == "199" and got[20] == "// ··· 30 lines skipped ···"
+    assert len([g for g in got if not g.startswith("//")]) == 80 and got[0] == "0" and got[-1] == "199" and got[20] == "// ··· 30 lines left out ···"
     assert one(R.sampled_lines, "short") == "short"
-    assert one(R.without_imports, "import a from 'a';\nimport b from 'b';\n\nconst x = 1;\n") == "import a from 'a'; … (1 more imports)\n\n\nconst x = 1;\n"
+    assert one(R.without_imports, "import a from 'a';\nimport b from 'b';\n\nconst x = 1;\n") == "import a from 'a'; … (1 further ones)\n\n\nconst x = 1;\n"
     assert one(R.without_imports, "const x = 1;") == "const x = 1;"
     tests = table(spark, entry("a/login.spec.ts", "test", cypress={"its": ["x"], "custom_commands": ["loginByOkta", "seedDb", "open"]})).withColumn("content", F.lit("it('x', () => { cy.task('db:seed'); cy.mount(<Panel />) })"))
     row = R.classified(tests).first()

@@ -17,7 +17,7 @@ def test_direct_import(spark):
     reg = registry(spark, entry("src/Button.tsx"), entry("src/A.tsx"), entry("src/__tests__/Button.test.tsx", imports=["src/Button.tsx"]))
     assert weight(S.direct_import(reg, paths(spark, "src/Button.tsx"))) == 0.95
     out = impact.analyse(reg, paths(spark, "src/Button.tsx")).collect()
-    assert len(out) == 1 and out[0]["score"] >= 0.95 and out[0]["confidence"] == "high" and "directly imports" in out[0]["explanation"]
+    assert len(out) == 1 and out[0]["score"] >= 0.95 and out[0]["confidence"] == "high" and "Imports the changed file itself" in out[0]["explanation"]
 
 
 def test_unknown_file_has_no_results(spark):
