@@ -426,3 +426,19 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in now.select("doc_id").collect()}
     one = out.where("n_tokens > 0").first()
     assert hashlib.sha256(np.array(one["ids"], "<u4").tobytes()).hexdigest() == one["ids_sha256"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, extra columns of clashing names, and no rows at all."""
+    good = [" ".join(words(40 + k, 80)) for k in range(3)]
+    rows = [(1, good[0], "en", "a", 1), (1, good[0], "en", "a", 1), (None, good[1], None, None, None), (2, None, None, None, None), (3, "", "en", "a", 0), (4, good[2] + " ghp_" + "a1B2" * 9, "en", "b", 5), (5, good[0] + " end", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(1) for c in ("id", "ids", "found", "spans", "row", "live", "of", "_row", "n_words")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]) for r in out)) == ["1", "4", "None"]
+    (tmp_path / "none").mkdir()
+    docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
