@@ -85,8 +85,8 @@ def fuse(signals: DataFrame, cfg: Scoring | None = None) -> DataFrame:
     Scores are rounded to twelve places, so that equal evidence ties in whatever order it is multiplied.
     """
     each = F.struct("weight", "type", "reason", "anchor_eligible")
-    found = signals.groupBy("changed", "test").agg(F.round(noisy_or("weight"), 12).alias("score"), F.array_sort(F.collect_list(each)).alias("signals"))  # as many as there are scorers
-    return found.select("changed", "test", "score", band("score", cfg).alias("confidence"), F.size("signals").alias("n_signals"), "signals", explanation(F.col("signals")).alias("explanation"))
+    found = signals.groupBy("changed", "test").agg(F.round(noisy_or("weight"), 12).alias("score"), F.count("*").cast("int").alias("n_signals"), F.array_sort(F.collect_list(each)).alias("signals"))  # as many as there are scorers
+    return found.select("changed", "test", "score", band("score", cfg).alias("confidence"), "n_signals", "signals", explanation(F.col("signals")).alias("explanation"))
 
 
 def results(scored: DataFrame, cfg: Scoring | None = None, all_results: bool = False) -> DataFrame:

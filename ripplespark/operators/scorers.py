@@ -59,11 +59,11 @@ class Registry:
         Every scorer reads these tables, some several times: plans over stored tables are
         short, and nothing is parsed or grouped twice.
         """
-        tables = {"files": self.files, "graph": self.graph} | ({} if self.history is None else {"history": self.history})
         spark = self.files.sparkSession
         folder = f"{sources.shared_folder(spark)}/registry-{uuid4().hex}"
-        sources.write_registry(tables, folder)
-        read = sources.read_registry(spark, folder, tables)
+        sources.write_registry({"files": self.files} | ({} if self.history is None else {"history": self.history}), folder)
+        sources.write_registry({"graph": G.edges(spark.read.parquet(f"{folder}/files"))}, folder)
+        read = sources.read_registry(spark, folder, ["files", "graph"] + ([] if self.history is None else ["history"]))
         found = read["files"].agg(*(F.coalesce(F.bool_or(F.expr(has)), F.lit(False)).alias(name) for name, has in FACTS.items())).first().asDict()
         out = replace(self, files=read["files"], history=read.get("history"), facts=frozenset(k for k, v in found.items() if v))
         out.__dict__["graph"] = read["graph"]

@@ -43,13 +43,17 @@ def anchored_signals(reg: Registry, changed: DataFrame) -> DataFrame:
     return _union([first, *support]).join(pairs, ["changed", "test"], "left_semi")
 
 
-def gated(reg: Registry, signals: DataFrame) -> DataFrame:
-    """Titles' gate, anchors' gate and damping, in this order."""
+def gated(reg: Registry, signals: DataFrame, anchored: bool = False) -> DataFrame:
+    """Titles' gate, anchors' gate and damping, in this order.
+
+    Where every pair is known to have an anchor, both gates would let all signals through and are left out.
+    """
     cfg = reg.config.scoring
-    out = fusion.describe_gate(signals)
-    if cfg.require_anchor:
-        out = fusion.anchor_gate(out, graph.hubs(reg.files, cfg))
-    return fusion.dampen(out, graph.ubiquity(reg.files, reg.graph), cfg)
+    if not anchored:
+        signals = fusion.describe_gate(signals)
+        if cfg.require_anchor:
+            signals = fusion.anchor_gate(signals, graph.hubs(reg.files, cfg))
+    return fusion.dampen(signals, graph.ubiquity(reg.files, reg.graph), cfg)
 
 
 def analyse(reg: Registry, changed: DataFrame, all_results: bool = False, anchor_first: bool = True) -> DataFrame:
@@ -58,4 +62,4 @@ def analyse(reg: Registry, changed: DataFrame, all_results: bool = False, anchor
     cfg, changed = reg.config.scoring, known(reg, changed)
     first = anchor_first and cfg.require_anchor and cfg.min_confidence > 0
     signals = anchored_signals(reg, changed) if first else all_signals(reg, changed)
-    return fusion.results(fusion.fuse(gated(reg, signals), cfg), cfg, all_results)
+    return fusion.results(fusion.fuse(gated(reg, signals, first), cfg), cfg, all_results)
