@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language, near_dedup, quality, secret_scan, token_counts, toxicity, warc
+from . import bpe, collocation, decontaminate, hard_negatives, html_text, language, near_dedup, pii, quality, secret_scan, token_counts, toxicity, warc
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_decontamination"] = decontaminate.SQL
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector for each of its positives; every seventh vector has another label."""
+    label = F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives.SQL
+
+
+@query
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.report(pii.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocation.phrases(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = collocation.SQL
