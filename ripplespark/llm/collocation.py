@@ -43,7 +43,7 @@ BYTES_A_CELL = 4
 LEAST_BITS, MOST_BITS = 20, 30
 CHUNK_BITS = 16
 #: A task sends its sketch on whenever so many words and phrases have come together.
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 
 #: Words end at blanks, pieces at these.
 _BLANKS, _ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
