@@ -123,6 +123,15 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (flat.mix(h ^ _SEEDS[row]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Counts]:
+    """Counts of blocks of about a megabyte of text, which bound what a worker holds."""
+    for batch in batches:
+        offsets = flat.views(batch.column(1))[1]
+        for first, last in flat.blocks(offsets):
+            part = batch.slice(first, last - first)
+            yield counted(part.column(1), part.column(2))
+
+
 _PARTS = "sketch int, chunk int, cell binary, n binary"
 
 
@@ -151,8 +160,7 @@ def sketched(src: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, n, size = [], [], 0
-        for batch in batches:
-            found = counted(batch.column(1), batch.column(2))
+        for found in blocks(batches):
             for own, (_, times) in zip(hashes(found), found.by_size, strict=True):
                 h.append(own)
                 n.append(times)
@@ -210,23 +218,24 @@ def survivors(src: DataFrame, sketch: DataFrame, bits: int) -> DataFrame:
     """Rows (lang, phrase, size, n): exact counts of what the sketch lets through, by language; a null phrase has all words."""
     paths = tuple(sorted(sketch.inputFiles()))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = _sketch(paths, bits)
-        found = counted(batch.column(1), batch.column(2))
-        langs = pa.array(found.langs, pa.large_string())
-        out = [(langs, pa.nulls(len(langs), pa.large_string()), np.zeros(len(langs), np.int32), found.totals)]
-        for h, (places, times) in zip(hashes(found), found.by_size, strict=True):
-            kept = np.arange(len(h))
-            for row in range(DEPTH):
-                at = cells(h[kept], row, bits)
-                kept = kept[(full[row, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
-            each = [found.words.take(pa.array(ids[kept])) for ids in places]
-            phrase = each[0] if len(each) == 1 else pc.binary_join_element_wise(*each, pa.scalar(" ", pa.large_string()))
-            out.append((langs.take(pa.array(found.lang[places[0][kept]])), phrase, np.full(len(kept), len(places), np.int32), times[kept]))
-        columns = [pa.concat_arrays([pa.array(part[k]) for part in out]) for k in range(4)]
-        return pa.RecordBatch.from_arrays([columns[0].cast(pa.string()), columns[1].cast(pa.string()), columns[2].cast(pa.int32()), columns[3].cast(pa.int64())], ["lang", "phrase", "size", "n"])
-
-    each = tables.over_batches(src, run, "lang string, phrase string, size int, n bigint")
+        for found in blocks(batches):
+            langs = pa.array(found.langs, pa.large_string())
+            out = [(langs, pa.nulls(len(langs), pa.large_string()), np.zeros(len(langs), np.int32), found.totals)]
+            for h, (places, times) in zip(hashes(found), found.by_size, strict=True):
+                kept = np.arange(len(h))
+                for row in range(DEPTH):
+                    at = cells(h[kept], row, bits)
+                    kept = kept[(full[row, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+                each = [found.words.take(pa.array(ids[kept])) for ids in places]
+                phrase = each[0] if len(each) == 1 else pc.binary_join_element_wise(*each, pa.scalar(" ", pa.large_string()))
+                out.append((langs.take(pa.array(found.lang[places[0][kept]])), phrase, np.full(len(kept), len(places), np.int32), times[kept]))
+            for columns in out:
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip(columns, kinds, strict=True)], ["lang", "phrase", "size", "n"])
+
+    each = src.mapInArrow(run, "lang string, phrase string, size int, n bigint")
     return each.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
 
