@@ -37,11 +37,13 @@ from . import files, flat, tables
 
 LEAST = 10
 TOP = 2000
+SHARES = 32
 NO_LANG = "und"
 DEPTH = 2
 BYTES_A_CELL = 4
 LEAST_BITS, MOST_BITS = 20, 30
-CHUNK_BITS = 16
+#: A row of the sketch is sent in so many parts at most, whatever its width.
+PARTS = 512
 #: A task sends its sketch on whenever so many words and phrases have come together.
 FLUSH = 1 << 20
 
@@ -132,27 +134,36 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Counts]:
             yield counted(part.column(1), part.column(2))
 
 
-_PARTS = "sketch int, chunk int, cell binary, n binary"
+_PARTS = "sketch int, chunk int, k int, gap binary, n binary"
+
+
+def chunk_bits(bits: int) -> int:
+    return max(3, bits - PARTS.bit_length() + 1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds them all."""
+    return x.astype(next(kind for kind in ("<u1", "<u2", "<u4", "<u8") if int(x.max(initial=0)) <= np.iinfo(kind).max)).tobytes()
+
+
+def _unpacked(data: bytes, k: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // k}").astype(np.int64)
 
 
 def _parts(h: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
-    """A sketch as rows: of each chunk that was touched, the cells and their counts."""
-    out: tuple[list, list, list, list] = ([], [], [], [])
+    """A sketch as rows: of each chunk that was touched, the gaps between its cells and their counts."""
+    out: tuple[list, ...] = ([], [], [], [], [])
     for row in range(DEPTH):
         at, place = np.unique(cells(h, row, bits), return_inverse=True)
-        sums = np.bincount(place, n, len(at)).astype("<i8")
-        chunk = at >> CHUNK_BITS
-        low = (at & ((1 << CHUNK_BITS) - 1)).astype("<u2")
-        # Counts are sent in the least width that holds a chunk's: most are 1.
+        sums = np.bincount(place, n, len(at)).astype(np.int64)
+        chunk = at >> chunk_bits(bits)
+        low = at & ((1 << chunk_bits(bits)) - 1)
         starts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(at) else np.zeros(0, np.int64)
         for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
-            own = sums[a:b]
-            width = "<u1" if own.max() < 256 else "<u4" if own.max() < 1 << 32 else "<u8"
-            out[0].append(row)
-            out[1].append(int(chunk[a]))
-            out[2].append(low[a:b].tobytes())
-            out[3].append(own.astype(width).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["sketch", "chunk", "cell", "n"])
+            for column, x in zip(out, (row, int(chunk[a]), int(b - a), _packed(np.diff(low[a:b], prepend=0)), _packed(sums[a:b])), strict=True):
+                column.append(x)
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["sketch", "chunk", "k", "gap", "n"])
 
 
 def sketched(src: DataFrame, bits: int) -> DataFrame:
@@ -176,22 +187,21 @@ def sketched(src: DataFrame, bits: int) -> DataFrame:
 
 def merged(parts: DataFrame, bits: int, least: int) -> DataFrame:
     """The merged sketch, as a bit for each cell whose count reaches ``least``, by chunk."""
-    width = 1 << CHUNK_BITS
+    width = 1 << chunk_bits(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for row, chunk, cell, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.frombuffer(cell, "<u2")
+            for row, chunk, k, gap, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key := (row, chunk)) not in sums:
                     sums[key] = np.zeros(width, np.int64)
-                sums[key][at] += np.frombuffer(n, f"<u{len(n) // len(at)}").astype(np.int64)  # cells of a part differ
+                sums[key][np.cumsum(_unpacked(gap, k))] += _unpacked(n, k)  # cells of a part differ
         for (row, chunk), own in sums.items():
             if (own >= least).any():
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([chunk], pa.int32()), pa.array([np.packbits(own >= least, bitorder="little").tobytes()])], ["sketch", "chunk", "bits"])
 
-    # 64 chunks a task, so that their sums take 32 MB.
-    dealt = parts.repartition(tables.tasks(max(8, (DEPTH << max(0, bits - CHUNK_BITS)) // 64)), "sketch", "chunk")
+    # The sums of a task take 32 MB or so.
+    dealt = parts.repartition(tables.tasks(max(8, (DEPTH << bits) >> 22)), "sketch", "chunk")
     return dealt.mapInArrow(run, "sketch int, chunk int, bits binary")
 
 
@@ -206,9 +216,9 @@ def _sketch(paths: tuple[str, ...], bits: int) -> np.ndarray:
         for path in paths:
             system, local = files.located(path)
             with system.open_input_file(local) as f:
-                for batch in pq.ParquetFile(f).iter_batches(256, columns=["sketch", "chunk", "bits"]):
+                for batch in pq.ParquetFile(f).iter_batches(16, columns=["sketch", "chunk", "bits"]):
                     for row, chunk, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                        at = chunk << (CHUNK_BITS - 3)
+                        at = chunk << (chunk_bits(bits) - 3)
                         full[row, at : at + len(own)] = np.frombuffer(own, np.uint8)
         _HELD[paths] = full
     return _HELD[paths]
@@ -270,8 +280,10 @@ def phrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     first, second = cut("n_head", "n_end"), cut("n_start", "n_tail")
     best = F.when(one, cut("n_head", "n_tail")).when(second["score"] < first["score"], second).otherwise(first)
     found = found.select("lang", "phrase", "a", best.alias("best")).join(whole, "lang")
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # A language's best are the best of its shares, so that no task gets more than SHARES times as many rows as are asked for.
+    best_of = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("best.score"), F.desc("a"), "phrase"))
+    shares = found.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("rank", best_of("lang", "share")).where(F.col("rank") <= top)
+    ranked = shares.withColumn("rank", best_of("lang")).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", F.col("n_words").alias("n"), "best.score")
 
 
