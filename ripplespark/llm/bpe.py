@@ -10,7 +10,8 @@ merges every place of the lowest pair left and ranks only the pairs beside those
 so that an unbroken text of megabytes takes time in proportion to its length.  Encoded
 words are kept in a cache of bounded size.
 
-Null texts count as empty, which give no ids.  Texts are encoded whole, however long.
+Null texts count as empty, which give no ids.  Texts are encoded whole, however long.  Null
+and repeated ids stay, each row on its own.
 """
 
 from __future__ import annotations
@@ -37,6 +38,36 @@ _CONTROL = regex.compile("[\x1c-\x1f]")
 _BLANK = regex.compile(r"\p{White_Space}+")
 
 
+def _ranges(text: str) -> str:
+    """Hexadecimal ranges as the inside of a character class."""
+    return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in text.split())
+
+
+# Where the tokenizer library's character tables differ from Python's and this pattern module's.
+#: Letters and numbers that count as signs.
+_SIGNS = regex.compile("[" + _ranges(
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F "
+    "12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+) + "]")
+#: Marks that change places with no other and join no character.
+_APART = regex.compile("([" + _ranges(
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 "
+    "119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+) + "]+)")
+#: Capital letters that Python doesn't know yet: the first and last, and what lies between them and their small letters.
+_CAPITALS = (("1C89", "1C89", 1), ("A7CB", "A7CB", 0x264 - 0xA7CB), ("A7CC", "A7CC", 1), ("A7CE", "A7CE", 1), ("A7D2", "A7D2", 1), ("A7D4", "A7D4", 1), ("A7DA", "A7DA", 1), ("A7DC", "A7DC", 0x19B - 0xA7DC), ("10D50", "10D65", 32), ("16EA0", "16EB8", 27))
+_SMALL = {c: c + more for first, last, more in _CAPITALS for c in range(int(first, 16), int(last, 16) + 1)}
+_CAPITAL = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
+def nfc(text: str) -> str:
+    """The library's NFC, which leaves the marks of ``_APART`` where they are."""
+    if _APART.search(text) is None:
+        return unicodedata.normalize("NFC", text)
+    return "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(_APART.split(text)))
+
+
 def byte_symbols() -> list[str]:
     """The visible character that byte-level vocabularies use for each byte."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -77,7 +108,7 @@ class WordBPE:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str | tuple[str], int] = {}
         self.ids, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     # words ---------------------------------------------------------------------------
@@ -188,11 +219,9 @@ class WordBPE:
         return symbol[symbol >= 0], word[symbol >= 0]
 
     def words_of(self, chunk: str) -> list[str]:
-        """The chunk's words. Code points below 65,536 that Unicode has not assigned count as signs, not letters."""
-        unknown = () if chunk.isascii() else [c for c in set(chunk) if c < "\U00010000" and unicodedata.category(c) == "Cn"]
-        if unknown:
-            shape = "".join("\u2603" if c in unknown else c for c in chunk)
-            return [chunk[m.start() : m.end()] for m in self.pattern.finditer(shape)]
+        """The chunk's words."""
+        if not chunk.isascii() and _SIGNS.search(chunk):
+            return [chunk[m.start() : m.end()] for m in self.pattern.finditer(_SIGNS.sub("\u2603", chunk))]
         return self.pattern.findall(chunk)
 
     def _learn(self, chunks: list[str]) -> None:
@@ -214,7 +243,9 @@ class WordBPE:
 
     def _chunks(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = nfc(text).replace("Σ", "σ")
+            if _CAPITAL.search(text):
+                text = text.translate(_SMALL)
         text = text.lower()
         return text.split() if _CONTROL.search(text) is None else [c for c in _BLANK.split(text) if c]
 
@@ -222,23 +253,23 @@ class WordBPE:
         """The ids of all texts in a row, and how many each has."""
         if len(self.known) > self.cache_words or len(self.ids) > CACHE_IDS:
             self._forget()
-        pieces: list[list[str]] = []
+        pieces: list[list[str | tuple[str]]] = []
         for text in texts:
             parts = self.cut.split(text) if self.cut and "<|" in text else [text]
-            chunks: list[str] = []
+            chunks: list[str | tuple[str]] = []
             for k, part in enumerate(parts):
-                # a special string stands for itself, under a name that no lower-cased chunk has
-                chunks += ["\0" + part] if k % 2 else self._chunks(part)
+                # a special string stands for itself, under a key that is no text
+                chunks += [(part,)] if k % 2 else self._chunks(part)
             pieces.append(chunks)
         known, before = self.known, len(self.known)
         flat_index = np.fromiter((known.setdefault(c, len(known)) for cs in pieces for c in cs), np.int64)
         new = list(known)[before:] if len(known) > before else []
         if new:
-            self._learn([c if c[:1] != "\0" or c[1:] not in self.special else "" for c in new])
+            self._learn(["" if isinstance(c, tuple) else c for c in new])
             for k, c in enumerate(new):
-                if c[:1] == "\0" and c[1:] in self.special:
+                if isinstance(c, tuple):
                     self.start[before + k], self.count[before + k] = len(self.ids), 1
-                    self.ids = np.r_[self.ids, np.int32(self.special[c[1:]])]
+                    self.ids = np.r_[self.ids, np.int32(self.special[c[0]])]
         per = np.fromiter(map(len, pieces), np.int64, len(pieces))
         count = self.count[flat_index]
         ids = gather(self.ids, self.start[flat_index], count)
