@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import re
+import shutil
 import subprocess
 import tempfile
 from collections.abc import Iterable
@@ -249,14 +251,24 @@ def bundler_aliases(files: DataFrame) -> DataFrame:
 # stored tables -------------------------------------------------------------------------
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, as ``spark.checkpoint.dir`` names it; on one machine without it, a new one."""
+    """The folder that the cluster's machines share, as ``spark.checkpoint.dir`` names it.
+
+    Where that is unset and one machine does all the work, as in tests, a temporary folder is
+    made for the application, which goes when Python ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = tempfile.mkdtemp(prefix="ripplespark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        key = spark.sparkContext.applicationId
+        if key not in _own:
+            _own[key] = tempfile.mkdtemp(prefix="ripplespark-")
+            atexit.register(shutil.rmtree, _own[key], ignore_errors=True)
+        folder = _own[key]
     return folder.rstrip("/")
 
 
