@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplespark.config import Rerank
 from ripplespark.operators import rerank as R
+from ripplespark.operators.vectors import top_k_in_blocks
 
 from . import query, table
 
@@ -22,9 +23,19 @@ s AS (SELECT a.vec_id AS query, b.vec_id AS hit, 0.7 * CASE WHEN a.label = b.lab
 SELECT query, hit, round(mixed, 6) AS mixed, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mixed DESC, hit) AS rank FROM s) WHERE rank <= 30 AND mixed >= 0.3""")
 def cosine_topk(spark, sf_dir):
     """For every hundredth vector the thirty best of all others, by label and direction."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    best = top_k_in_blocks(v.where("id % 100 = 0"), v)  # a stated set of queries, against all rows, in blocks
+    return best.select("query", "hit", F.round("mixed", 6).alias("mixed"), "rank")
+
+
+@query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.vec_id AS query, b.vec_id AS hit, 0.7 * CASE WHEN a.label = b.label THEN 1 ELSE 0 END + 0.3 * list_cosine_similarity(a.e, b.e) AS mixed FROM q a JOIN q b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 40)
+SELECT query, hit, round(mixed, 6) AS mixed, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY mixed DESC, hit) AS rank, count(*) OVER (PARTITION BY query) AS n FROM s) WHERE n <= 30 OR rank <= 30 AND mixed >= 0.3""")
+def similar_candidates(spark, sf_dir):
+    """Of the forty vectors after each one, given as its candidates, the thirty best."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), "label", F.col("embedding").cast("array<double>").alias("vector"))
-    asked = v.where("path % 100 = 0").select(F.col("path").alias("changed"), F.col("label").alias("mine"))  # a stated set of queries, against all rows
-    pairs = asked.join(v.select(F.col("path").alias("test"), "label"), F.col("changed") != F.col("test")).select("changed", "test", (F.col("mine") == F.col("label")).cast("double").alias("prior"))
+    after = v.select(F.col("path").alias("changed"), F.col("label").alias("mine"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.col("path") + k)).alias("path"))
+    pairs = after.join(v.select("path", "label"), "path").select("changed", F.col("path").alias("test"), (F.col("mine") == F.col("label")).cast("double").alias("prior"))
     return R.similar_top_k(pairs, v).select(F.col("changed").alias("query"), F.col("test").alias("hit"), F.round("mixed", 6).alias("mixed"), "rank")
 
 

@@ -36,11 +36,35 @@ def cone(seeds: DataFrame, graph: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("seed", "node").agg(F.min("depth").alias("depth"))
 
 
+def _keeper(df: DataFrame):
+    """How steps of a walk are kept: on the shared folder where one is set, else in memory and on disk."""
+    spark = df.sparkSession
+    return (lambda x: x.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else (lambda x: x.persist())
+
+
 def capped_cone(seeds: DataFrame, graph: DataFrame, depth: int, most: int) -> DataFrame:
-    """The cones of at most ``most`` nodes, with their size without the seed."""
-    found = cone(seeds, graph, depth)
-    size = found.groupBy("seed").agg(F.count("*").alias("nodes")).where(F.col("nodes") <= most)
-    return found.join(size, "seed").select("seed", "node", "depth", (F.col("nodes") - 1).alias("cone_size"))
+    """The cones of at most ``most`` nodes, with their size without the seed.
+
+    A seed goes as soon as its cone is known to be larger, before it is walked on from: after
+    each level by what it has reached, and before the next by a node at its edge that alone
+    leads to too many. So no level has more than ``most`` * ``most`` nodes of a seed.
+    """
+    keep = _keeper(seeds)
+    degree = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    frontier = seeds.select(F.col("path").alias("seed"), F.col("path").alias("node")).distinct()
+    found = frontier.withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        # A node isn't its own neighbour, so the cone has at least one node more than it has neighbours.
+        wide = frontier.join(degree.where(F.col("degree") >= most), "node").select("seed").distinct()
+        small = frontier.join(wide, "seed", "left_anti")
+        step = small.join(graph, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+        new = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(d))
+        reached = keep(found.join(wide, "seed", "left_anti").unionByName(new))
+        over = reached.groupBy("seed").agg(F.count("*").alias("nodes")).where(F.col("nodes") > most).select("seed")
+        found = reached.join(over, "seed", "left_anti")
+        frontier = found.where(F.col("depth") == d).select("seed", "node")
+    size = found.groupBy("seed").agg((F.count("*") - 1).alias("cone_size"))
+    return found.join(size, "seed").select("seed", "node", "depth", "cone_size")
 
 
 def reachable(seeds: DataFrame, graph: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -49,8 +73,7 @@ def reachable(seeds: DataFrame, graph: DataFrame, max_depth: int = 10) -> DataFr
     Each step joins only the nodes found in the step before. The plan is kept short by
     checkpoints where a checkpoint folder is set.
     """
-    spark = seeds.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    keep = _keeper(seeds)
     frontier = keep(seeds.select(F.col("path").alias("seed"), F.col("path").alias("node")).distinct().withColumn("depth", F.lit(0)))
     found = frontier
     for d in range(1, max_depth + 1):

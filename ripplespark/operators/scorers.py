@@ -240,20 +240,18 @@ def filename_match(reg: Registry, changed: DataFrame) -> DataFrame:
     under = keys.distinct().join(src.where("length(joined) >= 3").select("changed", "ct", "joined"), "joined").where("whole OR (size(ct) = 1 AND length(joined) >= 5)").select("changed", "test", "ct").distinct()
     ancestor = signals(under, "filename-match", F.lit(w * 0.85), F.concat(F.lit("Test lies in a folder named "), F.array_join("ct", "-"))).withColumn("step", F.lit(2))
 
-    # shared tokens; containment pairs come from the two vocabularies
-    c_tokens = src.select("changed", F.posexplode("ct").alias("i", "token"))
-    t_tokens = tests.select("test", F.explode(F.array_distinct("tt")).alias("token"))
-    exact = c_tokens.join(t_tokens, "token").select("changed", "test", "i", "token", F.lit(True).alias("exact"))
-    fuzzy = c_tokens.join(contained(c_tokens.select("token").distinct(), t_tokens.select("token").distinct(), 5, False), "token").join(t_tokens.select("test", F.col("token").alias("other")), "other")
-    fuzzy = fuzzy.select("changed", "test", "i", "token").distinct().join(exact.select("changed", "test", "i"), ["changed", "test", "i"], "left_anti").withColumn("exact", F.lit(False))
-    shares = I.token_shares(reg.files).select("token", "share")
-    hit = exact.unionByName(fuzzy).join(shares, "token", "left")
-    pair = hit.groupBy("changed", "test").agg(
-        F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_fuzzy"), F.min("token").alias("any"),
-        F.max((F.col("exact") & (F.length("token") >= 3)) | (~F.col("exact") & (F.length("token") >= 5))).alias("strong"),
-        F.max(F.coalesce("share", F.lit(0.0)) < reg.config.scoring.filename_ambiguity).alias("distinctive"), F.array_sort(F.collect_set("token")).alias("tokens"),
+    # Shared tokens: pairs come from rare tokens and from containment, what they share is counted on the pairs.
+    pair = name_pairs(src.select("changed", "ct"), tests.select("test", "tt"), least)
+    shares = src.select("changed", F.explode(F.array_distinct("ct")).alias("token")).join(I.token_shares(reg.files).select("token", "share"), "token").groupBy("changed").agg(F.map_from_entries(F.collect_list(F.struct("token", "share"))).alias("shares"))
+    full = pair.join(src, "changed").join(tests.drop("segs"), "test").join(shares, "changed", "left")
+    within = lambda t: F.exists("tt", lambda o: (o != t) & (F.length(t) >= 5) & (F.length(o) >= 5) & (F.contains(o, t) | F.contains(t, o)))
+    full = full.withColumn("exact", F.filter("ct", lambda t: F.array_contains("tt", t))).withColumn("fuzzy", F.filter("ct", lambda t: ~F.array_contains("tt", t) & within(t)))
+    every = F.concat("exact", "fuzzy")
+    rare = lambda t: F.coalesce(F.try_element_at("shares", t), F.lit(0.0)) < reg.config.scoring.filename_ambiguity
+    full = full.where(F.size(every) > 0).select(
+        "*", F.size("exact").alias("n_exact"), F.size("fuzzy").alias("n_fuzzy"), F.array_min(every).alias("any"), F.array_sort(F.array_distinct(every)).alias("tokens"),
+        (F.exists("exact", lambda t: F.length(t) >= 3) | (F.size("fuzzy") > 0)).alias("strong"), F.exists(every, rare).alias("distinctive"),
     )
-    full = pair.join(src, "changed").join(tests.drop("segs"), "test")
     n_c, n_t = F.size(F.array_distinct("ct")), F.size(F.array_distinct("tt"))
     ratio = (F.col("n_exact") + 0.9 * F.col("n_fuzzy")) / F.least(n_c, n_t)
     every_c, every_t = F.array_union("ct", "cp"), F.array_union("tt", "tp")
@@ -266,6 +264,34 @@ def filename_match(reg: Registry, changed: DataFrame) -> DataFrame:
     return best.select("changed", "test", "s.*")
 
 
+def name_pairs(src: DataFrame, tests: DataFrame, least: float) -> DataFrame:
+    """Distinct (changed, test) that can share ``least`` of the smaller one's tokens: src (changed, ct), tests (test, tt).
+
+    Tokens are put in one order, rarest first. Who shares so many of a name's n tokens shares
+    one of its first n - ceil(least * n) + 1, so a token that many names have only counts where a name
+    has hardly another. Names with repeated tokens, which count more than once, go in whole.
+    Pairs by containment come from the two vocabularies.
+    """
+    c_tokens = src.select("changed", F.explode(F.array_distinct("ct")).alias("token"))
+    t_tokens = tests.select("test", F.explode(F.array_distinct("tt")).alias("token"))
+    often = t_tokens.groupBy("token").agg(F.count("*").alias("often"))
+    repeated = src.where(F.size("ct") > F.size(F.array_distinct("ct"))).select("changed").distinct().withColumn("whole", F.lit(True))
+
+    def first(tokens: DataFrame, name: str) -> DataFrame:
+        ordered = tokens.join(often, "token", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+        per = Window.partitionBy(name)
+        ordered = ordered.withColumn("n", F.count("*").over(per)).withColumn("k", F.row_number().over(per.orderBy("often", "token")))
+        return ordered.withColumn("first", F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(name, "token", "n", "first")
+
+    c = first(c_tokens, "changed").join(repeated, "changed", "left").select("changed", "token", F.col("n").alias("c_n"), (F.col("first") | F.coalesce("whole", F.lit(False))).alias("c_first"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    t = first(t_tokens, "test").select("test", "token", F.col("n").alias("t_n"), F.col("first").alias("t_first"))
+    by_c = c.where("c_first").join(t, "token").where("c_n <= t_n OR whole")
+    by_t = c.join(t.where("t_first"), "token").where("t_n < c_n")
+    words = contained(c_tokens.select("token").distinct(), t_tokens.select("token").distinct(), 5, False)
+    fuzzy = c_tokens.join(words, "token").join(t_tokens.select("test", F.col("token").alias("other")), "other")
+    return by_c.select("changed", "test").unionByName(by_t.select("changed", "test")).unionByName(fuzzy.select("changed", "test")).distinct()
+
+
 def contained(left: DataFrame, right: DataFrame, least: int = 5, shorter: bool = True) -> DataFrame:
     """(token, other) of two vocabularies (column ``token``) where one, but not both, lies in the other.
 
