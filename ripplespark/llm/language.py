@@ -3,9 +3,10 @@
 Texts are lower-cased, whatever is no letter becomes a space, and every run of one to
 three characters is hashed to one of ``CELLS`` cells.  Training counts cells by language
 over a sample of about ``TRAIN_TEXTS`` texts of each language, chosen by a hash of text and
-id, in the executors.  The ``LANGUAGES`` values with the most rows are learned, which
-bounds the model where labels are dirty.  The matrix of log probabilities, cells by languages, is broadcast; its
-size doesn't depend on the corpus.  Scoring counts the cells of a few texts at a time and
+id, in the executors.  All values are learned.  The matrix of log probabilities, cells by
+languages, is broadcast, in blocks of ``AT_A_TIME`` languages, 8 MB each, whose size doesn't
+depend on the corpus; where there are several, they are files in the shared folder and a
+worker holds one at a time.  Scoring counts the cells of a few texts at a time and
 multiplies the counts that aren't zero with the matrix.
 
 Null texts and texts without a letter are ``und`` with score 0, and so are all texts if
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import flat, tables
+from . import files, flat, tables
 
 CELLS = 1 << 15
 TRAIN_TEXTS = 2000
-LANGUAGES = 500
+AT_A_TIME = 64
 _GRAMS = (1, 2, 3)
 _AT_ONCE = 64
 _letters: list[np.ndarray] = []
@@ -69,17 +70,22 @@ def _lower_texts(column: pa.Array):
             yield texts[k : k + _AT_ONCE]
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", train_texts: int = TRAIN_TEXTS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """The languages in order, and the log probabilities of cells, with the log priors as a last row."""
+Model = list[tuple[list[str], np.ndarray]]
+
+
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", train_texts: int = TRAIN_TEXTS, id_col: str = "doc_id", at_a_time: int = AT_A_TIME) -> Model:
+    """Blocks of languages in order, each with the log probabilities of cells and the log priors as a last row."""
     tables._bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text, F.col(id_col).cast("string"), F.lit(7)).alias("hash"))
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(n)
-    if not langs:
-        return [], np.zeros((CELLS + 1, 0), np.float32)
+    return [_block(rows, langs[k : k + at_a_time], n, train_texts) for k in range(0, len(langs), at_a_time)]
+
+
+def _block(rows: DataFrame, langs: list[str], n: dict[str, int], train_texts: int) -> tuple[list[str], np.ndarray]:
     share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, train_texts / n[k])))))
-    sample = rows.where(F.pmod("hash", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    sample = rows.where(F.pmod("hash", F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text")
 
     def run(batches):
         place = {k: i for i, k in enumerate(langs)}
@@ -94,45 +100,66 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", train_t
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["at", "n"])
 
     counts = np.zeros(len(langs) * CELLS)
-    for at, total in sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
-        counts[at] = total
+    got = sample.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a number for each cell of the block at most
+    counts[got.column("at").to_numpy()] = got.column("n").to_numpy()
     counts = counts.reshape(len(langs), CELLS) + 0.5
     prior = np.array([n[k] for k in langs], float)
-    return langs, np.vstack([np.log(counts / counts.sum(1, keepdims=True)).T, np.log(prior / prior.sum())]).astype(np.float32)
+    return langs, np.vstack([np.log(counts / counts.sum(1, keepdims=True)).T, np.log(prior / sum(n.values()))]).astype(np.float32)
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+def _stored(matrix: np.ndarray, folder: str) -> str:
+    out, path = files.new_file(folder, ".npy")
+    with out:
+        out.write(np.ascontiguousarray(matrix).tobytes())
+    return path
+
+
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Rows (id, lang_pred, score), and the columns named in ``more``."""
-    langs = model[0]
-    shared = df.sparkSession.sparkContext.broadcast(model[1])
+    langs = [names for names, _ in model]
+    if len(model) > 1:
+        folder = tables.shared_folder(df.sparkSession)
+        shared, paths = None, [_stored(matrix, folder) for _, matrix in model]
+    else:
+        shared, paths = df.sparkSession.sparkContext.broadcast(model[0][1] if model else None), [""]
+
+    def block(k: int) -> np.ndarray:
+        if shared is not None:
+            return shared.value
+        with files.reader(paths[k]) as f:
+            return np.frombuffer(f.read(), np.float32).reshape(CELLS + 1, len(langs[k]))
 
     def run(batches):
-        log, prior = shared.value[:-1], shared.value[-1]
         for batch in batches:
-            best, score = [], []
-            for texts in _lower_texts(batch.column(1)):
-                doc, cell, has = cells(texts)
-                counts = np.bincount(doc * CELLS + cell, minlength=len(texts) * CELLS)
-                some = np.flatnonzero(counts)
-                total = np.tile(prior.astype(np.float64), (len(texts), 1))
-                if len(some) and langs:
-                    of = some // CELLS
-                    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                    total[of[first]] += np.add.reduceat(log[some % CELLS] * counts[some, None], first, dtype=np.float64)
-                for k in range(len(texts)):
-                    if not has[k] or not langs:
-                        best.append("und")
-                        score.append(0.0)
-                        continue
-                    top = int(total[k].argmax())
-                    best.append(langs[top])
-                    score.append(float(1 / np.exp(total[k] - total[k, top]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:]], names)
+            size = batch.num_rows
+            best, high, total, has = np.full(size, "und", object), np.full(size, -np.inf), np.full(size, -np.inf), np.zeros(size, bool)
+            for k, names in enumerate(langs):
+                matrix, at = block(k), 0
+                log, prior = matrix[:-1], matrix[-1]
+                for texts in _lower_texts(batch.column(1)):
+                    doc, cell, letters = cells(texts)
+                    here = np.arange(at, at + len(texts))
+                    has[here], at = letters, at + len(texts)
+                    counts = np.bincount(doc * CELLS + cell, minlength=len(texts) * CELLS)
+                    some = np.flatnonzero(counts)
+                    logit = np.tile(prior.astype(np.float64), (len(texts), 1))
+                    if len(some):
+                        of = some // CELLS
+                        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                        logit[of[first]] += np.add.reduceat(log[some % CELLS] * counts[some, None], first, dtype=np.float64)
+                    top = logit.argmax(axis=1)
+                    most = logit[np.arange(len(texts)), top]
+                    total[here] = np.logaddexp(total[here], most + np.log(np.exp(logit - most[:, None]).sum(axis=1)))
+                    better = most > high[here]  # equal ones stay with the language that sorts first
+                    best[here[better]], high[here[better]] = np.array(names, object)[top[better]], most[better]
+            score = np.where(has & (high > -np.inf), np.exp(np.minimum(0, high - np.where(np.isfinite(total), total, 0))), 0.0)
+            best = np.where(has, best, "und")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.tolist(), pa.string()), pa.array(score), *batch.columns[2:]], names_)
 
     src = tables.texts(df, id_col, text_col, *more)
-    names = ["id", "lang_pred", "score", *more]
+    names_ = ["id", "lang_pred", "score", *more]
     kinds = [src.schema["id"].dataType.simpleString(), "string", "double", *(src.schema[c].dataType.simpleString() for c in more)]
-    return src.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))).withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names_, kinds, strict=True))).withColumnRenamed("id", id_col)
 
 
 def held_out_predictions(df: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -424,5 +424,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keep = keep.select(_row_key(F.col("key"), F.col("id")).alias(name)).distinct()
     text_key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     own = [f"`{c}`" for c in df.columns]
+    # Maps have no hash, but their JSON has.
+    hashed = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x")), {"ignoreNullFields": "false"}) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
     kept = df.withColumn(name, _row_key(text_key, F.col(id_col))).join(keep, name)
-    return kept.groupBy(name).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("of")).select("of.*")
+    return kept.groupBy(name).agg(F.min_by(F.struct(*own), F.xxhash64(*hashed)).alias("of")).select("of.*")
