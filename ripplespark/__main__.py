@@ -1,12 +1,13 @@
 """``registry build`` and ``analyze`` for a repository on disk.
 
     python -m ripplespark registry build --root R --out FOLDER
-    python -m ripplespark analyze --root R [--changed "a.ts b.ts" | --base X --target Y] [--out FOLDER]
+    python -m ripplespark analyze --root R [--changed "a.ts b.ts" | --base X --target Y] [--min-confidence S] [--max-results N | --all] [--out FOLDER]
 """
 
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
             one.add_argument("--changed")
             one.add_argument("--base")
             one.add_argument("--target")
+            one.add_argument("--min-confidence", type=float, help="least score of a result")
+            one.add_argument("--max-results", type=int, help="results of a changed file at most")
+            one.add_argument("--all", action="store_true", help="all results of the least score")
     return parser.parse_args(argv)
 
 
@@ -37,13 +41,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     given = arguments(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     cfg = config.read(given.root)
+    if given.command == "analyze":
+        asked = {"min_confidence": given.min_confidence, "max_results": given.max_results}
+        cfg = replace(cfg, scoring=replace(cfg.scoring, **{k: v for k, v in asked.items() if v is not None}))
     reg = registry.of_repository(spark, given.root, cfg, tuple(given.tests), given.locales)
     if given.command == "registry":
         tables = {"files": reg.files, "graph": reg.graph, "routes": reg.routes, "history": reg.history}
         sources.write_registry(tables, given.out)
         return
     changed = sources.explicit_changes(spark, given.changed) if given.changed else sources.changed_paths(spark, given.root, given.base, given.target)
-    results = impact.analyse(reg, changed)
+    results = impact.analyse(reg, changed, given.all)
     if given.out:
         sources.write_results(results, given.out)
     else:

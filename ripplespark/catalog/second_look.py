@@ -12,7 +12,9 @@ from ripplespark.operators.intervals import counted_near, near_in_time
 from ripplespark.operators.judge import JudgeError
 from ripplespark.plans.rerank import rerank
 from ripplespark.sources.files import shared_folder
+from ripplespark.sources.history import Histories
 from ripplespark.sources.stores import ContentCache, LockStore
+from ripplespark.streaming.keyed import KeyedTable
 
 from . import query, table
 
@@ -108,3 +110,32 @@ def orders_of_a_week(spark, sf_dir):
     """How many other orders of its urgency lie within a week of each order."""
     o = dated(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     return counted_near(o, 7, "o_orderpriority", "day").where("near IS NOT NULL").select("o_orderkey", "near")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS path, round(o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, 2) AS price
+FROM orders WHERE o_orderkey IS NOT NULL AND o_orderpriority IS DISTINCT FROM '1-URGENT'""")
+def incremental_registry(spark, sf_dir):
+    """Orders as files in a table that takes changes by batches: all, then changed ones, then those that go."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey IS NOT NULL")
+    rows = orders.select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_totalprice").alias("price"), "o_orderstatus", "o_orderpriority")
+    files = KeyedTable(spark, folder(spark, "files"), "path string, price double", buckets=16)
+    files.put(rows, 0)
+    files.put(rows.where("o_orderstatus = 'F'").withColumn("price", F.col("price") + 1), 1)
+    files.compact(2)
+    files.put(rows.limit(0), 2, rows.where("o_orderpriority = '1-URGENT'").select("path"))
+    return files.read().select("path", F.round("price", 2).alias("price"))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS k, o_custkey AS c, coalesce(o_orderpriority = '1-URGENT', false) AS moved, max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END) OVER (PARTITION BY o_custkey) AS last FROM orders),
+p AS (SELECT k, CASE WHEN moved OR k <= last THEN 'd' ELSE 'c' END || c || '.ts' AS path FROM t)
+SELECT path, min(k)::BIGINT AS created_at, max(k)::BIGINT AS updated_at, count(*)::BIGINT AS n_commits, max(k)::BIGINT AS newest FROM p GROUP BY path""")
+def incremental_log(spark, sf_dir):
+    """Orders as commits of customers' files, some of which rename: the older half is read first, the newer merged in."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey", F.lit(".ts")).alias("c"), F.concat(F.lit("d"), "o_custkey", F.lit(".ts")).alias("d"), F.coalesce(F.col("o_orderpriority") == "1-URGENT", F.lit(False)).alias("moved"))
+    most = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    line = F.when(F.col("moved"), F.concat(F.lit("R100\t"), "c", F.lit("\t"), "d")).otherwise(F.concat(F.lit("M\t"), "c"))
+    found = orders.select(F.lit("r").alias("repo"), (most - F.col("o_orderkey")).cast("int").alias("pos"), F.concat(F.col("o_orderkey").cast("string"), F.lit("\n\n"), line).alias("record"))
+    store = Histories(spark, folder(spark, "histories"))
+    store.add(found.where(F.col("pos") >= most // 2), 0)
+    store.add(found.where(F.col("pos") < most // 2), 1, {"r": most})
+    return store.read().select("path", "created_at", "updated_at", F.size("commits").cast("long").alias("n_commits"), F.get("commits", F.lit(0))["ts"].alias("newest"))

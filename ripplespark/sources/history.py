@@ -7,11 +7,14 @@ path, or for renames and copies the old and the new path.  Records come newest f
 from __future__ import annotations
 
 import subprocess
+from collections.abc import Mapping
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplespark.streaming.keyed import KeyedTable
+
 from .files import saved, shared_folder
 
 #: What git is asked for.
@@ -19,8 +22,8 @@ LOG = ["-c", "core.quotePath=false", "log", "--no-merges", "-M", "--name-status"
 _PIECE = 1 << 20
 
 
-def git_log(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, pos, record) of a repository's log; no rows where there is none, or only a part of it.
+def git_log(spark: SparkSession, root: str, span: str | None = None) -> DataFrame:
+    """(repo, pos, record) of a repository's log, or of a span of commits; no rows where there is none, or only a part of it.
 
     The log goes to a file in the shared folder piece by piece, each record with its number,
     and Spark reads it in splits; neither the driver nor a task holds it whole.
@@ -32,7 +35,7 @@ def git_log(spark: SparkSession, root: str) -> DataFrame:
         if asked.stdout.strip() != "false":
             return empty
         path = f"{shared_folder(spark).removeprefix('file://')}/log-{uuid4().hex}"
-        with subprocess.Popen([*git, *LOG], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+        with subprocess.Popen([*git, *LOG, *([span] if span else [])], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
             numbered(spark, path, run.stdout)
         if run.returncode:
             return empty
@@ -62,19 +65,24 @@ def records(logs: DataFrame) -> DataFrame:
     return logs.select("repo", F.posexplode(F.split("raw", "\u0000")).alias("pos", "record")).where("trim(record) <> ''")
 
 
-def parse(found: DataFrame) -> DataFrame:
-    """(repo, path, created_at, updated_at, commits) of records (repo, pos, record).
-
-    A commit's size is the number of its files, deleted ones too; files are known by their
-    latest name. Commits are in the order of the log, newest first.
-    """
+def _read(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What records (repo, pos, record) touch (repo, pos, ts, size, path), and renames (repo, at, old, new)."""
     lines = F.filter(F.split("record", r"\r?\n"), lambda x: F.trim(x) != "")
     head = found.withColumn("l", lines)
     head = head.where("size(l) > 0").select("repo", "pos", F.expr("try_cast(trim(l[0]) AS BIGINT)").alias("ts"), F.expr("slice(l, 2, greatest(size(l) - 1, 0))").alias("files")).where("ts IS NOT NULL")
     each = head.select("repo", "pos", "ts", F.size("files").alias("size"), F.explode("files").alias("line")).select("repo", "pos", "ts", "size", F.split("line", "\t").alias("f"))
     touched = each.where("f[0] NOT LIKE 'D%'").select("repo", "pos", "ts", "size", F.when(F.expr("f[0] RLIKE '^[RC]'"), F.get("f", F.lit(2))).otherwise(F.get("f", F.lit(1))).alias("path")).where("path IS NOT NULL")
     renames = each.where("f[0] LIKE 'R%' AND size(f) > 2").select("repo", F.col("pos").alias("at"), F.get("f", F.lit(1)).alias("old"), F.get("f", F.lit(2)).alias("new"))
-    named = latest_names(touched, renames)
+    return touched, renames
+
+
+def parse(found: DataFrame) -> DataFrame:
+    """(repo, path, created_at, updated_at, commits) of records (repo, pos, record).
+
+    A commit's size is the number of its files, deleted ones too; files are known by their
+    latest name. Commits are in the order of the log, newest first.
+    """
+    named = latest_names(*_read(found))
     commit = F.struct(F.col("pos"), F.col("ts"), F.col("size"))
     files = named.groupBy("repo", "path").agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.array_sort(F.collect_set(commit)).alias("c"))
     return files.select("repo", "path", "created_at", "updated_at", F.transform("c", lambda c: F.struct(c["ts"].alias("ts"), c["size"].alias("size"))).alias("commits"))
@@ -110,3 +118,70 @@ def latest_names(touched: DataFrame, renames: DataFrame) -> DataFrame:
 def buckets(commits: DataFrame, window_s: int, max_files: int = 30) -> DataFrame:
     """(repo, path, bucket) of commits (repo, path, ts, size) that aren't too large."""
     return commits.where(F.col("size") <= max_files).select("repo", "path", F.floor(F.col("ts") / window_s).alias("bucket")).distinct()
+
+
+class Histories:
+    """Histories of files that take in a log's newer records only, and write only the files that these touch or rename.
+
+    Commits are numbered from the oldest on, so that what is stored keeps its numbers. A log
+    that has been rewritten, so that the last known commit isn't in it, is read anew.
+    """
+
+    ROW = "name string, repo string, path string, commits array<struct<n:bigint,ts:bigint,size:int>>"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.table = KeyedTable(spark, f"{self.folder}/files", self.ROW, "name")
+        self.heads = KeyedTable(spark, f"{self.folder}/heads", "repo string, head string, commits bigint, number bigint", "repo", 1)
+
+    def read(self) -> DataFrame:
+        """As ``parse`` gives them."""
+        newest = F.reverse(F.array_sort("commits"))
+        plain = F.transform(newest, lambda c: F.struct(c["ts"].alias("ts"), c["size"].alias("size")))
+        times = F.transform("commits", lambda c: c["ts"])
+        return self.table.read().select("repo", "path", F.array_min(times).alias("created_at"), F.array_max(times).alias("updated_at"), plain.alias("commits"))
+
+    def add(self, found: DataFrame, number: int, before: Mapping[str, int] | None = None) -> None:
+        """Takes in records (repo, pos, record) that are newer than all before; before: how many commits of a repository are known."""
+        found = saved(found, "newer")
+        most = found.groupBy("repo").agg(F.max("pos").alias("last"))
+        known = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in (before or {"": 0}).items() for x in kv)), F.col("repo")), F.lit(0)).cast("bigint")
+        touched, renames = _read(found)
+        renames = saved(renames, "newer-renames")
+        commit = F.struct((known + F.col("last") - F.col("pos")).cast("bigint").alias("n"), "ts", "size")
+        news = latest_names(touched, renames).join(most, "repo").groupBy("repo", "path").agg(F.collect_set(commit).alias("commits"))
+        # What is known under an old name is as if it stood behind all newer records.
+        name = F.concat("repo", F.lit("\u0000"), "path")
+        old = self.table.get(renames.select(F.concat("repo", F.lit("\u0000"), "old").alias("name")))
+        numbered_ = saved(old.withColumn("ts", F.monotonically_increasing_id()), "renamed-files")
+        behind = numbered_.select("repo", F.lit(2**31 - 1).alias("pos"), "ts", F.lit(0).alias("size"), "path")
+        moved = latest_names(behind, renames).select("repo", "ts", F.col("path").alias("now")).join(numbered_, ["repo", "ts"])
+        moved = moved.select("repo", F.col("now").alias("path"), "commits")
+        both = saved(news.unionByName(moved).withColumn("name", name), "touched-files")
+        gone = numbered_.select("name").join(both.select("name"), "name", "left_anti")
+        stay = self.table.get(both.select("name")).join(numbered_.select("name"), "name", "left_anti").select("repo", "path", "commits", "name")
+        rows = both.unionByName(stay).groupBy("name", "repo", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("commits")))).alias("commits"))
+        self.table.put(rows, number, both.select("name").unionByName(gone))
+
+    def update(self, root: str) -> int:
+        """Takes in what a repository's log has gained and returns how many records that is."""
+        git = ["git", "-C", root]
+        said = subprocess.run([*git, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=60)
+        if said.returncode:
+            return 0
+        head = said.stdout.strip()
+        known = self.heads.get(self.spark.createDataFrame([(root,)], "repo string")).first()
+        if known and subprocess.run([*git, "merge-base", "--is-ancestor", known["head"], head], capture_output=True, timeout=60).returncode:
+            lost = self.table.read().where(F.col("repo") == root)
+            self.table.put(lost.limit(0), known["number"] + 1, lost.select("name"))
+            known = {"head": None, "commits": 0, "number": known["number"] + 1}
+        number = known["number"] + 1 if known else 0
+        if known and known["head"] == head:
+            return 0
+        found = saved(git_log(self.spark, root, f"{known['head']}..{head}" if known and known["head"] else None), "log")
+        n = found.count()
+        commits = known["commits"] if known else 0
+        if n:
+            self.add(found, number, {root: commits})
+        self.heads.put(self.spark.createDataFrame([(root, head, commits + n, number)], self.heads.schema), number)
+        return n
