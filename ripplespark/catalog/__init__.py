@@ -31,4 +31,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import code, evidence, impact, ranking, reranking, second_look, texts  # noqa: E402, F401
+from . import code, evidence, impact, lexed, ranking, reranking, second_look, texts  # noqa: E402, F401

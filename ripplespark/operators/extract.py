@@ -1,8 +1,9 @@
-"""Facts about files from their text, as column expressions; no file leaves the JVM.
+"""Facts about files from their text, as column expressions.
 
 There is no TypeScript parser here: what a file states is read by regular expressions on
-text without comments.  Nested templates, attribute expressions other than literals, and
-component wrappers deeper than one call are left out; see the README.
+text without comments.  What nests, the comments themselves and the texts between tags,
+is read by the lexer in one pass over each file; attribute expressions other than literals,
+and component wrappers deeper than one call are left out, see the README.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ripplespark.functions import text as T
 
+from . import lexer
+
 # Attributes that name elements for tests, commands that every test has, and names of shortcuts to elements.
 SELECTOR_ATTRIBUTES = "data-testid data-test-id data-test data-cy data-qa data-e2e data-automation data-automation-id dataTestId testId id aria-label".split()
 BUILT_IN_COMMANDS = (
@@ -26,9 +29,13 @@ _S = r"""["']([^"'\n]*)["']"""
 
 
 def code(content: Column | str) -> Column:
-    """The text without comments; a // after a colon is part of a url."""
+    """The text without comments, strings left as they are; in the JVM, for what doesn't hang on nesting.
+
+    A // after a colon is part of a url, as in texts between tags.
+    """
     c = F.col(content) if isinstance(content, str) else content
-    return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", " "), r"(?m)(^|[^:\"'`])//[^\n]*", "$1")
+    kept = r"""("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`|:(?=//))"""
+    return F.regexp_replace(c, rf"(?s){kept}|/\*.*?\*/|(?<!:)//[^\n]*", "$1")
 
 
 def every(c: Column, pattern: str, group: int = 1) -> Column:
@@ -90,10 +97,6 @@ def selectors(c: Column) -> Column:
     return F.array_distinct(F.concat(*pairs))
 
 
-def jsx_text(c: Column) -> Column:
-    return _some(F.transform(every(c, r"(?s)<[A-Za-z][^<>]*[^=<>/]>\s*([^<>{}]+?)\s*(?=<|\{)|<[A-Za-z]\w*>\s*([^<>{}]+?)\s*(?=<|\{)", 0), lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"(?s)^<[^<>]*>", ""), r"\s+", " "))))
-
-
 def translation_keys(c: Column) -> Column:
     return _some(every(c, rf"(?<![\w.])(?:i18n\.)?t\(\s*{_S}"))
 
@@ -227,7 +230,7 @@ def with_constants(files: DataFrame, consts: DataFrame, idents: DataFrame) -> Da
 
 def extract(files: DataFrame) -> DataFrame:
     """Files (repo_root, path, content, type) with all facts, in the form of the table of files."""
-    base = files.withColumn("c", code(F.coalesce("content", F.lit(""))))
+    base = files.withColumn("lexed", lexer.lexed("content", "path")).withColumn("c", F.col("lexed.code"))
     c, test = F.col("c"), F.col("type") == "test"
     nothing = lambda x: F.when(test, x)
     empty = F.array().cast("array<string>")
@@ -238,6 +241,6 @@ def extract(files: DataFrame) -> DataFrame:
     return base.select(
         "repo_root", "path", T.basename("path").alias("name"), "type", exports(c).alias("exports"), imports(c).alias("imports"), _some(every(c, r"\bclass\s+(\w+)")).alias("classes"),
         _some(every(c, r"\bfunction\s*\*?\s*(\w+)")).alias("functions"), _some(every(c, r"\binterface\s+(\w+)")).alias("interfaces"), empty.alias("keywords"),
-        F.when(~test, selectors(c)).alias("selectors"), F.when(~test, jsx_text(c)).alias("jsx_text"), F.when(~test, translation_keys(c)).alias("translation_keys"), F.when(~test, routes(c)).alias("routes"),
+        F.when(~test, selectors(c)).alias("selectors"), F.when(~test, F.col("lexed.jsx_text")).alias("jsx_text"), F.when(~test, translation_keys(c)).alias("translation_keys"), F.when(~test, routes(c)).alias("routes"),
         redux_usage(c).alias("redux"), action_types(c).alias("action_types"), action_constants(c).alias("action_type_consts"), named_imports(c).alias("imported_idents"), nothing(cypress).alias("cypress"),
     )

@@ -102,6 +102,16 @@ def constants(files: DataFrame) -> DataFrame:
     return each.select("path", "name", F.explode(pairs).alias("m")).select("path", "name", F.col("m.k").alias("key"), F.col("m.v").alias("value"))
 
 
+def json_constants(files: DataFrame) -> DataFrame:
+    """(path, name, key, value): string members of the objects that .json files hold; what is no object has none.
+
+    They are exports of the whole file, so they are named 'default'.
+    """
+    found = F.from_json("content", "map<string,variant>", {"mode": "PERMISSIVE"})
+    each = files.where(F.col("path").rlike(r"\.json$")).select("path", F.explode(found).alias("key", "v"))
+    return each.where(F.schema_of_variant("v") == "STRING").select("path", F.lit("default").alias("name"), "key", F.try_variant_get("v", "$", "string").alias("value"))
+
+
 def with_imported_actions(files: DataFrame, resolved: DataFrame) -> DataFrame:
     """Files, where literals behind imported names count as the importer's action types.
 

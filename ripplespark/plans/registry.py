@@ -14,8 +14,9 @@ from ripplespark.operators.scorers import Registry
 from ripplespark.sources import files as sources
 from ripplespark.sources import history as H
 
-#: Endings of files that constants may be imported from.
-CONST_EXTENSIONS = (".ts", ".tsx", ".js", ".json")
+def json_files(spark: SparkSession, root: str, cfg: Config) -> DataFrame:
+    """(path, content) of the JSON files under a folder that constants may come from."""
+    return sources.without_ignored(sources.contents(spark, root), cfg).where(F.col("path").rlike(r"\.json$")).select("path", "content")
 
 
 def scanned(spark: SparkSession, root: str, cfg: Config, test_roots: tuple[str, ...] = ()) -> DataFrame:
@@ -25,17 +26,21 @@ def scanned(spark: SparkSession, root: str, cfg: Config, test_roots: tuple[str,
     return sources.source_files(own, cfg).withColumn("type", F.lit("source")).unionByName(tests.withColumn("type", F.lit("test")))
 
 
-def resolved_specs(files: DataFrame, aliases: DataFrame, roots: list[str]) -> DataFrame:
-    """(path, spec, target) of every import in files (path, content)."""
+def resolved_specs(files: DataFrame, aliases: DataFrame, roots: list[str], targets: DataFrame | None = None) -> DataFrame:
+    """(path, spec, target) of every import in files (path, content) that leads to one of them, or of targets (path)."""
     specs = files.select("path", F.explode(E.imports(E.code(F.coalesce("content", F.lit(""))))).alias("spec"))
-    return R.resolve_imports(specs, files, aliases, roots)
+    return R.resolve_imports(specs, files if targets is None else targets, aliases, roots)
 
 
-def identifiers_in_tests(files: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(path, value) of selectors that tests take from imported objects of constants."""
+def identifiers_in_tests(files: DataFrame, resolved: DataFrame, data: DataFrame | None = None) -> DataFrame:
+    """(path, value) of selectors that tests take from imported objects of constants, and from JSON files in data (path, content).
+
+    resolved: (path, spec, target) of imports, also of those that lead to JSON files.
+    """
     tests = files.where("type = 'test'")
     names = RT.bindings(tests).join(resolved, ["path", "spec"])
-    consts = R.constants(files).select(F.col("path").alias("target"), "name", "key", "value")
+    consts = R.constants(files)
+    consts = (consts if data is None else consts.unionByName(R.json_constants(data))).select(F.col("path").alias("target"), "name", "key", "value")
     spaces = names.where("imported = '*'").select("path", "target", F.col("name").alias("local"))
     whole = consts.join(spaces, "target").select("path", F.col("local").alias("name"), "target", "key", "value").distinct()
     named = consts.join(names.where("imported <> '*'").select("path", "target", F.col("name").alias("local"), "imported"), "target")
@@ -44,9 +49,10 @@ def identifiers_in_tests(files: DataFrame, resolved: DataFrame) -> DataFrame:
     return E.with_constants(tests, meant.select("target", "name", "key", "value").distinct(), meant.select("path", "name", "target").distinct())
 
 
-def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] | None = None, cfg: Config | None = None, i18n: DataFrame | None = None, history: DataFrame | None = None) -> Registry:
+def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] | None = None, cfg: Config | None = None, i18n: DataFrame | None = None, history: DataFrame | None = None, data: DataFrame | None = None) -> Registry:
     """The registry of files (repo_root, path, content, type).
 
+    data: (path, content) of JSON files that constants may be imported from; they are no nodes of the graph.
     aliases: (prefix, target) of imports; roots: folders that bare imports are looked up in.
     What tables derive from each other is written once: the facts of files, and where
     imports lead. Imports that lead to no file are left out of the graph.
@@ -65,7 +71,11 @@ def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] |
     roles = files.where("type = 'source'").select("path", F.explode(E.redux_roles(F.col("path"), E.code(F.coalesce("content", F.lit(""))))).alias("r")).select("path", "r.slice", "r.role")
     facts = I.with_chain_actions(facts, I.chains(roles, graph))
     # selectors behind constants
-    more = identifiers_in_tests(files, resolved).groupBy("path").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    named = resolved
+    if data is not None:
+        held = data.where(F.col("path").rlike(r"\.json$"))
+        named = resolved.unionByName(resolved_specs(files.where("type = 'test'"), aliases, roots or [], held))
+    more = identifiers_in_tests(files, named, data).groupBy("path").agg(F.array_sort(F.collect_set("value")).alias("values"))
     css = F.transform(F.coalesce("values", F.array().cast("array<string>")), lambda v: E.css_selector(v))
     facts = facts.join(more, "path", "left").withColumn("cypress", F.when(F.col("cypress").isNotNull(), F.col("cypress").withField("selectors", F.array_union("cypress.selectors", css)))).drop("values")
     # imports as files
@@ -91,4 +101,4 @@ def of_repository(spark: SparkSession, root: str, cfg: Config | None = None, tes
     bundler = sources.bundler_aliases(files.where(F.col("path").rlike(r"(^|/)(vite|webpack|rollup)\.config\.[cm]?[jt]s$")))
     aliases = aliases.unionByName(bundler.join(aliases, "prefix", "left_anti"))
     i18n = None if locales is None else sources.locale_texts(sources.contents(spark, locales).where("path LIKE '%.json'"))[0]
-    return build(files, aliases, ["", *bases], cfg, i18n, H.parse(H.git_log(spark, root.rstrip("/"))))
+    return build(files, aliases, ["", *bases], cfg, i18n, H.parse(H.git_log(spark, root.rstrip("/"))), json_files(spark, root, cfg))

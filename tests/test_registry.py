@@ -47,7 +47,11 @@ export default function Router() {
     "src/store/cart/slice.ts": "import { createSlice, createSelector } from '@reduxjs/toolkit'\nexport const s = createSlice({ name: 'cart', reducers: {} })\nexport const total = (state: RootState) => state.cart\nexport const CART_PAID = 'cart/CART_PAID'\n",
     "src/Cart.tsx": "import { total, CART_PAID } from './store/cart/slice'\nexport const Cart = () => useSelector(total)\n",
     "cypress/ids.ts": "export const ids = { table: '[data-testid=device-table]', other: 'x' }\n",
-    "cypress/e2e/devices.cy.ts": "import { ids } from '../ids'\ndescribe('Manage devices', () => { it('lists', () => { cy.visit('/managedevices'); cy.get(ids.table) }) })\n",
+    "cypress/ids.json": '{"row": "[data-cy=row]", "n": 1, "deep": {"row": "no"}}',
+    "cypress/broken.json": '{"row": ',
+    "cypress/list.json": '["row"]',
+    "cypress/e2e/devices.cy.ts": "import { ids } from '../ids'\nimport more from '../ids.json'\nimport * as broken from '../broken.json'\nimport list from '../list.json'\n"
+    "describe('Manage devices', () => { it('lists', () => { cy.visit('/managedevices'); cy.get(ids.table); cy.get(more.row); cy.get(more.n); cy.get(more.deep); cy.get(broken.row); cy.get(list.row) }) })\n",
     "cypress/e2e/cart.cy.ts": "import { Cart } from '../../src/Cart'\ndescribe('Cart', () => { it('pays', () => {}) })\n",
     "node_modules/x/index.ts": "export const no = 1\n",
 }
@@ -90,7 +94,7 @@ def test_registry_of_files_on_disk(built):
     assert "node_modules/x/index.ts" not in files and files["cypress/e2e/cart.cy.ts"]["type"] == "test"
     assert files["cypress/e2e/cart.cy.ts"]["imports"] == ["src/Cart.tsx"] and "src/dm/components/ManageDevices/index.tsx" in files["src/dm/Router.tsx"]["imports"]
     assert "cart/CART_PAID" in files["src/Cart.tsx"]["action_types"]
-    assert [tuple(s)[:2] for s in files["cypress/e2e/devices.cy.ts"]["cypress"]["selectors"]] == [("data-testid", "device-table")]
+    assert [tuple(s)[:2] for s in files["cypress/e2e/devices.cy.ts"]["cypress"]["selectors"]] == [("data-cy", "row"), ("data-testid", "device-table")]
     assert {(r["slice"], r["role"], r["path"]) for r in built.chains.collect()} == {("cart", "slice", "src/store/cart/slice.ts"), ("cart", "selectors", "src/store/cart/slice.ts"), ("cart", "consumer", "src/Cart.tsx")}
 
 
