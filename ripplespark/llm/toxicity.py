@@ -3,7 +3,8 @@
 A sentence's probability is the logistic of a bias and the weights of its distinct telling
 words, and 0 without any; a document is toxic unless every sentence is harmless and the label isn't noise:
 1 - (1 - leak) * product(1 - p).  Only documents are labelled; the gradient of the
-noisy-or gives credit to the sentences that explain a label.
+noisy-or gives credit to the sentences that explain a label, and so a scored text comes
+with the places of the sentences that offend by themselves.
 
 Learning uses about ``TRAIN_TEXTS`` labelled texts, and of either label about
 ``TRAIN_LEAST`` at least, chosen by a hash of text and id; rows that repeat both count once,
@@ -198,43 +199,49 @@ def sentence_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tupl
     return doc[first], np.where(np.isneginf(logit), 0.0, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))), words.start[first], words.end[np.r_[first[1:], len(doc)] - 1]
 
 
-def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """Rows (id, score), and the columns named in ``more``."""
+_SPANS = "array<struct<start:int,end:int,score:double>>"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+
+
+def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", *more: str, least: float = THRESHOLD) -> DataFrame:
+    """Rows (id, score, offending), and the columns named in ``more``.
+
+    offending: where the sentences lie whose own probability is ``least`` or more, in code
+    points from the first word to behind the last, in order of place; empty without any.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, parts = shared.value, []
+        model, parts, counts = shared.value, [np.zeros(0)], [np.zeros(1, np.int64)]
+        spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))]
         for a, b, data, offsets in _blocks(batch, 1):
             if model is None:
                 parts.append(np.zeros(b - a))
+                counts.append(np.zeros(b - a, np.int64))
                 continue
-            doc, p, _, _ = sentence_scores(model, data, offsets)
+            doc, p, start, end = sentence_scores(model, data, offsets)
             parts.append(1 - (1 - model.leak) * np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), b - a)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(np.concatenate(parts), 0, 1)), *batch.columns[2:]], names)
+            hit = np.flatnonzero(p >= least)
+            point = np.r_[0, np.cumsum(data & 0xC0 != 0x80)]  # code points before every byte
+            before = point[offsets[doc[hit]]]
+            spans.append(((point[start[hit]] - before).astype(np.int32), (point[end[hit]] - before).astype(np.int32), p[hit]))
+            counts.append(np.bincount(doc[hit], minlength=b - a))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*spans, strict=True)]
+        found = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_SPAN)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(np.concatenate(parts), 0, 1)), found, *batch.columns[2:]], names)
 
     src = tables.texts(df, id_col, text_col, *more)
-    names = ["id", "score", *more]
-    kinds = [src.schema["id"].dataType.simpleString(), "double", *(src.schema[c].dataType.simpleString() for c in more)]
+    names = ["id", "score", "offending", *more]
+    kinds = [src.schema["id"].dataType.simpleString(), "double", _SPANS, *(src.schema[c].dataType.simpleString() for c in more)]
     return tables.over_batches(src, run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))).withColumnRenamed("id", id_col)
 
 
 def offending(df: DataFrame, model: Model, least: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, sentence, score): the sentences whose own probability is ``least`` or more."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts, scores = [], [], []
-        for a, _, data, offsets in _blocks(batch, 1):
-            doc, p, start, end = sentence_scores(shared.value, data, offsets)
-            raw = data.tobytes()
-            for k in np.flatnonzero(p >= least).tolist():
-                ids.append(batch.column(0)[a + int(doc[k])].as_py())
-                texts.append(raw[start[k] : end[k]].decode())
-                scores.append(float(p[k]))
-        return pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(texts, pa.string()), pa.array(scores, pa.float64())], ["id", "sentence", "score"])
-
-    src = tables.texts(df, id_col, text_col)
-    return tables.over_batches(src, run, f"id {src.schema['id'].dataType.simpleString()}, sentence string, score double").withColumnRenamed("id", id_col)
+    text = tables.unused(df, "_text")
+    found = score(df.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), model, id_col, text_col, text, least=least)
+    each = found.select(id_col, F.col(text).alias("text"), F.explode("offending").alias("at"))
+    return each.select(id_col, F.expr("substring(text, at.start + 1, at.end - at.start)").alias("sentence"), "at.score")
 
 
 def _folded(df: DataFrame, folds: int, held: int, id_col: str) -> DataFrame:
@@ -243,9 +250,9 @@ def _folded(df: DataFrame, folds: int, held: int, id_col: str) -> DataFrame:
 
 
 def held_out_scores(documents: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Rows (id, held_out, score, predicted); labels of ids whose crc32 leaves ``held``, and of null ids, are not learned."""
+    """Rows (id, held_out, score, predicted, offending); labels of ids whose crc32 leaves ``held``, and of null ids, are not learned."""
     folded = _folded(documents, folds, held, id_col)
     given = labels.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("toxic")).where("toxic IS NOT NULL")
     tables._bounded_batches(documents.sparkSession)
     model = train_on(labelled_sample(folded.where("NOT held_out"), given, id_col, text_col))
-    return score(folded, model, id_col, text_col, "held_out").select(id_col, "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(folded, model, id_col, text_col, "held_out").select(id_col, "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")
