@@ -26,19 +26,33 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+#: Counts of a block that have one number a text.
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_repeat_words")
 
 
 class Block:
     """Texts of a block with counts that are made when a rule first asks for them."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
+    def __init__(self, data: np.ndarray | None, offsets: np.ndarray, cut: tuple[Block, np.ndarray] | None = None):
+        self.offsets, self.n, self._cut = offsets, len(offsets) - 1, cut
+        if data is not None:
+            self.data = data
 
     def only(self, keep: np.ndarray) -> Block:
-        """The same, of the texts at these places."""
-        size = np.diff(self.offsets)
-        chosen = np.repeat(np.isin(np.arange(self.n), keep), size)
-        return Block(self.data[chosen], np.r_[0, np.cumsum(size[keep])])
+        """The same, of the texts at these places, with their counts so far; bytes are copied when a count needs them."""
+        part = Block(None, np.r_[0, np.cumsum(np.diff(self.offsets)[keep])], (self, keep))
+        made = vars(self)
+        vars(part).update({name: made[name][keep] for name in _COUNTS if name in made})
+        if "lines" in made:
+            part.lines = tuple(x[keep] for x in made["lines"])
+        return part
+
+    @cached_property
+    def data(self) -> np.ndarray:
+        whole, keep = self._cut
+        chosen = np.zeros(whole.n, bool)
+        chosen[keep] = True
+        return whole.data[np.repeat(chosen, np.diff(whole.offsets))]
 
     def _sums(self, mask: np.ndarray) -> np.ndarray:
         total = np.r_[0, np.cumsum(mask)]
@@ -150,19 +164,21 @@ def ranked(df: DataFrame, rules: dict[str, Rule], text_col: str = "text", sample
 def first_rejection(block: Block, rules: dict[str, Rule], order: list[str], passed: np.ndarray | None = None) -> np.ndarray:
     """For each text the place in ``order`` of the first rule that rejects it, or -1.
 
-    A block is cut down once less than half of it is left, so that later rules touch less.
+    Texts that haven't ``passed`` before are left out.  A block is cut down once less than
+    half of it is left, so that later rules touch less; what was counted stays counted.
     """
-    found = np.full(block.n, -1)
-    left = np.arange(block.n) if passed is None else np.flatnonzero(passed)
-    part, at = (block, np.arange(block.n)) if len(left) == block.n else (block.only(left), left)
+    found, part, at = np.full(block.n, -1), block, np.arange(block.n)
+    live = np.ones(block.n, bool) if passed is None else passed.copy()
     for k, name in enumerate(order):
-        rejected = rules[name](part) & (found[at] < 0)
-        found[at[rejected]] = k
-        left = np.flatnonzero(found[at] < 0)
-        if not len(left):
+        n = int(live.sum())
+        if not n:
             break
-        if 2 * len(left) < len(at):
-            part, at = part.only(left), at[left]
+        if 2 * n < len(at):
+            left = np.flatnonzero(live)
+            part, at, live = part.only(left), at[left], np.ones(n, bool)
+        rejected = rules[name](part) & live
+        found[at[rejected]] = k
+        live &= ~rejected
     return found
 
 
@@ -205,9 +221,10 @@ def measured(df: DataFrame, more: dict[str, Rule] | None = None, id_col: str = "
         parts = []
         for _, _, block in blocks_of(batch.column(1)):
             failed = BASE["few_words"](block) | BASE["repeated_words"](block)
-            kept = ~failed
-            kept &= first_rejection(block, more, order, passed=kept) < 0
-            parts.append([block.n_words, block.word_chars, block.n_symbols, block.lines[1], block.n_repeat_words, failed, kept])
+            # every row gives its counts, so they are made first, and rules on them cost nothing more
+            counts = [block.n_words, block.word_chars, block.n_symbols, block.lines[1], block.n_repeat_words]
+            kept = ~failed & (first_rejection(block, more, order, passed=~failed) < 0)
+            parts.append([*counts, failed, kept])
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.bool_()) for c in columns[5:])], ["id", *names, "base_failed", "kept"])
 

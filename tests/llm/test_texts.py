@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -244,3 +245,17 @@ def test_redaction(spark):
         if k is not None:
             assert plain_secrets(r["text"])[0] == [0, 0, 0], r["text"]
     assert secret_scan.mask("abcdefgh", [(1, 4), (3, 6)]) == "a[SECRET]gh" and secret_scan.redacted(docs(spark, [])).count() == 0
+
+
+def test_counts_stay_with_the_texts_of_a_cut_block():
+    ((_, _, block),) = quality.blocks_of(pa.array(["#a b\nA\nA", "", "ü ü ü ü ü ü", "x" * 5000 + " | B"], pa.string()))
+    counted = {"n_symbols": block.n_symbols, "lines": block.lines, "n_words": block.n_words}
+    part = block.only(np.array([0, 2, 3])).only(np.array([1, 2]))
+    assert part.n_words.tolist() == [6, 3] and part.n_symbols.tolist() == [0, 1] and [x.tolist() for x in part.lines] == [[1, 1], [0, 0]]
+    assert counted.keys() <= vars(part).keys() and "data" not in vars(part)  # nothing was copied for them
+    assert part.n_upper.tolist() == [0, 1] and part.word_chars.tolist() == [6, 5002] and part.n_repeat_words.tolist() == [6, 0]
+    rules = {"upper": lambda b: b.n_upper > 0, "few": lambda b: b.n_words < 4, "symbols": lambda b: b.n_symbols > 0}
+    for passed in (None, np.array([True, False, True, False]), np.zeros(4, bool)):
+        found = quality.first_rejection(block, rules, list(rules), passed)
+        want = [0, 1, -1, 0]
+        assert found.tolist() == [k if passed is None or passed[n] else -1 for n, k in enumerate(want)]
