@@ -2,14 +2,14 @@
 
 Words are lower-cased runs of letters, digits and non-ASCII characters; shingles are five
 words in a row (a text of fewer words is one shingle).  A shingle weighs its count in the
-text times its inverse document frequency ln(1 + K / max(k, K * FREQUENT)), where K is how
-many kinds of texts there are and k how many of them hold the shingle.  Texts whose least
-shingle hash is the same are of one kind: copies mostly are, so that a group of copies
-does not lower its own weight as it would if rows were counted, while a passage in texts
-that are otherwise different does.  Shingles in at least ``FREQUENT`` of the rows are found
-exactly, by two passes; there are at most 1 / FREQUENT times as many of them as a text has
-shingles on average, which bounds what is broadcast.  All others are held by fewer kinds
-than K * FREQUENT or by a few copies, and weigh the most.
+text times its inverse document frequency ln(1 + N / (k + SMOOTHING * N)), where N is how
+many different texts have shingles and k how many of them hold this one: copies, of this
+text or of others, change no weight.  All k are kept in one count-min sketch whose size is
+the same for any corpus, merged by adding up.  k comes out at most the mean load of a cell
+too low, and more than twice that too high for one shingle in 3 ** DEPTH at most.  The mean
+load is N times a text's average number of shingles over 2 ** BITS, mostly far less than
+smoothing adds to k, and counted as nought where cells outnumber the corpus's shingles.
+Smoothing bounds how much more a changed word weighs than the rest of a text of many copies.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of a text, equal in two
 texts with the probability of their weighted Jaccard similarity.  Texts that share a band
@@ -27,12 +27,13 @@ is near no other.  Repeated rows and rows with a null id are ordinary members of
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,10 @@ from . import flat, tables
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Shingles in at least this share of the rows are frequent.
-FREQUENT = 0.05
-#: A chunk reports shingles that more than this share of its rows hold; chunks end at so many rows or shingles.
-LOCAL = 0.02
-CHUNK_ROWS, CHUNK_SHINGLES = 2000, 1 << 22
+#: This share of all texts is added to a shingle's document frequency.
+SMOOTHING = 0.1
+#: Rows of the sketch and the bits of their width; it is sent in so many parts, which are first added up in so many groups.
+DEPTH, BITS, PARTS, GROUPS = 4, 18, 64, 64
 #: Rounds of pivots before all that remain apart are compared; what rounding may add to a bound.
 ROUNDS, SLACK = 3, 1e-3
 #: Bands of up to so many texts give pairs; larger ones are compared by pairs of blocks of so many bytes.
@@ -55,6 +55,7 @@ _gamma_r, _gamma_c, _beta = _rng.gamma(2, 1, _CELLS), _rng.gamma(2, 1, _CELLS),
 #: r, 1 / r, ln c - r and beta by cell: a sample of weight S is at t = floor(ln S / r + beta), its value ln c - r * (t - beta) - r.
 _R, _INVERSE, _LOG_C, _BETA = (x.astype(np.float32) for x in (_gamma_r, 1 / _gamma_r, np.log(_gamma_c), _beta))
 _ODD = _rng.integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH = _rng.integers(1 << 62, size=DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,85 +87,95 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _sums(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    new = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[new], np.add.reduceat(counts, new) if len(new) else counts
+def shingled(texts: DataFrame) -> DataFrame:
+    """Rows (key, hashes, counts) for every different text that has words; key is its digest.
+
+    Hashes are in order, 8 bytes each; counts have as many bytes each as the largest needs.
+    """
+
+    def run(batches):
+        for batch, data, offsets in _blocks(batches):
+            doc, hashes, counts = shingles(data, offsets)
+            at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+            ends = np.r_[at[1:], len(doc)].tolist()
+            own = [hashes[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=False)]
+            times = [counts[a:b].astype(np.min_scalar_type(int(counts[a:b].max()))).tobytes() for a, b in zip(at.tolist(), ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array(own, pa.binary()), pa.array(times, pa.binary())], ["key", "hashes", "counts"])
+
+    return texts.select("key", "text").dropDuplicates(["key"]).mapInArrow(run, "key binary, hashes binary, counts binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text index, hash and count of every shingle of a batch of ``shingled``."""
+    (raw, at), (times, own) = (flat.views(batch.column(batch.schema.get_field_index(c))) for c in ("hashes", "counts"))
+    n, width = np.diff(at) // 8, np.diff(own) // np.maximum(np.diff(at) // 8, 1)
+    counts = np.ones(int(n.sum()), np.int64)
+    first = np.cumsum(n) - n
+    for k in range(len(n)):
+        counts[first[k] : first[k] + n[k]] = times[own[k] : own[k + 1]].view(f"u{width[k]}")
+    return np.repeat(np.arange(len(n)), n), raw.view(np.uint64), counts
 
 
 class Frequencies(NamedTuple):
-    """Hashes of frequent shingles in order, how many kinds of texts hold each, and how many kinds there are."""
+    """How many texts have shingles, the mean load of a cell, and the sketch: a row of cells for each of its hashes."""
 
-    hashes: np.ndarray
-    kinds: np.ndarray
-    all_kinds: int
+    texts: int
+    load: int
+    cells: np.ndarray
 
 
-def shingle_kinds(texts: DataFrame, n: int) -> Frequencies:
-    """The kinds that hold every shingle of at least ``FREQUENT`` of the n rows; exact.
+def _cells(hashes: np.ndarray, row: int) -> np.ndarray:
+    return ((hashes * _SKETCH[row]) >> np.uint64(64 - BITS)).astype(np.intp)
 
-    A chunk leaves out shingles of at most ``LOCAL`` of its rows, and says how many rows
-    that is. What all chunks leave out of a shingle is known so; a frequent one is reported
-    for the rest of FREQUENT * n rows at least, which few shingles are. These are counted.
-    """
 
-    def report(batches):
-        held, rows = [], 0
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of all cells of each part and group; a part's number is -1 for texts and shingles."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for part, group, cells, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            now = np.frombuffer(cells, f"u{width}").astype(np.int64)
+            sums[part, group] = sums[part, group] + now if (part, group) in sums else now
+    yield _parts(sums)
 
-        def out():
-            hashes, counts = _sums(np.concatenate(held), np.ones(sum(map(len, held)), np.int64))
-            left_out = int(LOCAL * rows)
-            keep = counts > left_out
-            n = int(keep.sum())  # and a row without a hash for what is left out
-            return pa.RecordBatch.from_arrays([pa.array([*hashes[keep].view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[counts[keep], 0]), pa.array(np.r_[np.zeros(n, np.int64), left_out])], ["hash", "rows", "left_out"])
 
-        for batch, data, offsets in _blocks(batches):
-            held.append(shingles(data, offsets)[1])
-            rows += batch.num_rows
-            if rows >= CHUNK_ROWS or sum(map(len, held)) >= CHUNK_SHINGLES:
-                yield out()
-                held, rows = [], 0
-        if rows:
-            yield out()
-
-    reported = tables.saved(texts.mapInArrow(report, "hash long, rows long, left_out long").groupBy("hash").agg(F.sum("rows").alias("rows"), F.sum("left_out").alias("left_out")), "reported")
-    least = FREQUENT * n - (reported.agg(F.sum("left_out")).first()[0] or 0)
-    found = np.sort(np.array(reported.where((F.col("rows") >= least) & F.col("hash").isNotNull()).select("hash").toArrow().column(0), np.int64).view(np.uint64))
-    shared = texts.sparkSession.sparkContext.broadcast(found)
-
-    def hold(batches):
-        for _, data, offsets in _blocks(batches):
-            doc, made, _ = shingles(data, offsets)
-            if not len(made):
-                continue
-            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])  # in order of hashes, so that the first is the least
-            kind = np.repeat(made[first], np.diff(np.r_[first, len(doc)]))
-            at = np.minimum(np.searchsorted(shared.value, made), max(0, len(shared.value) - 1))
-            hit = shared.value[at] == made if len(shared.value) else np.zeros(len(made), bool)
-            # None stands for the text itself
-            pairs = [np.r_[made[hit], np.zeros(len(first), np.uint64)], np.r_[kind[hit], made[first]], np.r_[np.ones(int(hit.sum()), bool), np.zeros(len(first), bool)]]
-            order = np.lexsort(pairs)
-            new = np.r_[True, np.any([p[order][1:] != p[order][:-1] for p in pairs], 0)]
-            runs = np.diff(np.r_[np.flatnonzero(new), len(order)])
-            hashes, kind, shingle = (p[order][new] for p in pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64), mask=~shingle), pa.array(kind.view(np.int64)), pa.array(runs)], ["hash", "kind", "rows"])
-
-    held = texts.mapInArrow(hold, "hash long, kind long, rows long").groupBy("hash", "kind").agg(F.sum("rows").alias("rows"))
-    counted = held.groupBy("hash").agg(F.count("*").alias("kinds"), F.sum("rows").alias("rows")).where((F.col("rows") >= FREQUENT * n) | F.col("hash").isNull()).toArrow()
-    got = [(h, k) for h, k in zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True)]
-    some = sorted((h & (1 << 64) - 1, k) for h, k in got if h is not None)
-    return Frequencies(np.array([h for h, _ in some], np.uint64), np.array([k for _, k in some], np.int64), next((k for h, k in got if h is None), 0))
+def _parts(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    kinds = [np.min_scalar_type(int(x.max())) for x in sums.values()]
+    cells = [x.astype(t).tobytes() for x, t in zip(sums.values(), kinds, strict=True)]
+    columns = ([k[0] for k in sums], [k[1] for k in sums], cells, [t.itemsize for t in kinds])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.int32()), strict=True)], ["part", "group", "cells", "width"])
+
+
+def frequencies(of: DataFrame) -> Frequencies:
+    """The sketch of how many texts of ``shingled`` hold each shingle.
+
+    A task sends its own sketch in parts. These are added up in groups and then once more, so
+    that no task adds up a part of all; the driver takes a sketch of DEPTH * 2 ** BITS cells.
+    """
+
+    def count(batches):
+        cells, totals = np.zeros((DEPTH, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            hashes = flat.views(batch.column(0))[0].view(np.uint64)
+            for row in range(DEPTH):
+                cells[row] += np.bincount(_cells(hashes, row), minlength=1 << BITS)
+            totals += batch.num_rows, len(hashes)
+        group = TaskContext.get().partitionId() % GROUPS
+        if totals[0]:
+            yield _parts({(-1, group): totals} | {(k, group): x for k, x in enumerate(cells.reshape(PARTS, -1)) if x.any()})
+
+    schema = "part int, group int, cells binary, width int"
+    grouped = of.select("hashes").mapInArrow(count, schema).repartition("part", "group").mapInArrow(_added, schema)
+    whole = grouped.withColumn("group", F.lit(0)).repartition("part").mapInArrow(_added, schema).toArrow()
+    cells, totals = np.zeros((PARTS, (DEPTH << BITS) // PARTS), np.int64), np.zeros(2, np.int64)
+    for part, _, raw, width in zip(*(c.to_pylist() for c in whole.columns), strict=True):
+        (totals if part < 0 else cells[part])[:] += np.frombuffer(raw, f"u{width}").astype(np.int64)
+    return Frequencies(int(totals[0]), int(totals[1]) >> BITS, cells.reshape(DEPTH, -1))
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, common: Frequencies) -> np.ndarray:
     """Count times inverse document frequency."""
-    idf = np.full(len(hashes), np.log1p(1 / FREQUENT))
-    if len(common.hashes) and len(hashes):
-        at = np.minimum(np.searchsorted(common.hashes, hashes), len(common.hashes) - 1)
-        hit = common.hashes[at] == hashes
-        idf[hit] = np.log1p(common.all_kinds / np.maximum(common.kinds[at[hit]], FREQUENT * common.all_kinds))
-    return (counts * idf).astype(np.float32)
+    held = np.min([common.cells[row][_cells(hashes, row)] for row in range(DEPTH)], 0)
+    return (counts * np.log1p(common.texts / (np.maximum(held - common.load, 1) + SMOOTHING * common.texts))).astype(np.float32)
 
 
 def band_keys(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,30 +222,28 @@ def similarity(a: bytes, b: bytes) -> float:
     return least / (float(w.sum(dtype=np.float64)) + float(v.sum(dtype=np.float64)) - least)
 
 
-def _drawn(texts: DataFrame, common: Frequencies) -> DataFrame:
-    """Rows (id, key, bands, shingles, mass): key is the text's digest, mass its total weight; a task gives the rest once for each text."""
-    shared = texts.sparkSession.sparkContext.broadcast(tuple(common))
+def _drawn(of: DataFrame, shared: Broadcast) -> DataFrame:
+    """Rows (key, bands)."""
 
-    def run(batches):
-        seen: set[bytes] = set()
-        for batch, data, offsets in _blocks(batches):
-            raw = data.tobytes()
-            keys = [hashlib.md5(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            new = [k not in seen and not seen.add(k) for k in keys]
-            doc, hashes, counts = shingles(data, offsets)
-            keep = np.array(new, bool)[doc]
-            doc, hashes = doc[keep], hashes[keep]
-            weight = weights(hashes, counts[keep], Frequencies(*shared.value))
-            with_shingles, bands = band_keys(doc, hashes, weight)
-            edges = np.searchsorted(doc, np.arange(len(keys) + 1))
-            vectors = [packed(hashes[a:b], weight[a:b]) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            mass = np.bincount(doc, weight, len(keys)).astype(np.float64)  # of no shingles numpy gives whole numbers
-            lists: list = [None] * len(keys)
-            for k, row in zip(with_shingles.tolist(), bands.view(np.int64), strict=True):
-                lists[k] = row
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(vectors, pa.binary()), pa.array(mass)], ["id", "key", "bands", "shingles", "mass"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, hashes, counts = _unpacked(batch)
+        _, bands = band_keys(doc, hashes, weights(hashes, counts, Frequencies(*shared.value)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))], ["key", "bands"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, key binary, bands array<bigint>, shingles binary, mass double")
+    return tables.over_batches(of, run, "key binary, bands array<bigint>")
+
+
+def _weighed(of: DataFrame, shared: Broadcast) -> DataFrame:
+    """Rows (key, shingles, mass): shingles as they are compared, and their total weight."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, hashes, counts = _unpacked(batch)
+        weight = weights(hashes, counts, Frequencies(*shared.value))
+        edges = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+        vectors = [packed(hashes[a:b], weight[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary()), pa.array(np.bincount(doc, weight, batch.num_rows))], ["key", "shingles", "mass"])
+
+    return tables.over_batches(of, run, "key binary, shingles binary, mass double")
 
 
 def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -282,27 +291,28 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    texts = tables.texts(df, id_col, text_col)
-    n = texts.count()
-    drawn = tables.saved(_drawn(texts, shingle_kinds(texts, n)), "drawn")
-    labels = _labels(drawn)
-    one = drawn.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    texts = tables.texts(df, id_col, text_col).withColumn("key", _digest(F.col("text")))
+    of = tables.saved(shingled(texts), "shingled")
+    shared = df.sparkSession.sparkContext.broadcast(tuple(frequencies(of)))
+    labels = _labels(tables.saved(_drawn(of, shared), "drawn"), lambda keys: _weighed(of.join(keys, "key", "left_semi"), shared))
+    rows = tables.saved(texts.select("id", "key"), "rows")
+    one = rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
     if labels is not None:
         one = one.join(labels, "key", "left")
     one = tables.saved(one.select("key", "least", "rows", F.coalesce("label", "key").alias("label") if labels is not None else F.col("key").alias("label")), "texts")
     whole = one.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.min_by("key", F.struct(F.col("least").isNull(), "least", "key")).alias("class_key"))
-    of = one.select("key", "label").join(whole, "label").select("key", "class_id", "class_size", "class_key")
-    return drawn.select("id", "key").join(of, "key")
+    classes = one.select("key", "label").join(whole, "label").select("key", "class_id", "class_size", "class_key")
+    return rows.join(classes, "key")
 
 
-def _labels(drawn: DataFrame) -> DataFrame | None:
-    """Component labels of all texts that are near another."""
-    spread = drawn.where("bands IS NOT NULL").select("key", "bands").dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+def _labels(drawn: DataFrame, weighed: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Component labels of all texts that are near another; ``weighed`` gives the vectors of a table of keys."""
+    spread = drawn.select("key", F.explode("bands").alias("band"))
     # saved, so that no grouping by band stands in the stages of joins by band, whose large bands Spark can then split
     size = tables.saved(spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size"), "sizes")
     members = tables.saved(spread.join(size, "band"), "members")
     met = members.groupBy("key").agg(F.sum("size").alias("met"))
-    vectors = tables.saved(drawn.where("shingles IS NOT NULL").select("key", "shingles", "mass").join(met.select("key"), "key", "left_semi").dropDuplicates(["key"]), "vectors")
+    vectors = tables.saved(weighed(met.select("key")), "vectors")
     left = tables.saved(members.join(met, "key"), "left")
     labels, tested, first, far = None, None, None, F.col("near") < THRESHOLD
     for _ in range(ROUNDS):
@@ -409,6 +419,10 @@ def _named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _row_key(key: Column, row_id: Column) -> Column:
     return F.concat(key, F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("")).cast("binary"))
 
@@ -422,7 +436,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keep = _classes(df, id_col, text_col).where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
     name = tables.unused(df, "_row")
     keep = keep.select(_row_key(F.col("key"), F.col("id")).alias(name)).distinct()
-    text_key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    text_key = _digest(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     own = [f"`{c}`" for c in df.columns]
     # Maps have no hash, but their JSON has.
     hashed = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("x")), {"ignoreNullFields": "false"}) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]

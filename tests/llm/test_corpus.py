@@ -39,19 +39,10 @@ def plain_classes(texts):
         found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         return Counter(tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))) if found else Counter()
 
-    def hashes(text):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        return near_dedup.shingles(raw, np.array([0, len(raw)]))[1].tolist()
-
     bags, n = [bag(t) for _, t in texts], len(texts)
-    kind = [min(hashes(t), default=None) for _, t in texts]
-    kinds, rows = len(set(kind) - {None}), Counter(s for b in bags for s in b)
-    of = {}
-    for b, k in zip(bags, kind):
-        for s in b:
-            of.setdefault(s, set()).add(k)
-    share = near_dedup.FREQUENT
-    idf = lambda s: math.log(1 + (kinds / max(len(of[s]), share * kinds) if rows[s] >= share * n else 1 / share))
+    one_each = [bag(t) for t in {t or "" for _, t in texts}]
+    held, different = Counter(s for b in one_each for s in b), sum(map(bool, one_each))
+    idf = lambda s: math.log(1 + different / (held[s] + 0.1 * different))
     parent = list(range(n))
 
     def root(k):
@@ -122,14 +113,15 @@ def test_chains_and_large_groups(spark):
     assert {got[k] for k in range(12)} == {0} and {got[500 + k] for k in range(300)} == {500}
 
 
-def drawn_rows(spark, vectors, copies=1):
+def drawn_rows(spark, vectors):
     """Texts as they are drawn, all in one band; vectors: weights of shingles by key."""
     made = []
     for key, weights in vectors.items():
         hashes = np.array(sorted(weights), np.uint64)
         packed = near_dedup.packed(hashes << np.uint64(32), np.array([weights[h] for h in hashes.tolist()], np.float32))
-        made += [(1, bytearray(key.encode()), [7], bytearray(packed), float(sum(weights.values())))] * copies
-    return spark.createDataFrame(made, "id long, key binary, bands array<bigint>, shingles binary, mass double")
+        made.append((bytearray(key.encode()), [7], bytearray(packed), float(sum(weights.values()))))
+    drawn = spark.createDataFrame(made, "key binary, bands array<bigint>, shingles binary, mass double")
+    return drawn.select("key", "bands"), lambda keys: drawn.join(keys, "key", "left_semi").select("key", "shingles", "mass")
 
 
 def label_sets(labels):
@@ -139,11 +131,11 @@ def label_sets(labels):
     return sorted(map(sorted, groups.values()))
 
 
-def test_copies_do_not_change_which_texts_are_compared(spark):
+def test_texts_of_a_band_are_compared_where_pivots_are_far(spark):
     """The two least keys are near each other; pivots are the greatest ones, which are near none."""
     vectors = {k: {100 * n + j: 1.0 for j in range(20)} for n, k in enumerate("cdefghi")}
     vectors |= {"a": {j + 5000: 1.0 for j in range(20)}, "b": {j + 5001: 1.0 for j in range(20)}}
-    assert label_sets(near_dedup._labels(drawn_rows(spark, vectors, copies=10))) == [["a", "b"]]
+    assert label_sets(near_dedup._labels(*drawn_rows(spark, vectors))) == [["a", "b"]]
 
 
 def test_every_pair_of_a_large_band_is_linked_or_compared(spark):
@@ -151,14 +143,14 @@ def test_every_pair_of_a_large_band_is_linked_or_compared(spark):
     run = lambda a, n=20: {j: 1.0 for j in range(a, a + n)}
     vectors = {f"t{n:02}": run(1000 * (n + 10)) for n in range(60)}
     vectors |= {"a": run(100), "b": run(101), "c": run(300), "d": run(301), "z": run(500), "x": run(502), "y": run(504)}
-    assert label_sets(near_dedup._labels(drawn_rows(spark, vectors))) == [["a", "b"], ["c", "d"], ["x", "y", "z"]]
+    assert label_sets(near_dedup._labels(*drawn_rows(spark, vectors))) == [["a", "b"], ["c", "d"], ["x", "y", "z"]]
 
 
 def drawn_texts(texts, frequent=None):
     """Shingle hashes and weights of each text, and its band keys, as the operator makes them."""
     data, offsets = flat.views(pa.array(texts))
     doc, hashes, counts = near_dedup.shingles(data, offsets)
-    weight = near_dedup.weights(hashes, counts, frequent or near_dedup.Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0))
+    weight = near_dedup.weights(hashes, counts, frequent or near_dedup.Frequencies(1, 0, np.zeros((near_dedup.DEPTH, 1 << near_dedup.BITS), np.int64)))
     return [(hashes[doc == k], weight[doc == k]) for k in range(len(texts))], near_dedup.band_keys(doc, hashes, weight)
 
 
@@ -178,18 +170,48 @@ def test_samples_agree_as_often_as_texts_are_similar(n, other):
     assert abs(agree - np.mean(np.array(want) ** near_dedup.ROWS)) < 0.08
 
 
+def counted(spark, texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    keyed = df.select(F.col("doc_id").alias("id"), "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    return near_dedup.frequencies(near_dedup.shingled(keyed))
+
+
+def test_frequencies_count_different_texts(spark):
+    """A passage in 4 of 40 texts weighs the same however many copies of an unrelated text there are."""
+    passage = words(50, 30)
+    texts = [" ".join(words(500 + k, 40) + (passage if k < 4 else [])) for k in range(40)]
+    one, many = counted(spark, texts), counted(spark, texts + [texts[20]] * 60 + ["", "..."])
+    assert one.texts == many.texts == 40 and one.load == many.load == 0 and (one.cells == many.cells).all()
+    data, offsets = flat.views(pa.array([" ".join(passage)]))
+    _, hashes, counts = near_dedup.shingles(data, offsets)
+    assert np.allclose(near_dedup.weights(hashes, counts, many), math.log(1 + 40 / (4 + 0.1 * 40)), rtol=1e-6)
+    assert near_dedup.weights(hashes[:0], counts[:0], many).shape == (0,) and counted(spark, ["..."]).texts == 0
+
+
+def test_counts_in_a_text_of_any_size(spark):
+    texts = ["a b c d e " * 400, "x y z", "one two three four five six", "... "]
+    df = spark.createDataFrame([(bytearray(bytes([k])), t) for k, t in enumerate(texts)], "key binary, text string")
+    rows = {r["key"][0]: r for r in near_dedup.shingled(df).collect()}
+    batch = pa.record_batch([pa.array([bytes(r["hashes"]) for r in rows.values()], pa.binary()), pa.array([bytes(r["counts"]) for r in rows.values()], pa.binary())], ["hashes", "counts"])
+    doc, _, counts = near_dedup._unpacked(batch)
+    got = {k: sorted(counts[doc == n].tolist()) for n, k in enumerate(rows)}
+    assert got == {0: [399, 399, 399, 399, 400], 1: [1], 2: [1, 1]}
+
+
 def test_recall_against_all_pairs(spark):
-    """Recall over all pairs of texts of a similarity of 0.8 or more, by weights as the operator finds them."""
+    """Recall over all pairs of texts of a similarity of 0.8 or more, by exact counts of the texts that hold a shingle."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = [(10**6 + 100 * i + k, " ".join(w[:j] + [f"new{k}"] + w[j + 1 :])) for i, w in enumerate([words(31, 150), words(32, 60)]) for k in range(90) for j in [k % 50]]
     df = df.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     texts = sorted({t or "" for _, t in rows})
-    src = df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    bags, _ = drawn_texts(texts, near_dedup.shingle_kinds(src, len(rows)))
+    found = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    plain = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter() for w in found]
+    held, different = Counter(s for b in plain for s in b), sum(map(bool, plain))
+    bags = [(list(b), np.array([n * math.log(1 + different / (held[s] + 0.1 * different)) for s, n in b.items()])) for b in plain]
     holders, total = {}, [float(w.sum()) for _, w in bags]
     for k, (h, w) in enumerate(bags):
-        for s, x in zip(h.tolist(), w.tolist(), strict=True):
+        for s, x in zip(h, w.tolist(), strict=True):
             holders.setdefault(s, []).append((k, x))
     shared = Counter()
     for held in holders.values():
@@ -197,6 +219,7 @@ def test_recall_against_all_pairs(spark):
             for b, y in held[:i]:
                 shared[a, b] += min(x, y)
     near = [p for p, x in shared.items() if x >= 0.8 * (total[p[0]] + total[p[1]] - x)]
+    linked = [p for p, x in shared.items() if x >= 0.799 * (total[p[0]] + total[p[1]] - x)]
     found = near_dedup.near_classes(df).collect()
     text_of = dict(rows)
     group = {text_of[r["doc_id"]] or "": r["class_id"] for r in found}
@@ -208,7 +231,7 @@ def test_recall_against_all_pairs(spark):
             t = parent[t]
         return t
 
-    for a, b in near:
+    for a, b in linked:  # counts of the sketch may differ a little
         parent[root(texts[a])] = root(texts[b])
     assert all(len({root(t) for t in texts if group[t] == g}) == 1 for g in set(group.values()))
 
