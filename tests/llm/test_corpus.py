@@ -118,7 +118,7 @@ def drawn_rows(spark, vectors):
     made = []
     for key, weights in vectors.items():
         hashes = np.array(sorted(weights), np.uint64)
-        packed = near_dedup.packed(hashes << np.uint64(32), np.array([weights[h] for h in hashes.tolist()], np.float32))
+        packed = near_dedup.packed(hashes, np.array([weights[h] for h in hashes.tolist()], np.float32))
         made.append((bytearray(key.encode()), [7], bytearray(packed), float(sum(weights.values()))))
     drawn = spark.createDataFrame(made, "key binary, bands array<bigint>, shingles binary, mass double")
     return drawn.select("key", "bands"), lambda keys: drawn.join(keys, "key", "left_semi").select("key", "shingles", "mass")
