@@ -31,4 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over as many tasks as shuffles have, before texts are made of them: a table may be one block, which one task would read."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 from . import code, evidence, impact, lexed, ranking, reranking, second_look, texts  # noqa: E402, F401

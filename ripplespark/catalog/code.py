@@ -19,7 +19,7 @@ from ripplespark.operators import routes as RT
 from ripplespark.operators import scorers as S
 from ripplespark.plans import registry as build_plan
 
-from . import impact, query, table
+from . import impact, query, spread, table
 
 
 def _text(template: str, **columns: str) -> Column:
@@ -59,17 +59,22 @@ _ORDER = """describe('Order <<key>> flow', () => {
 
 
 def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     return parts.select(F.lit("r").alias("repo_root"), F.concat(F.lit("src/parts/P"), "p_partkey", F.lit(".tsx")).alias("path"), _text(_PART, key="p_partkey", size="p_size").alias("content"), F.lit("source").alias("type"))
 
 
 def order_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     return orders.select(F.lit("r").alias("repo_root"), F.concat(F.lit("e2e/o"), "o_orderkey", F.lit(".cy.ts")).alias("path"), _text(_ORDER, key="o_orderkey", cust="o_custkey").alias("content"), F.lit("test").alias("type"))
 
 
 def _listed(df: DataFrame, column: str) -> DataFrame:
-    return E.extract(df).select("path", F.explode(column).alias("value"))
+    return _each(E.extract(df), F.col(column))
+
+
+def _each(facts: DataFrame, found: Column) -> DataFrame:
+    """(path, value) of facts that are never null; as an outer explode, which isn't led by a filter that finds them all once more."""
+    return facts.select("path", F.explode_outer(found).alias("value")).where("value IS NOT NULL")
 
 
 _P = "'src/parts/P' || p_partkey || '.tsx'"
@@ -164,7 +169,7 @@ def extracted_routes(spark, sf_dir):
 @query(f"""SELECT {_P} AS path, unnest(['named', 'namespace', 'named', 'require', 'dynamic', 're-export']) AS kind, unnest(['react', '../shared/s' || p_size, './types', './old', './later/L' || p_size, './impl']) AS module FROM part""")
 def extracted_import_kinds(spark, sf_dir):
     """How parts import what."""
-    return part_code(spark, sf_dir).select("path", F.explode(E.import_kinds(E.code("content"))).alias("k")).select("path", "k.kind", "k.module")
+    return part_code(spark, sf_dir).select("path", F.explode(E.of_code("content", E.import_kinds)).alias("k")).select("path", "k.kind", "k.module")
 
 
 @query(f"""SELECT {_P} AS path, unnest(['React', 'use', 'memo', 'shared', 'BRAND_KIND']) AS name, unnest(['default', 'useState', 'memo', '*', 'BRAND_KIND']) AS imported, unnest(['react', 'react', 'react', '../shared/s' || p_size, './types']) AS spec FROM part""")
@@ -183,7 +188,8 @@ def _cypress(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
 @query(_values(_O, "orders", "'Order ' || o_orderkey || ' flow'", "'ships for customer ' || o_custkey"))
 def extracted_titles(spark, sf_dir):
     """Titles of orders' tests."""
-    return _cypress(spark, sf_dir, "describes").unionByName(_cypress(spark, sf_dir, "its"))
+    c = F.col("c")
+    return _each(E.as_read(order_code(spark, sf_dir)), F.concat(E.titles(c, "describe", "context"), E.titles(c, "it")))
 
 
 @query(_values(_O, "orders", "'/orders/' || o_orderkey || '?tab=1'", "'/home' || o_custkey"))

@@ -9,7 +9,7 @@ from ripplespark.operators import lexer as L
 from ripplespark.operators import rerank as RR
 from ripplespark.plans import registry as build_plan
 
-from . import query, table
+from . import query, spread, table
 from .code import _text
 
 _NESTED = """// part <<key>>, from 'old<<key>>
@@ -37,20 +37,20 @@ def _sql(text: str) -> str:
 
 def nested_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' code with templates in templates, tags in props, and comments that are none."""
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     return parts.select(F.concat(F.lit("src/parts/P"), "p_partkey", F.lit(".tsx")).alias("path"), _text(_NESTED, key="p_partkey", size="p_size").alias("content"))
 
 
 @query(f"SELECT {_P} AS path, unnest(['in ' || p_size, 'Part ' || p_partkey || ' of', 'many', ', size ' || p_size, 'don''t // stop']) AS value FROM part")
 def lexed_texts(spark, sf_dir):
     """Texts between the tags of parts' code, at any depth."""
-    return nested_code(spark, sf_dir).select("path", F.explode(L.lexed("content", "path")["jsx_text"]).alias("value"))
+    return nested_code(spark, sf_dir).select("path", F.explode(L.read("content", "path")["jsx_text"]).alias("value"))
 
 
 @query(f"SELECT {_P} AS path, md5(regexp_replace({_sql(_PLAIN)}, '\\s+', ' ', 'g')) AS code FROM part")
 def lexed_code(spark, sf_dir):
     """Parts' code without comments; runs of blanks as one, by digest."""
-    return nested_code(spark, sf_dir).select("path", F.md5(F.regexp_replace(L.lexed("content", "path")["code"], r"[ \n]+", " ")).alias("code"))
+    return nested_code(spark, sf_dir).select("path", F.md5(F.regexp_replace(L.read("content", "path")["code"], r"[ \n]+", " ")).alias("code"))
 
 
 _TEST = """describe('Order <<key>>', () => {

@@ -8,6 +8,8 @@ and component wrappers deeper than one call are left out, see the README.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def code(content: Column | str) -> Column:
     return F.regexp_replace(c, rf"(?s){kept}|/\*.*?\*/|(?<!:)//[^\n]*", "$1")
 
 
+def of_code(content: Column | str, read: Callable[[Column], Column]) -> Column:
+    """What ``read`` finds in the text without comments, which is made once however often ``read`` names it."""
+    return F.get(F.transform(F.array(code(content)), read), F.lit(0))
+
+
 def every(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
@@ -168,7 +175,8 @@ def routes(c: Column) -> Column:
 
 
 def titles(c: Column, *names: str) -> Column:
-    return every(c, rf"(?<![\w.])(?:{'|'.join(names)})\(\s*[\"'`]([^\"'`]+)")
+    own = "|".join(rf"{n}(?<![\w.]{n})" for n in names)  # the name comes first, as to look behind at every character takes long
+    return every(c, rf"(?:{own})\(\s*[\"'`]([^\"'`]+)")
 
 
 def custom_commands(c: Column) -> Column:
@@ -228,9 +236,14 @@ def with_constants(files: DataFrame, consts: DataFrame, idents: DataFrame) -> Da
     return used.select("path", F.col("u.n").alias("name"), F.col("u.k").alias("key")).join(idents, ["path", "name"]).join(consts, ["target", "name", "key"]).select("path", "value").distinct()
 
 
+def as_read(files: DataFrame) -> DataFrame:
+    """Files (path, content) as the lexer reads them: with columns lexed, and c for the code."""
+    return files.withColumn("lexed", lexer.read("content", "path")).withColumn("c", F.col("lexed.code"))
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Files (repo_root, path, content, type) with all facts, in the form of the table of files."""
-    base = files.withColumn("lexed", lexer.lexed("content", "path")).withColumn("c", F.col("lexed.code"))
+    base = as_read(files)
     c, test = F.col("c"), F.col("type") == "test"
     nothing = lambda x: F.when(test, x)
     empty = F.array().cast("array<string>")
