@@ -120,6 +120,21 @@ def buckets(commits: DataFrame, window_s: int, max_files: int = 30) -> DataFrame
     return commits.where(F.col("size") <= max_files).select("repo", "path", F.floor(F.col("ts") / window_s).alias("bucket")).distinct()
 
 
+def shared_buckets(buckets: DataFrame, tasks: int = 64) -> DataFrame:
+    """(a, b, co) of distinct (path, bucket): pairs a < b with a bucket in common, and how many.
+
+    The bits of a number stand for 62 buckets, so a pair meets once for each number and not
+    for each bucket. One side of a number's files is dealt over the tasks.
+    """
+    number = F.floor(F.col("bucket") / 62).alias("number")
+    bits = buckets.groupBy("path", number).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bucket, 62) AS INT))")).alias("bits"))
+    left = bits.select("number", F.col("path").alias("a"), F.col("bits").alias("x"), F.pmod(F.xxhash64("path"), F.lit(tasks)).cast("int").alias("part"))
+    right = bits.select("number", F.col("path").alias("b"), F.col("bits").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"))
+    dealt = lambda df: df.repartition(tasks, "number", "part")
+    met = dealt(left).hint("merge").join(dealt(right), ["number", "part"]).where("a < b AND (x & y) <> 0")
+    return met.groupBy("a", "b").agg(F.sum(F.bit_count(F.expr("x & y"))).cast("long").alias("co"))
+
+
 class Histories:
     """Histories of files that take in a log's newer records only, and write only the files that these touch or rename.
 
