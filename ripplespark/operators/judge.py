@@ -110,7 +110,10 @@ def replied(prompts: DataFrame, ask: Ask, cfg: Rerank | None = None, max_outages
     A null prompt is skipped. Rows stay whatever becomes of their calls.
     """
     cfg = cfg or Rerank()
-    each = min(PER_WORKER, max(1, cfg.concurrency))
+    # as many tasks as can run at once share the calls, as a task's own threads take turns on one core
+    tasks = min(max(1, cfg.concurrency), max(1, prompts.sparkSession.sparkContext.defaultParallelism))
+    each = min(PER_WORKER, max(1, cfg.concurrency) // tasks)
+    tasks = max(1, cfg.concurrency) // each
     at = prompts.columns.index("prompt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,4 +124,4 @@ def replied(prompts: DataFrame, ask: Ask, cfg: Rerank | None = None, max_outages
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "reply", "outcome", "tries"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.repartition(max(1, cfg.concurrency // each)).mapInArrow(run, f"{kinds}, reply string, outcome string, tries int")
+    return prompts.repartition(tasks).mapInArrow(run, f"{kinds}, reply string, outcome string, tries int")
