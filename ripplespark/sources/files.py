@@ -276,7 +276,16 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage and lets several plans use it."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return never_broadcast(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def never_broadcast(stored: DataFrame) -> DataFrame:
+    """A stored table whose joins sort and merge.
+
+    What a few columns of wide, well packed rows take in memory is a hundred times what the
+    planner reckons from the file's size, so it would send millions of paths through the driver.
+    """
+    return stored.hint("merge")
 
 
 def write_registry(tables: dict[str, DataFrame], folder: str) -> None:
@@ -286,7 +295,7 @@ def write_registry(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def read_registry(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    return {name: never_broadcast(spark.read.parquet(f"{folder}/{name}")) for name in names}
 
 
 def manifest(files: DataFrame) -> DataFrame:
