@@ -400,7 +400,9 @@ _TEST = """<<more>>describe('Order', () => { it('x', () => { cy.visit('/nations/
 
 def shop_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as pages with state, customers that import them, regions behind an index, orders as tests."""
-    nation, region, customer, orders = (table(spark, sf_dir, t) for t in ("nation", "region", "customer", "orders"))
+    nation, region = (table(spark, sf_dir, t) for t in ("nation", "region"))
+    customer, orders = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")), spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+
     def file(df: DataFrame, path: Column, content: Column, kind: str = "source") -> DataFrame:
         return df.select(F.lit("shop").alias("repo_root"), path.alias("path"), content.alias("content"), F.lit(kind).alias("type"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ripplespark.functions import text as T
 
 from . import resolve as R
-from .extract import code, every
+from .extract import every, of_code
 
 _TEXT = r"""(?:"[^"\n]*"|'[^'\n]*'|`[^`$\n]*`)"""
 _REF = r"[A-Za-z_$][\w$]*\.[\w$]+"
@@ -84,17 +84,16 @@ def tag_routes(c: Column) -> Column:
 
 def definitions(files: DataFrame) -> DataFrame:
     """(path, kind, at, chain, component, module, is_index): every route in files (path, content)."""
-    c = code("content")
     some = files.where(F.col("content").rlike(r"<Route\b|\b(?:path|index)\s*:"))
-    each = lambda kind, found: some.select("path", F.lit(kind).alias("kind"), F.explode(found).alias("r")).select("path", "kind", "r.*")
-    return each("tag", tag_routes(c)).unionByName(each("object", object_routes(c)))
+    each = lambda kind, found: some.select("path", F.lit(kind).alias("kind"), F.explode_outer(of_code("content", found)).alias("r")).where("r IS NOT NULL").select("path", "kind", "r.*")
+    return each("tag", tag_routes).unionByName(each("object", object_routes))
 
 
 def bindings(files: DataFrame) -> DataFrame:
     """(path, name, imported, spec): local names of imports; imported is 'default', '*' for a namespace, or the name exported."""
-    c = code("content")
     clause = r"""(?s)\bimport\s+(?:type\s+)?([\w$*{},\s]+?)\s+from\s*["']([^"'\n]*)["']"""
-    each = files.select("path", F.explode(F.arrays_zip(every(c, clause, 1).alias("n"), every(c, clause, 2).alias("m"))).alias("i")).select("path", F.col("i.n").alias("n"), F.col("i.m").alias("spec"))
+    clauses = of_code("content", lambda c: F.arrays_zip(every(c, clause, 1).alias("n"), every(c, clause, 2).alias("m")))
+    each = files.select("path", F.explode_outer(clauses).alias("i")).where("i IS NOT NULL").select("path", F.col("i.n").alias("n"), F.col("i.m").alias("spec"))
     inside = F.regexp_extract("n", r"(?s)\{([^}]*)\}", 1)
     named = each.select("path", "spec", F.explode(F.filter(F.transform(F.split(inside, ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type ", "")), lambda x: x != "")).alias("x"))
     named = named.select("path", F.regexp_replace("x", "^.* as ", "").alias("name"), F.regexp_replace("x", " as .*$", "").alias("imported"), "spec")

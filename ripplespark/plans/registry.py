@@ -28,7 +28,7 @@ def scanned(spark: SparkSession, root: str, cfg: Config, test_roots: tuple[str,
 
 def resolved_specs(files: DataFrame, aliases: DataFrame, roots: list[str], targets: DataFrame | None = None) -> DataFrame:
     """(path, spec, target) of every import in files (path, content) that leads to one of them, or of targets (path)."""
-    specs = files.select("path", F.explode(E.imports(E.code(F.coalesce("content", F.lit(""))))).alias("spec"))
+    specs = files.select("path", F.explode_outer(E.of_code(F.coalesce("content", F.lit("")), E.imports)).alias("spec")).where("spec IS NOT NULL")
     return R.resolve_imports(specs, files if targets is None else targets, aliases, roots)
 
 
@@ -68,7 +68,9 @@ def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] |
     imports = graph.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("targets"))
     # literals behind imported names
     facts = R.with_imported_actions(facts, resolved)
-    roles = files.where("type = 'source'").select("path", F.explode(E.redux_roles(F.col("path"), E.code(F.coalesce("content", F.lit(""))))).alias("r")).select("path", "r.slice", "r.role")
+    held = E.of_code(F.coalesce("content", F.lit("")), lambda c: E.redux_roles(F.col("path"), c))
+    roles = files.where("type = 'source'").select("path", F.explode_outer(held).alias("r")).where("r IS NOT NULL").select("path", "r.slice", "r.role")
+    roles = sources.saved(roles, "roles")  # several joins go by them
     facts = I.with_chain_actions(facts, I.chains(roles, graph))
     # selectors behind constants
     named = resolved
