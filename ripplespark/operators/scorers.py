@@ -471,10 +471,13 @@ def action_type(reg: Registry, changed: DataFrame, first: int = 40, most_owners:
     return signals(found, "action-type", F.lit(WEIGHTS["action-type"]), F.concat(F.lit("Shared action types: "), F.array_join("values", ", ")))
 
 
-def usage_site(reg: Registry, changed: DataFrame) -> DataFrame:
-    """A test whose imports (or, without any, whose visited components) use the changed file within three steps."""
+def usage_site(reg: Registry, changed: DataFrame, steps: int = 3) -> DataFrame:
+    """A test whose imports (or, without any, whose visited components) use the changed file within three steps.
+
+    Its cone is all that does so, tests as well; with fewer steps neither reaches further than these.
+    """
     cfg = reg.config.scoring
-    cone = G.capped_cone(reg.little_imported(changed), G.reverse(reg.graph), 3, cfg.max_cone)
+    cone = G.capped_cone(reg.little_imported(changed), G.reverse(reg.graph), steps, cfg.max_cone)
     tests = I.tests(reg.files)
     imports = tests.select(F.col("path").alias("test"), F.explode("imports").alias("node"))
     bare = tests.where("imports IS NULL OR size(imports) = 0").select(F.col("path").alias("test"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import duckdb
+
+import __spark_entry__
 from ripplespark import catalog
 from ripplespark.operators import scorers as S
 
@@ -33,3 +36,12 @@ def test_copies_and_others_get_what_each_gets_alone(spark):
             alone = rows(S.selector_match(registry(spark, source, *tests, *others), paths(spark, source["path"])))
             assert alone[source["path"], test["path"]] == whole[source["path"], test["path"]]
     assert whole["src/a0.ts", "e2e/t0.cy.ts"]["weight"] == whole["src/a2.ts", "e2e/t1.cy.ts"]["weight"] > whole["src/a1.ts", "e2e/t2.cy.ts"]["weight"]
+
+
+def test_usage_sites_weights_are_those_of_its_sql_where_orders_are_many(spark):
+    folder = "/root/testdata/sf0.1"
+    found = {tuple(r) for r in catalog.QUERIES["usage_site"](spark, folder).select("changed", "weight").distinct().collect()}
+    con = duckdb.connect()
+    for t in ("customer", "orders", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    assert found == set(con.execute(f"SELECT DISTINCT changed, weight FROM ({__spark_entry__.oracle_sql()['usage_site']})").fetchall())
