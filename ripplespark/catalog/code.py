@@ -18,6 +18,7 @@ from ripplespark.operators import resolve as R
 from ripplespark.operators import routes as RT
 from ripplespark.operators import scorers as S
 from ripplespark.plans import registry as build_plan
+from ripplespark.sources import files as sources
 
 from . import impact, query, spread, table
 
@@ -433,7 +434,7 @@ def shop(spark: SparkSession, sf_dir: str) -> S.Registry:
     i18n = texts.select("key", "text", F.col("text").alias("static_text"), F.lit(False).alias("is_dynamic"))
     cfg = impact.load({"scoring": {"ubiquitous_selector": 1.0, "max_fan_out": 10**6}})
     aliases = spark.createDataFrame([("@", "src")], "prefix string, target string")
-    return build_plan.build(shop_code(spark, sf_dir), aliases, [], cfg, i18n)
+    return build_plan.build(sources.saved(shop_code(spark, sf_dir), "code"), aliases, [], cfg, i18n)
 
 
 def _changed(reg: S.Registry, folder: str) -> DataFrame:

@@ -84,7 +84,7 @@ def exports(c: Column) -> Column:
 
 def export_table(files: DataFrame) -> DataFrame:
     """(file, exported, local, spec) of export clauses, stars and declarations; spec is the module passed on, or null."""
-    c = code("content")
+    c, files = code("content"), files.where(F.col("content").contains("export"))
     clause = rf"\bexport\s*(\{{[^}}]*\}}|\*)\s*(?:as\s+\w+\s*)?(?:from\s*{_S})?"
     each = files.select(F.col("path").alias("file"), F.explode(F.arrays_zip(every(c, clause, 1).alias("n"), every(c, clause, 2).alias("m"))).alias("x")).select("file", "x.n", F.nullif("x.m", F.lit("")).alias("spec"))
     stars = each.where("n = '*' AND spec IS NOT NULL").select("file", F.lit("*").alias("exported"), F.lit(None).cast("string").alias("local"), "spec")
@@ -232,7 +232,9 @@ def url_assertions(c: Column) -> Column:
 
 def with_constants(files: DataFrame, consts: DataFrame, idents: DataFrame) -> DataFrame:
     """(path, value): what cy.get(ids.x) means, by constants (target, name, key, value) and imports (path, name, target)."""
-    used = files.select("path", F.explode(F.arrays_zip(every(code("content"), r"\.\s*(?:get|find)\(\s*(\w+)\.(\w+)\s*\)", 1).alias("n"), every(code("content"), r"\.\s*(?:get|find)\(\s*(\w+)\.(\w+)\s*\)", 2).alias("k"))).alias("u"))
+    form = r"\.\s*(?:get|find)\(\s*(\w+)\.(\w+)\s*\)"
+    members = of_code("content", lambda c: F.arrays_zip(every(c, form, 1).alias("n"), every(c, form, 2).alias("k")))
+    used = files.select("path", F.explode_outer(members).alias("u")).where("u IS NOT NULL")
     return used.select("path", F.col("u.n").alias("name"), F.col("u.k").alias("key")).join(idents, ["path", "name"]).join(consts, ["target", "name", "key"]).select("path", "value").distinct()
 
 

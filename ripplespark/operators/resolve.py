@@ -97,7 +97,8 @@ def constants(files: DataFrame) -> DataFrame:
     form = r"(?s)export\s+(?:const|enum)\s+(\w+)\s*(?::[^={]+)?=?\s*(?:Object\.freeze\(\s*)?\{([^{}]*)\}"
     member = r"""["']?([\w-]+)["']?\s*[:=]\s*["'`]([^"'`$]*)["'`]"""
     blocks = F.arrays_zip(F.regexp_extract_all("content", F.lit(form), 1).alias("name"), F.regexp_extract_all("content", F.lit(form), 2).alias("body"))
-    each = files.select("path", F.explode(blocks).alias("b")).select("path", F.col("b.name").alias("name"), F.col("b.body").alias("body"))
+    some = files.where(F.col("content").contains("export"))
+    each = some.select("path", F.explode(blocks).alias("b")).select("path", F.col("b.name").alias("name"), F.col("b.body").alias("body"))
     pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(member), 1).alias("k"), F.regexp_extract_all("body", F.lit(member), 2).alias("v"))
     return each.select("path", "name", F.explode(pairs).alias("m")).select("path", "name", F.col("m.k").alias("key"), F.col("m.v").alias("value"))
 

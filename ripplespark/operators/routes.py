@@ -93,13 +93,15 @@ def bindings(files: DataFrame) -> DataFrame:
     """(path, name, imported, spec): local names of imports; imported is 'default', '*' for a namespace, or the name exported."""
     clause = r"""(?s)\bimport\s+(?:type\s+)?([\w$*{},\s]+?)\s+from\s*["']([^"'\n]*)["']"""
     clauses = of_code("content", lambda c: F.arrays_zip(every(c, clause, 1).alias("n"), every(c, clause, 2).alias("m")))
-    each = files.select("path", F.explode_outer(clauses).alias("i")).where("i IS NOT NULL").select("path", F.col("i.n").alias("n"), F.col("i.m").alias("spec"))
+    some = files.where(F.col("content").contains("import"))
+    each = some.select("path", F.explode_outer(clauses).alias("i")).where("i IS NOT NULL").select("path", F.col("i.n").alias("n"), F.col("i.m").alias("spec"))
     inside = F.regexp_extract("n", r"(?s)\{([^}]*)\}", 1)
-    named = each.select("path", "spec", F.explode(F.filter(F.transform(F.split(inside, ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type ", "")), lambda x: x != "")).alias("x"))
-    named = named.select("path", F.regexp_replace("x", "^.* as ", "").alias("name"), F.regexp_replace("x", " as .*$", "").alias("imported"), "spec")
-    space = each.select("path", F.regexp_extract("n", r"\*\s*as\s+([\w$]+)", 1).alias("name"), F.lit("*").alias("imported"), "spec").where("name <> ''")
-    default = each.select("path", F.regexp_extract("n", r"^\s*([\w$]+)", 1).alias("name"), F.lit("default").alias("imported"), "spec").where("name <> ''")
-    return named.unionByName(space).unionByName(default)
+    one = lambda name, imported: F.struct(name.alias("name"), imported.alias("imported"))
+    named = F.filter(F.transform(F.split(inside, ","), lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type ", "")), lambda x: x != "")
+    named = F.transform(named, lambda x: one(F.regexp_replace(x, "^.* as ", ""), F.regexp_replace(x, " as .*$", "")))
+    others = F.array(one(F.regexp_extract("n", r"\*\s*as\s+([\w$]+)", 1), F.lit("*")), one(F.regexp_extract("n", r"^\s*([\w$]+)", 1), F.lit("default")))
+    found = each.select("path", "spec", F.explode_outer(F.concat(named, F.filter(others, lambda x: x["name"] != ""))).alias("b")).where("b IS NOT NULL")
+    return found.select("path", "b.name", "b.imported", "spec")
 
 
 def located(files: DataFrame, resolved: DataFrame, exports: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ def scanned(spark: SparkSession, root: str, cfg: Config, test_roots: tuple[str,
 
 def resolved_specs(files: DataFrame, aliases: DataFrame, roots: list[str], targets: DataFrame | None = None) -> DataFrame:
     """(path, spec, target) of every import in files (path, content) that leads to one of them, or of targets (path)."""
-    specs = files.select("path", F.explode_outer(E.of_code(F.coalesce("content", F.lit("")), E.imports)).alias("spec")).where("spec IS NOT NULL")
+    some = files.where(F.col("content").contains("import") | F.col("content").contains("export") | F.col("content").contains("require"))
+    specs = some.select("path", F.explode_outer(E.of_code("content", E.imports)).alias("spec")).where("spec IS NOT NULL")
     return R.resolve_imports(specs, files if targets is None else targets, aliases, roots)
 
 
@@ -45,7 +46,7 @@ def identifiers_in_tests(files: DataFrame, resolved: DataFrame, data: DataFrame
     whole = consts.join(spaces, "target").select("path", F.col("local").alias("name"), "target", "key", "value").distinct()
     named = consts.join(names.where("imported <> '*'").select("path", "target", F.col("name").alias("local"), "imported"), "target")
     named = named.where("name = imported OR imported = 'default'").select("path", F.col("local").alias("name"), "target", "key", "value")
-    meant = whole.unionByName(named).distinct()
+    meant = sources.saved(whole.unionByName(named).distinct(), "meant")
     return E.with_constants(tests, meant.select("target", "name", "key", "value").distinct(), meant.select("path", "name", "target").distinct())
 
 
@@ -55,7 +56,8 @@ def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] |
     data: (path, content) of JSON files that constants may be imported from; they are no nodes of the graph.
     aliases: (prefix, target) of imports; roots: folders that bare imports are looked up in.
     What tables derive from each other is written once: the facts of files, and where
-    imports lead. Imports that lead to no file are left out of the graph.
+    imports lead. Files are read several times, so they should come from a stored table. Imports that
+    lead to no file are left out of the graph.
     """
     spark, cfg = files.sparkSession, cfg or load()
     aliases = spark.createDataFrame([], "prefix string, target string") if aliases is None else aliases
@@ -85,7 +87,7 @@ def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] |
     facts = facts.join(imports, "path", "left").withColumn("imports", F.coalesce("targets", empty)).select(*E.extract(files).columns)
     # routes with the files of their components; of one pattern the last definition counts
     exports = E.export_table(files).join(resolved.select(F.col("path").alias("file"), "spec", F.col("target").alias("source")), ["file", "spec"], "left")
-    exports = exports.where("spec IS NULL OR source IS NOT NULL").select("file", "exported", "local", "source")
+    exports = sources.saved(exports.where("spec IS NULL OR source IS NOT NULL").select("file", "exported", "local", "source"), "exports")  # each step through index files joins them
     routes = sources.saved(RT.located(files.where("type = 'source'"), resolved, exports), "routes")
     extracted = routes.where("component_path IS NOT NULL").groupBy("pattern").agg(F.max_by("component_path", F.struct("path", "at")).alias("component"))
     listed = routes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", F.struct(F.col("pattern").alias("path"), "component", "component_path", "is_lazy", "is_dynamic").alias("r")))).alias("found"))
