@@ -49,6 +49,11 @@ def every(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def _word(name: str) -> str:
+    """A pattern of the name where a word begins; the name comes first, as to look for a word's edge at every character takes long."""
+    return rf"{name}(?<=\b{name})"
+
+
 def _some(c: Column) -> Column:
     return F.array_distinct(F.filter(c, lambda x: x.isNotNull() & (x != "")))
 
@@ -254,8 +259,8 @@ def extract(files: DataFrame) -> DataFrame:
         url_assertions(c).alias("url_assertions"), custom_commands(c).alias("custom_commands"), titles(c, "describe", "context").alias("describes"), titles(c, "it").alias("its"),
     )
     return base.select(
-        "repo_root", "path", T.basename("path").alias("name"), "type", exports(c).alias("exports"), imports(c).alias("imports"), _some(every(c, r"\bclass\s+(\w+)")).alias("classes"),
-        _some(every(c, r"\bfunction\s*\*?\s*(\w+)")).alias("functions"), _some(every(c, r"\binterface\s+(\w+)")).alias("interfaces"), empty.alias("keywords"),
+        "repo_root", "path", T.basename("path").alias("name"), "type", exports(c).alias("exports"), imports(c).alias("imports"), _some(every(c, _word("class") + r"\s+(\w+)")).alias("classes"),
+        _some(every(c, _word("function") + r"\s*\*?\s*(\w+)")).alias("functions"), _some(every(c, _word("interface") + r"\s+(\w+)")).alias("interfaces"), empty.alias("keywords"),
         F.when(~test, selectors(c)).alias("selectors"), F.when(~test, F.col("lexed.jsx_text")).alias("jsx_text"), F.when(~test, translation_keys(c)).alias("translation_keys"), F.when(~test, routes(c)).alias("routes"),
         redux_usage(c).alias("redux"), action_types(c).alias("action_types"), action_constants(c).alias("action_type_consts"), named_imports(c).alias("imported_idents"), nothing(cypress).alias("cypress"),
     )
