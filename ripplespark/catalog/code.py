@@ -147,7 +147,7 @@ def extracted_action_types(spark, sf_dir):
 @query(f"SELECT {_P} AS path, 'PART_' || p_partkey AS name, 'parts/PART_' || p_partkey AS value FROM part")
 def extracted_action_constants(spark, sf_dir):
     """Exported constants that are action types."""
-    return E.extract(part_code(spark, sf_dir)).select("path", F.explode("action_type_consts").alias("name", "value"))
+    return E.extract(part_code(spark, sf_dir)).select("path", F.explode_outer("action_type_consts").alias("name", "value")).where("name IS NOT NULL")  # outer, as in _each
 
 
 @query(f"SELECT {_P} AS path, '/p' || p_partkey AS pattern, 'Page' || p_partkey AS component FROM part")

@@ -123,7 +123,7 @@ def action_types(c: Column) -> Column:
 
 def action_constants(c: Column) -> Column:
     """Exported constants whose literal is an action type, as a map."""
-    form = rf"\bexport\s+const\s+(\w+)\s*(?::[^=]+)?=\s*{_Q}([\w/]{{5,80}}){_Q}"
+    form = rf"{_word('export')}\s+const\s+(\w+)\s*(?::[^=]+)?=\s*{_Q}([\w/]{{5,80}}){_Q}"
     pairs = F.filter(F.arrays_zip(every(c, form, 1).alias("k"), every(c, form, 2).alias("v")), lambda x: x["v"].rlike(ACTION_TYPE))
     return F.map_from_entries(F.transform(_first_by(pairs), lambda x: F.struct(x["k"], x["v"])))
 

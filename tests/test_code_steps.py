@@ -1,9 +1,10 @@
-"""What reading the code of many files costs: few steps a tag."""
+"""What reading the code of many files costs: few steps a tag, each fact found once."""
 
 from __future__ import annotations
 
 import pytest
 
+from ripplespark import catalog
 from ripplespark.operators import extract as E
 from ripplespark.operators import lexer as L
 
@@ -36,6 +37,11 @@ def test_tags_are_read_to_their_end(source, texts):
     assert L.code_and_texts(source) == (got.code, got.texts)
 
 
+def test_constants_of_a_file_are_found_once(spark):
+    plan = catalog.QUERIES["extracted_action_constants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("map_from_entries") == 1
+
+
 def test_declarations_and_constants_begin_with_a_word(spark):
     content = "class A {} subclass B; éclass C {} class\nclass D\nfunction* f() {} myfunction g; interface\tI {} export const A_B = 'my/A_B'; reexport const C_D = 'my/C_D'; export const E_F = 'e';"
     files = spark.createDataFrame([("r", "a.ts", content, "source"), ("r", "b.ts", None, "source")], "repo_root string, path string, content string, type string")
