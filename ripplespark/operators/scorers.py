@@ -7,9 +7,10 @@ Pairs without evidence have no row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import cached_property
+from math import prod
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
@@ -185,26 +186,44 @@ def _classes(rows: DataFrame, name: str, held: Column) -> tuple[DataFrame, DataF
     return each.select("kind", name), kinds
 
 
-def _hits_of_kinds(reg: Registry, origin: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Hits between kinds of changed files and kinds of tests, and what turns rows on kinds into rows on files.
+@dataclass
+class Kinds:
+    """Rows on (changed, test) that are kinds of files, and the files of either kind.
 
     What a file hits hangs on the selectors it has and on nothing else, so files with the same ones are
-    matched once. Their pairs are only written out, never grouped or shuffled. Tests come in
-    first, as a test hits few kinds.
+    matched once.
     """
+
+    rows: DataFrame
+    own: DataFrame  # (kind, changed)
+    used: DataFrame  # (kind, test)
+
+    def _on_kinds(self) -> DataFrame:
+        return self.rows.withColumnsRenamed({"changed": "changed_kind", "test": "test_kind"})
+
+    def _members(self) -> tuple[DataFrame, DataFrame]:
+        return tuple(sources.never_broadcast(df.withColumnRenamed("kind", f"{name}_kind")) for df, name in ((self.own, "changed"), (self.used, "test")))
+
+    def of_files(self) -> DataFrame:
+        """The same rows on files. Pairs are only written out, never grouped or shuffled. Tests come in first, as a test hits few kinds."""
+        own, used = self._members()
+        return self._on_kinds().join(used, "test_kind").drop("test_kind").join(own, "changed_kind").select(self.rows.columns)
+
+    def of_pairs(self, pairs: DataFrame) -> DataFrame:
+        """The rows on files of given pairs (changed, test), without writing out others."""
+        own, used = self._members()
+        kinds = pairs.select("changed", "test").join(own, "changed").join(used, "test")
+        return kinds.join(self._on_kinds(), ["changed_kind", "test_kind"]).select(self.rows.columns)
+
+
+def _hits_of_kinds(reg: Registry, origin: DataFrame) -> Kinds:
+    """Hits between kinds of changed files and kinds of tests."""
     own, origins = _classes(origin, "changed", F.array_sort(F.collect_list(F.struct("value", "depth"))))
     # where a selector stands in a test tells it from others, and means no more
     places = F.array_sort(F.collect_list(F.struct("pos", "value")))
     plain = F.transform(F.array_sort(places["value"]), lambda v, k: F.struct(k.alias("pos"), v.alias("value")))
     used, tests = _classes(I.test_selectors(reg.files).select("test", "pos", "value"), "test", F.when(F.size(F.array_distinct(places["pos"])) == F.size(places), plain).otherwise(places))
-    hits = _selector_hits(tests.select("test", "h.*"), origins.select("changed", "h.*"))
-
-    def of_files(rows: DataFrame) -> DataFrame:
-        kinds = rows.withColumnsRenamed({"changed": "changed_kind", "test": "test_kind"})
-        members = lambda df, name: sources.never_broadcast(df.withColumnRenamed("kind", f"{name}_kind"))
-        return kinds.join(members(used, "test"), "test_kind").drop("test_kind").join(members(own, "changed"), "changed_kind").select(rows.columns)
-
-    return hits, of_files
+    return Kinds(_selector_hits(tests.select("test", "h.*"), origins.select("changed", "h.*")), own, used)
 
 
 def _kept_hits(reg: Registry, hits: DataFrame) -> DataFrame:
@@ -226,26 +245,31 @@ def _selectors_of(reg: Registry, reached: DataFrame) -> DataFrame:
 
 def selector_match(reg: Registry, changed: DataFrame) -> DataFrame:
     """Selectors of the changed file, and of its imports up to two steps away if it has fewer than three."""
+    return selector_kinds(reg, changed).of_files()
+
+
+def selector_kinds(reg: Registry, changed: DataFrame) -> Kinds:
+    """The signals of ``selector_match`` between kinds of files."""
     few = _own_selectors(reg, changed).where("n < 3").select(F.col("changed").alias("path"))
     reached = G.cone(changed, reg.graph, 0).unionByName(G.cone(few, reg.graph, 2)).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
-    hits, of_files = _hits_of_kinds(reg, _selectors_of(reg, reached))
-    kept = _kept_hits(reg, hits).join(reg.n_tests)
+    kinds = _hits_of_kinds(reg, _selectors_of(reg, reached))
+    kept = _kept_hits(reg, kinds.rows).join(reg.n_tests)
     quality = F.when(F.max("n_tests_all") > 1, F.max(F.pow(1 - F.col("share"), 2))).otherwise(1.0)
     found = kept.groupBy("changed", "test").agg(F.count_if("exact").alias("exact"), F.count("*").alias("n"), F.min("depth").alias("depth"), quality.alias("quality"), F.array_sort(F.collect_set("value")).alias("values"))
     depth = F.when(F.col("depth") == 0, 1.0).when(F.col("depth") == 1, 0.7).otherwise(0.45)
     weight = WEIGHTS["selector-match"] * F.when(F.col("exact") == 0, 0.7).otherwise(1.0) * depth * F.greatest(F.lit(0.35), F.least(F.lit(1.0), F.col("n") / 3)) * F.col("quality")
-    return of_files(signals(found, "selector-match", weight, F.concat(F.lit("Test selectors match: "), F.array_join("values", ", "))))
+    return replace(kinds, rows=signals(found, "selector-match", weight, F.concat(F.lit("Test selectors match: "), F.array_join("values", ", "))))
 
 
 def dependent_selector(reg: Registry, changed: DataFrame) -> DataFrame:
     """Selectors of files that depend on a changed file with fewer than three of its own."""
     few = _own_selectors(reg, changed).where("n < 3").select(F.col("changed").alias("path"))
     reached = G.cone(few, G.reverse(reg.graph), 2).where("depth > 0")
-    hits, of_files = _hits_of_kinds(reg, _selectors_of(reg, reached))
-    kept = _kept_hits(reg, hits)
+    kinds = _hits_of_kinds(reg, _selectors_of(reg, reached))
+    kept = _kept_hits(reg, kinds.rows)
     found = kept.groupBy("changed", "test").agg(F.count_if("exact").alias("exact"), F.count("*").alias("n"), F.min("depth").alias("depth"), F.array_sort(F.collect_set("value")).alias("values"))
     weight = WEIGHTS["dependent-selector"] * F.when(F.col("exact") == 0, 0.6).otherwise(1.0) * F.when(F.col("depth") >= 2, 0.6).otherwise(1.0) * F.least(F.lit(1.0), F.col("n") / 3)
-    return of_files(signals(found, "dependent-selector", weight, F.concat(F.lit("Dependent selectors match: "), F.array_join("values", ", "))))
+    return replace(kinds, rows=signals(found, "dependent-selector", weight, F.concat(F.lit("Dependent selectors match: "), F.array_join("values", ", ")))).of_files()
 
 
 def selector_id(reg: Registry, changed: DataFrame) -> DataFrame:
@@ -262,6 +286,7 @@ def filename_match(reg: Registry, changed: DataFrame) -> DataFrame:
     w, least = WEIGHTS["filename-match"], 0.5
     src = changed.select(F.col("path").alias("changed"), T.name_tokens("path", False).alias("ct"), T.parent_tokens("path", False).alias("cp"), T.feature_identity("path").alias("cf")).withColumn("joined", F.array_join("ct", ""))
     tests = I.tests(reg.files).select(F.col("path").alias("test"), T.name_tokens("path", True).alias("tt"), T.parent_tokens("path", True).alias("tp"), T.feature_identity("path").alias("tf"), T.segments("path").alias("segs"))
+    tests = sources.saved(tests, "test-names")  # several joins read them
     equal = tests.where("size(tt) > 0").select("test", F.array_join("tt", "").alias("joined")).join(src.where("joined <> ''").select("changed", "ct", "joined"), "joined")
     generic = F.col("joined").isin(T.GENERIC_NAMES)
     identical = signals(equal, "filename-match", F.when(generic, w * 0.2).otherwise(max(w, 0.95)), F.concat(F.lit("Identical basename: "), F.array_join("ct", "-"))).withColumn("step", F.lit(1))
@@ -534,9 +559,23 @@ SCORERS: dict[str, Callable[[Registry, DataFrame], DataFrame]] = {
 }
 
 
+#: What no signal of a kind weighs more than. A kind without an entry, as of a registered scorer, may weigh anything.
+LIMITS = WEIGHTS | {"filename-match": max(WEIGHTS["filename-match"], 0.95)}
+_BUILT_IN = dict(SCORERS)
+
+
 def usable(reg: Registry) -> dict[str, Callable[[Registry, DataFrame], DataFrame]]:
     """The scorers that can find anything in the registry."""
-    return {k: f for k, f in SCORERS.items() if reg.facts is None or NEEDS.get(k) is None or NEEDS[k] in reg.facts}
+    idle = {redux_chain, redux_consumer} if reg.redux is None else set()
+    idle |= {translation_match} if reg.i18n is None else set()
+    return {k: f for k, f in SCORERS.items() if f not in idle and (reg.facts is None or NEEDS.get(k) is None or NEEDS[k] in reg.facts)}
+
+
+def least_doubt(reg: Registry, kinds: Iterable[str], factor: float = 1.0) -> float:
+    """The least that signals of these kinds and temporal ones, damped by a factor, can leave of the doubt about a pair, which is 1 - its score."""
+    limits = [LIMITS[kind] if SCORERS.get(kind) is _BUILT_IN.get(kind, ...) else None for kind in kinds]
+    limits += [] if reg.history is None else [reg.config.scoring.temporal.max_weight]
+    return prod(0.0 if limit is None else 1 - min(max(limit * factor, 0.0), 1.0) for limit in limits)
 
 
 def register(name: str, scorer: Callable[[Registry, DataFrame], DataFrame]) -> None:
