@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplespark.functions import text as T
+from ripplespark.sources import files as sources
 
 from . import resolve as R
 from .extract import every, of_code
@@ -109,19 +110,20 @@ def located(files: DataFrame, resolved: DataFrame, exports: DataFrame) -> DataFr
 
     resolved: (path, spec, target) of imports; exports: (file, exported, local, source) with
     the files that exports come from. A path that is a constant of an imported object is
-    looked up there; a route whose own path stays unknown is left out.
+    looked up there; a route whose own path stays unknown is left out. Definitions are read
+    by several joins and stored once; what comes of as many files as there are is never broadcast.
     """
-    found = definitions(files)
-    names = bindings(files).join(resolved, ["path", "spec"]).select("path", "name", "imported", "target")
+    found, large = sources.saved(definitions(files), "definitions"), sources.never_broadcast
+    names = large(large(bindings(files)).join(resolved, ["path", "spec"]).select("path", "name", "imported", "target"))
     # paths
     part = found.select("path", "kind", "at", F.posexplode("chain").alias("k", "raw"))
     literal = F.regexp_extract("raw", r"""^["'`](.*)["'`]$""", 1)
     refs = part.where(F.col("raw").rlike(rf"^{_REF}$")).select("path", "kind", "at", "k", F.substring_index("raw", ".", 1).alias("name"), F.substring_index("raw", ".", -1).alias("key"))
-    consts = R.constants(files).select(F.col("path").alias("target"), F.col("name").alias("owner"), "key", "value")
+    consts = large(R.constants(files)).select(F.col("path").alias("target"), F.col("name").alias("owner"), "key", "value")
     own = consts.select(F.col("target").alias("path"), F.col("owner").alias("name"), F.lit("*").alias("imported"), F.col("target").alias("target")).distinct()
-    meant = refs.join(names.unionByName(own).distinct(), ["path", "name"]).join(consts, ["target", "key"])
+    meant = refs.join(large(names.unionByName(own).distinct()), ["path", "name"]).join(consts, ["target", "key"])
     meant = meant.groupBy("path", "kind", "at", "k").agg(F.min_by("value", F.struct(F.col("owner") != F.col("name"), "owner")).alias("value"))
-    whole = part.join(meant, ["path", "kind", "at", "k"], "left").select("path", "kind", "at", "k", F.coalesce("value", F.when(F.col("raw").rlike("^[\"'`]"), literal)).alias("value"))
+    whole = part.join(large(meant), ["path", "kind", "at", "k"], "left").select("path", "kind", "at", "k", F.coalesce("value", F.when(F.col("raw").rlike("^[\"'`]"), literal)).alias("value"))
     chain = whole.groupBy("path", "kind", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("parts"))
     above = F.aggregate(F.slice("parts", 1, F.size("parts") - 1), F.lit(""), lambda a, x: F.when(x.isNull(), a).when(x.startswith("/") | (a == ""), x).otherwise(F.replace(F.concat(a, F.lit("/"), x), F.lit("//"), F.lit("/"))))
     last = F.element_at("parts", -1)
@@ -134,9 +136,9 @@ def located(files: DataFrame, resolved: DataFrame, exports: DataFrame) -> DataFr
     wanted = located.select("path", "component", head.alias("name"), member.alias("member")).distinct().join(names, ["path", "name"])
     wanted = wanted.select("path", "component", "target", F.when(F.col("imported") == "*", F.col("member")).otherwise(F.col("imported")).alias("symbol"))
     ends = R.exported_symbols(wanted.where("symbol IS NOT NULL").select(F.col("target").alias("file"), "symbol").distinct(), exports)
-    shown = wanted.join(ends.select(F.col("file").alias("target"), "symbol", F.col("target").alias("end")), ["target", "symbol"], "left")
+    shown = wanted.join(large(ends.select(F.col("file").alias("target"), "symbol", F.col("target").alias("end"))), ["target", "symbol"], "left")
     shown = shown.groupBy("path", "component").agg(F.min(F.coalesce("end", "target")).alias("by_name"))
     lazy = resolved.select("path", F.col("spec").alias("module"), F.col("target").alias("by_module"))
-    out = located.join(shown, ["path", "component"], "left").join(lazy, ["path", "module"], "left")
+    out = located.join(large(shown), ["path", "component"], "left").join(lazy, ["path", "module"], "left")
     name = F.coalesce("component", F.regexp_replace(T.basename(F.coalesce("by_module", "module")), T.SOURCE_ENDING, ""))
     return out.select("path", "at", "kind", "pattern", name.alias("component"), F.coalesce("by_module", "by_name").alias("component_path"), F.col("module").isNotNull().alias("is_lazy"), T.is_dynamic("pattern").alias("is_dynamic"), "is_index")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ripplespark import catalog
 from ripplespark.operators import extract as E
 from ripplespark.plans import registry as build_plan
 from ripplespark.sources import files as sources
@@ -22,3 +23,8 @@ def test_comments_are_taken_out_once_for_each_file(spark):
     assert [tuple(r) for r in specs.collect()] == [("a.ts", "./b", "b.ts")]
     kinds = files.select(F.explode_outer(E.of_code("content", E.import_kinds)).alias("k"))
     assert kinds._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(content") == 1
+
+
+def test_routes_of_all_files_are_not_sent_through_the_driver(spark):
+    plan = catalog.QUERIES["extracted_routes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
