@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import subprocess
 from collections.abc import Mapping
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplespark.streaming.keyed import KeyedTable
@@ -120,19 +121,54 @@ def buckets(commits: DataFrame, window_s: int, max_files: int = 30) -> DataFrame
     return commits.where(F.col("size") <= max_files).select("repo", "path", F.floor(F.col("ts") / window_s).alias("bucket")).distinct()
 
 
-def shared_buckets(buckets: DataFrame, tasks: int = 64) -> DataFrame:
+#: Bits of a number, and numbers of a page: pairs meet by pages of 62 * 8 buckets.
+_BITS, _WORDS = 62, 8
+
+
+def shared_buckets(buckets: DataFrame, blocks: int = 16, more: DataFrame | None = None) -> DataFrame:
     """(a, b, co) of distinct (path, bucket): pairs a < b with a bucket in common, and how many.
 
-    The bits of a number stand for 62 buckets, so a pair meets once for each number and not
-    for each bucket. One side of a number's files is dealt over the tasks.
+    The bits of a few numbers stand for a page of buckets. Files are dealt over blocks, and every two blocks are a
+    task, in which their files meet page by page. A pair is written by the first page with a
+    bucket in common, which knows of the later ones, so pairs are never grouped or shuffled.
+    more: (path, ...) of every file; its other columns come with either side as a_... and b_....
     """
-    number = F.floor(F.col("bucket") / 62).alias("number")
-    bits = buckets.groupBy("path", number).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(bucket, 62) AS INT))")).alias("bits"))
-    left = bits.select("number", F.col("path").alias("a"), F.col("bits").alias("x"), F.pmod(F.xxhash64("path"), F.lit(tasks)).cast("int").alias("part"))
-    right = bits.select("number", F.col("path").alias("b"), F.col("bits").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"))
-    dealt = lambda df: df.repartition(tasks, "number", "part")
-    met = dealt(left).hint("merge").join(dealt(right), ["number", "part"]).where("a < b AND (x & y) <> 0")
-    return met.groupBy("a", "b").agg(F.sum(F.bit_count(F.expr("x & y"))).cast("long").alias("co"))
+    page, words = F.floor(F.col("bucket") / (_BITS * _WORDS)).alias("page"), [f"w{k}" for k in range(_WORDS)]
+    at = F.pmod(F.col("bucket"), F.lit(_BITS * _WORDS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(bucket, {_BITS}) AS INT))")
+    pages = buckets.groupBy("path", page).agg(*(F.coalesce(F.bit_or(F.when(F.floor(at / _BITS) == k, bit)), F.lit(0)).cast("long").alias(w) for k, w in enumerate(words)))
+    every = pages.groupBy("path").agg(F.collect_list(F.struct("page", F.array(*words).alias("words"))).alias("pages"))
+    held = every.select("path", F.explode("pages").alias("p"), F.when(F.size("pages") > 1, F.col("pages")).alias("pages"))
+    held = held.select("path", F.col("p.page").alias("page"), *(F.col("p.words")[k].alias(w) for k, w in enumerate(words)), "pages")
+    others = [] if more is None else [c for c in more.columns if c != "path"]
+    held = held if more is None else held.join(more, "path")
+    block = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
+    # a file goes to the tasks of its block with every block; of two blocks, the lower one's files stand on the left
+    held = held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = held.withColumn("tile", F.least("block", "other") * blocks + F.greatest("block", "other"))
+    side = lambda p, which: which.select("tile", "page", *(F.col(c).alias(f"{p}_{c}") for c in ("path", "block", *words, "pages", *others)))
+    dealt = lambda df: df.repartition(blocks * (blocks + 1) // 2, "tile", "page")
+    own = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x_{w}").bitwiseAND(F.col(f"y_{w}"))) for w in words))
+
+    def meet(held: DataFrame) -> DataFrame:
+        left, right = side("x", held.where("block <= other")), side("y", held.where("block >= other"))
+        return dealt(left).hint("merge").join(dealt(right), ["tile", "page"]).withColumn("own", own).where("own > 0 AND (x_block < y_block OR x_path < y_path)")
+
+    # where either file has one page only, nothing is before or after it; such pairs, mostly all, stand apart for their plain expressions
+    one = meet(held).where("x_pages IS NULL OR y_pages IS NULL").withColumn("co", F.col("own").cast("long"))
+    several = meet(held.where("pages IS NOT NULL")).where(~F.exists("x_pages", lambda p: (p["page"] < F.col("page")) & (_common("y_pages", p) > 0)))
+    later = F.aggregate("x_pages", F.lit(0), lambda n, p: n + F.when(p["page"] > F.col("page"), _common("y_pages", p)).otherwise(0))
+    met = one.unionByName(several.withColumn("co", (F.col("own") + later).cast("long")))
+    first = F.col("x_path") < F.col("y_path")
+    pick = lambda c: (F.when(first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")), F.when(first, F.col(f"y_{c}")).otherwise(F.col(f"x_{c}")))
+    ends = [(f"a_{c}" if c != "path" else "a", f"b_{c}" if c != "path" else "b", *pick(c)) for c in ("path", *others)]
+    return met.select(*(x.alias(n) for n, _, x, _ in ends[:1]), *(y.alias(n) for _, n, _, y in ends[:1]), "co", *(c for a, b, x, y in ends[1:] for c in (x.alias(a), y.alias(b))))
+
+
+def _common(pages: str, page: Column) -> Column:
+    """How many buckets of a page are in the same page of an array of pages."""
+    same = F.filter(pages, lambda q: q["page"] == page["page"])
+    return F.aggregate(F.flatten(F.transform(same, lambda q: F.zip_with(q["words"], page["words"], lambda v, w: F.bit_count(v.bitwiseAND(w))))), F.lit(0), lambda n, c: n + c)
 
 
 class Histories:
