@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ripplespark import catalog
+from ripplespark.catalog import impact
 from ripplespark.operators import extract as E
 from ripplespark.plans import registry as build_plan
 from ripplespark.sources import files as sources
@@ -28,3 +29,14 @@ def test_comments_are_taken_out_once_for_each_file(spark):
 def test_routes_of_all_files_are_not_sent_through_the_driver(spark):
     plan = catalog.QUERIES["extracted_routes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_selectors_are_matched_on_stored_files(spark):
+    plan = catalog.QUERIES["selector_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "cypress" in plan and "l_partkey" not in plan
+
+
+def test_line_items_are_shuffled_as_keys(spark):
+    lines = impact.files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    shuffled = [line for line in lines if "Exchange hashpartitioning" in line]
+    assert len(shuffled) == 1 and "REPARTITION_BY_COL" in shuffled[0]
