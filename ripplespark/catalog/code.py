@@ -282,13 +282,13 @@ def registry_build_imports(spark, sf_dir):
 @query("""SELECT '/nations/' || n_nationkey AS pattern, 'src/nations/N' || n_nationkey || '.ts' AS component FROM nation""")
 def registry_build_routes(spark, sf_dir):
     """Routes of the built registry: constants as paths, components by their files."""
-    return shop(spark, sf_dir).extracted_routes
+    return shop(spark, sf_dir, _VISITS).extracted_routes
 
 
 @query("""SELECT DISTINCT 'src/nations/N' || c_nationkey || '.ts' AS changed, 'e2e/o' || o_orderkey || '.cy.ts' AS test, round(0.85, 6)::DOUBLE AS weight FROM orders JOIN customer ON c_custkey = o_custkey""")
 def route_match(spark, sf_dir):
     """Orders' tests that visit the page of their customer's nation."""
-    reg = shop(spark, sf_dir)
+    reg = shop(spark, sf_dir, _VISITS)
     return S.route_match(reg, _changed(reg, "src/nations/")).select("changed", "test", F.round("weight", 6).alias("weight"))
 
 
@@ -310,7 +310,7 @@ def translation_match(spark, sf_dir):
 @query("""SELECT 'src/store/n' || c_nationkey || '/state.ts' AS changed, 'e2e/o' || o_orderkey || '.cy.ts' AS test, 0.65::DOUBLE AS weight FROM orders JOIN customer ON c_custkey = o_custkey""")
 def redux_consumer(spark, sf_dir):
     """Orders' tests that visit the page which shows their nation's state."""
-    reg = shop(spark, sf_dir)
+    reg = shop(spark, sf_dir, _VISITS)
     return S.redux_consumer(reg, _changed(reg, "src/store/")).select("changed", "test", F.round("weight", 6).alias("weight"))
 
 
@@ -346,7 +346,7 @@ def chain_actions(spark, sf_dir):
 @query("""SELECT pattern, 1::DOUBLE AS share FROM (SELECT '/nations/' || c_nationkey AS pattern FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)""")
 def visited_patterns(spark, sf_dir):
     """Visited urls and how specific the patterns are that they resolve to."""
-    return shop(spark, sf_dir).resolved_visits.select(F.col("raw").alias("pattern"), F.col("specificity").alias("share")).distinct()
+    return shop(spark, sf_dir, _VISITS).resolved_visits.select(F.col("raw").alias("pattern"), F.col("specificity").alias("share")).distinct()
 
 
 # nations and customers as files of their own -----------------------------------------------
@@ -426,15 +426,19 @@ def shop_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: What scorers that go by visits read of the facts.
+_VISITS = ("cypress.visited_routes",)
+
+
 @cache
-def shop(spark: SparkSession, sf_dir: str) -> S.Registry:
-    """The registry built from the shop's code, once for each folder."""
+def shop(spark: SparkSession, sf_dir: str, only: tuple[str, ...] | None = None) -> S.Registry:
+    """The registry built from the shop's code, with all facts or only some, once for each folder."""
     nation = table(spark, sf_dir, "nation")
     texts = nation.select(F.concat(F.lit("nation."), "n_nationkey", F.lit(".name")).alias("key"), F.concat(F.lit("Nation number "), "n_nationkey").alias("text"))
     i18n = texts.select("key", "text", F.col("text").alias("static_text"), F.lit(False).alias("is_dynamic"))
     cfg = impact.load({"scoring": {"ubiquitous_selector": 1.0, "max_fan_out": 10**6}})
     aliases = spark.createDataFrame([("@", "src")], "prefix string, target string")
-    return build_plan.build(sources.saved(shop_code(spark, sf_dir), "code"), aliases, [], cfg, i18n)
+    return build_plan.build(sources.saved(shop_code(spark, sf_dir), "code"), aliases, [], cfg, i18n, only=only)
 
 
 def _changed(reg: S.Registry, folder: str) -> DataFrame:

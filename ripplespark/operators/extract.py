@@ -8,11 +8,13 @@ and component wrappers deeper than one call are left out, see the README.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
+from ripplespark import schema
 from ripplespark.functions import text as T
 
 from . import lexer
@@ -248,19 +250,26 @@ def as_read(files: DataFrame) -> DataFrame:
     return files.withColumn("lexed", lexer.read("content", "path")).withColumn("c", F.col("lexed.code"))
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Files (repo_root, path, content, type) with all facts, in the form of the table of files."""
+def extract(files: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """Files (repo_root, path, content, type) with all facts, in the form of the table of files.
+
+    only: names of the facts that are wanted, as 'selectors' or 'cypress.visited_routes'; the others are null and not looked for.
+    """
     base = as_read(files)
     c, test = F.col("c"), F.col("type") == "test"
-    nothing = lambda x: F.when(test, x)
-    empty = F.array().cast("array<string>")
+    kinds = {f.name: f.dataType for f in _parse_datatype_string(schema.FILES)}
+    inner = {f"cypress.{f.name}": f.dataType for f in kinds["cypress"]}
+
+    def fact(name: str, found: Column) -> Column:
+        return (found if only is None or name in only else F.lit(None).cast((kinds | inner)[name])).alias(name.removeprefix("cypress."))
+
     cypress = F.struct(
-        visited_routes(c).alias("visited_routes"), test_selectors(c).alias("selectors"), contains_text(c).alias("contains_text"), intercepts(c).alias("intercepts"),
-        url_assertions(c).alias("url_assertions"), custom_commands(c).alias("custom_commands"), titles(c, "describe", "context").alias("describes"), titles(c, "it").alias("its"),
+        fact("cypress.visited_routes", visited_routes(c)), fact("cypress.selectors", test_selectors(c)), fact("cypress.contains_text", contains_text(c)), fact("cypress.intercepts", intercepts(c)),
+        fact("cypress.url_assertions", url_assertions(c)), fact("cypress.custom_commands", custom_commands(c)), fact("cypress.describes", titles(c, "describe", "context")), fact("cypress.its", titles(c, "it")),
     )
     return base.select(
-        "repo_root", "path", T.basename("path").alias("name"), "type", exports(c).alias("exports"), imports(c).alias("imports"), _some(every(c, _word("class") + r"\s+(\w+)")).alias("classes"),
-        _some(every(c, _word("function") + r"\s*\*?\s*(\w+)")).alias("functions"), _some(every(c, _word("interface") + r"\s+(\w+)")).alias("interfaces"), empty.alias("keywords"),
-        F.when(~test, selectors(c)).alias("selectors"), F.when(~test, F.col("lexed.jsx_text")).alias("jsx_text"), F.when(~test, translation_keys(c)).alias("translation_keys"), F.when(~test, routes(c)).alias("routes"),
-        redux_usage(c).alias("redux"), action_types(c).alias("action_types"), action_constants(c).alias("action_type_consts"), named_imports(c).alias("imported_idents"), nothing(cypress).alias("cypress"),
+        "repo_root", "path", T.basename("path").alias("name"), "type", fact("exports", exports(c)), fact("imports", imports(c)), fact("classes", _some(every(c, _word("class") + r"\s+(\w+)"))),
+        fact("functions", _some(every(c, _word("function") + r"\s*\*?\s*(\w+)"))), fact("interfaces", _some(every(c, _word("interface") + r"\s+(\w+)"))), F.array().cast("array<string>").alias("keywords"),
+        fact("selectors", F.when(~test, selectors(c))), fact("jsx_text", F.when(~test, F.col("lexed.jsx_text"))), fact("translation_keys", F.when(~test, translation_keys(c))), fact("routes", F.when(~test, routes(c))),
+        fact("redux", redux_usage(c)), fact("action_types", action_types(c)), fact("action_type_consts", action_constants(c)), fact("imported_idents", named_imports(c)), F.when(test, cypress).alias("cypress"),
     )

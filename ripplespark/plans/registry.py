@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ def resolved_specs(files: DataFrame, aliases: DataFrame, roots: list[str], targe
     """(path, spec, target) of every import in files (path, content) that leads to one of them, or of targets (path)."""
     some = files.where(F.col("content").contains("import") | F.col("content").contains("export") | F.col("content").contains("require"))
     specs = some.select("path", F.explode_outer(E.of_code("content", E.imports)).alias("spec")).where("spec IS NOT NULL")
+    specs = sources.saved(specs, "specs")  # relative ones, aliases and roots each read them
     return R.resolve_imports(specs, files if targets is None else targets, aliases, roots)
 
 
@@ -50,9 +53,10 @@ def identifiers_in_tests(files: DataFrame, resolved: DataFrame, data: DataFrame
     return E.with_constants(tests, meant.select("target", "name", "key", "value").distinct(), meant.select("path", "name", "target").distinct())
 
 
-def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] | None = None, cfg: Config | None = None, i18n: DataFrame | None = None, history: DataFrame | None = None, data: DataFrame | None = None) -> Registry:
+def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] | None = None, cfg: Config | None = None, i18n: DataFrame | None = None, history: DataFrame | None = None, data: DataFrame | None = None, only: Collection[str] | None = None) -> Registry:
     """The registry of files (repo_root, path, content, type).
 
+    only: names of the facts that are wanted, as of ``extract``; imports, routes and roles are always found.
     data: (path, content) of JSON files that constants may be imported from; they are no nodes of the graph.
     aliases: (prefix, target) of imports; roots: folders that bare imports are looked up in.
     What tables derive from each other is written once: the facts of files, and where
@@ -62,29 +66,34 @@ def build(files: DataFrame, aliases: DataFrame | None = None, roots: list[str] |
     spark, cfg = files.sparkSession, cfg or load()
     aliases = spark.createDataFrame([], "prefix string, target string") if aliases is None else aliases
     resolved = sources.saved(resolved_specs(files, aliases, roots or []), "resolved")
-    facts = sources.saved(E.extract(files), "facts")
+    columns = E.extract(files).columns
+    read = {"imports", "routes"}  # written anew below, from where they lead
+    wanted = {f.name for f in E.extract(files).schema} | {f"cypress.{f.name}" for f in E.extract(files).schema["cypress"].dataType} if only is None else set(only)
+    wanted |= {"action_type_consts", "imported_idents"} if "action_types" in wanted else set()
+    facts = sources.saved(E.extract(files, wanted - read), "facts")
     # the graph, and what index files pass on
     graph = resolved.select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
     barrels = files.where(R.is_barrel(F.col("path"), F.coalesce("content", F.lit("")))).select("path")
     graph = R.expand_barrels(graph, barrels)
     imports = graph.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("targets"))
     # literals behind imported names
-    facts = R.with_imported_actions(facts, resolved)
+    facts = R.with_imported_actions(facts, resolved) if "action_types" in wanted else facts
     held = E.of_code(F.coalesce("content", F.lit("")), lambda c: E.redux_roles(F.col("path"), c))
     roles = files.where("type = 'source'").select("path", F.explode_outer(held).alias("r")).where("r IS NOT NULL").select("path", "r.slice", "r.role")
     roles = sources.saved(roles, "roles")  # several joins go by them
-    facts = I.with_chain_actions(facts, I.chains(roles, graph))
+    facts = I.with_chain_actions(facts, I.chains(roles, graph)) if "action_types" in wanted else facts
     # selectors behind constants
-    named = resolved
-    if data is not None:
-        held = data.where(F.col("path").rlike(r"\.json$"))
-        named = resolved.unionByName(resolved_specs(files.where("type = 'test'"), aliases, roots or [], held))
-    more = identifiers_in_tests(files, named, data).groupBy("path").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    css = F.transform(F.coalesce("values", F.array().cast("array<string>")), lambda v: E.css_selector(v))
-    facts = facts.join(more, "path", "left").withColumn("cypress", F.when(F.col("cypress").isNotNull(), F.col("cypress").withField("selectors", F.array_union("cypress.selectors", css)))).drop("values")
+    if "cypress.selectors" in wanted:
+        named = resolved
+        if data is not None:
+            held = data.where(F.col("path").rlike(r"\.json$"))
+            named = resolved.unionByName(resolved_specs(files.where("type = 'test'"), aliases, roots or [], held))
+        more = identifiers_in_tests(files, named, data).groupBy("path").agg(F.array_sort(F.collect_set("value")).alias("values"))
+        css = F.transform(F.coalesce("values", F.array().cast("array<string>")), lambda v: E.css_selector(v))
+        facts = facts.join(more, "path", "left").withColumn("cypress", F.when(F.col("cypress").isNotNull(), F.col("cypress").withField("selectors", F.array_union("cypress.selectors", css)))).drop("values")
     # imports as files
     empty = F.array().cast("array<string>")
-    facts = facts.join(imports, "path", "left").withColumn("imports", F.coalesce("targets", empty)).select(*E.extract(files).columns)
+    facts = facts.join(imports, "path", "left").withColumn("imports", F.coalesce("targets", empty)).select(*columns)
     # routes with the files of their components; of one pattern the last definition counts
     exports = E.export_table(files).join(resolved.select(F.col("path").alias("file"), "spec", F.col("target").alias("source")), ["file", "spec"], "left")
     exports = sources.saved(exports.where("spec IS NULL OR source IS NOT NULL").select("file", "exported", "local", "source"), "exports")  # each step through index files joins them
